@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import BLANK
+from .common import BLANK, keep_rows, row_key
 
 #: Digests a shard holds at the most, about: bounds the memory of a lookup task.
 SHARD = 100_000
@@ -60,13 +60,14 @@ def _words(digests: pa.ChunkedArray) -> np.ndarray:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, digest`` (SHA-256 of the text without white space) ``, points`` (code points of the text)``, row``."""
+    """``doc_id, digest`` (SHA-256 of the text without white space) ``, points`` (code points of the text)``, row, k2``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.unhex(F.sha2(F.regexp_replace(text, f"{BLANK}+", "").cast("binary"), 256)).alias("digest"),
         F.length(text).cast("long").alias("points"),
         F.monotonically_increasing_id().alias("row"),
+        row_key(id_col, text_col)[1],
     )
 
 
@@ -144,6 +145,21 @@ def exact_dedup(docs: DataFrame, history_share: float = 0.5, id_col: str = "doc_
     the rest is looked up (rows with a null id come last); it has no effect on the result. An empty
     table gives an empty result. Only the two named columns are read.
     """
+    rows, groups = _grouped(docs, history_share, id_col, text_col)
+    return rows.join(groups, "digest").select(
+        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    rows, groups = _grouped(docs, 0.5, id_col, text_col)
+    kept = rows.join(groups, "digest").where(F.col("row") == F.col("keep_row"))
+    return keep_rows(docs, kept.select(F.col("doc_id").alias("k1"), "k2"), id_col, text_col)
+
+
+def _grouped(docs: DataFrame, history_share: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The digest rows of ``docs``, and one row for each digest with its winner."""
     rows = materialize(digests(docs, id_col, text_col), "digests")
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     mark = F.lit(low + int((high - low) * history_share) if low is not None else 0)
@@ -151,6 +167,4 @@ def exact_dedup(docs: DataFrame, history_share: float = 0.5, id_col: str = "doc_
     history, later = (materialize(winners(rows.where(part)), "winners") for part in (early, ~early))
     shards = 1 + max(history.count(), later.count()) // SHARD
     groups = merge(later, build_index(history, shards), shards).select("digest", "keep_id", "keep_row", F.col("size").alias("group_size"))
-    return rows.join(groups, "digest").select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    return rows, groups

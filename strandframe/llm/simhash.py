@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import materialize
-from .common import text_bytes
+from .common import keep_rows, row_key, text_bytes
 
 TILE = 1024
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -44,14 +44,14 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long). A null text counts as empty: fingerprint 0."""
+    """``doc_id, k2, fp`` (the row's key, the fingerprint as a signed long). A null text counts as empty: fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, width, seed) for t in text_bytes(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, width, seed) for t in text_bytes(batch.column(2))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "k2", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col)[1], F.col(text_col)).mapInArrow(run, "doc_id long, k2 long, fp long")
 
 
 def tiles(fps: DataFrame) -> DataFrame:
@@ -150,10 +150,25 @@ def simhash_groups(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", tex
     count as empty; rows with a null id take part but give a component no id (null if all are null).
     Repeated rows give repeated results, an empty table an empty one. Only the two named columns are read.
     """
+    rows, roots = _grouped(docs, radius, id_col, text_col)
+    component = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = roots.join(component, "root").select("fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``docs``, that of the least id (null last), with all its columns."""
+    rows, roots = _grouped(docs, radius, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k2"))
+    by_print = rows.groupBy("fp").agg(first.alias("one"))
+    kept = by_print.join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min("one").alias("one"))
+    return keep_rows(docs, kept.select(F.col("one.doc_id").alias("k1"), F.col("one.k2").alias("k2")), id_col, text_col)
+
+
+def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of ``docs``, and for each distinct one its least id and the root of its component."""
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = connected_components(materialize(links(distinct, radius), "links"))
     roots = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    component = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(component, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows, materialize(roots, "roots")

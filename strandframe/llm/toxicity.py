@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import by_size
 
 BITS = 20
-#: Labelled rows that training sees at the most, and code points of their texts. The rows of least hash are taken.
-SAMPLE, EPOCHS = 6000, 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 1.0
+#: Labelled rows that training sees at the most: those of least hash. Passes over them.
+SAMPLE, EPOCHS = 16_000, 3
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.0
 WORDS = re.compile(r"\w+")
 
 
