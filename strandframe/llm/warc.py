@@ -34,13 +34,13 @@ def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     Only ids and digests are grouped; the payloads are shuffled once, by id and digest, so a payload
     with very many copies is not one task. Rows equal in id and payload are told apart by ``copy``.
     """
-    rows = pages.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
-    keep = rows.where(F.col("bytes") >= least).groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
-    keys = rows.select("page_id", F.col("digest")).distinct()
-    named = keys.join(keep, F.col("digest") == F.col("d")).select(F.col("page_id").alias("p"), "d", "keep", F.lit(True).alias("repeats"))
-    same = (F.coalesce("page_id", F.lit(-1)) == F.coalesce("p", F.lit(-1))) & F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy(F.col("url").asc_nulls_last()))
-    found = rows.join(named, same, "left").withColumn("copy", copy)
+    number = F.coalesce("page_id", F.lit(-(1 << 63))).alias("number")
+    rows = pages.select("*", number, F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
+    keep = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    named = rows.select("number", "digest").distinct().join(keep, "digest").withColumn("repeats", F.lit(True))
+    # one exchange of the payloads serves the join and the window
+    copy = F.row_number().over(Window.partitionBy("number", "digest").orderBy(F.col("url").asc_nulls_last()))
+    found = rows.join(named, ["number", "digest"], "left").withColumn("copy", copy)
     first = F.col("page_id").eqNullSafe(F.col("keep")) & (F.col("copy") == 1)
     return found.select("page_id", "url", "payload", "digest", "bytes", "copy", "keep", (F.coalesce("repeats", F.lit(False)) & ~first).alias("revisit"))
 
