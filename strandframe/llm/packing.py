@@ -9,6 +9,7 @@ padding either.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size
-from .token_counts import SCAN, WORDS, PreTokens, load_spec
+from .token_counts import SCAN, WORDS, CountMachine, PreTokens, distinct_spans, load_spec
 
 #: Tokens of a group, about: bounds the memory of a task, whatever its partition holds.
 GROUP = 2_000_000
@@ -116,29 +117,36 @@ def powers_of_two(pieces: list[Piece]) -> list[list[Piece]]:
 
 
 class Encoder:
-    """Token ids by the tokenizers library, with the ids of a pre-token kept for its next use."""
+    """Token ids as the tokenizers library gives them, by the compiled machine; ids of words are kept for their next use."""
 
     def __init__(self, spec: bytes):
-        from tokenizers import Tokenizer
-
-        self.pre, self.tokenizer = PreTokens(spec), Tokenizer.from_str(spec.decode())
-        self.words: dict[bytes, bytes] = {}
+        self.pre, self.machine = PreTokens(spec), CountMachine(spec)
+        self.special = {t["content"].encode(): [t["id"]] for t in json.loads(spec)["added_tokens"]}
+        self.words: dict[bytes, list[int]] = dict(self.special)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        data, starts, ends, owner, _ = self.pre.split(texts)
+        data, starts, ends, owner = self.pre.split(texts)
+        first, number = distinct_spans(data, starts, ends)
         if len(self.words) > WORDS:
-            self.words.clear()
-        known = self.words
-        spans = [data[a:b] for a, b in zip(starts, ends)]
-        fresh = [w for w in set(spans) if w not in known]
-        for a in range(0, len(fresh), 4096):
-            part = fresh[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        ids = [known[w] for w in spans]
-        at = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
-        return [b"".join(ids[a:b]) for a, b in zip(at, at[1:])]
+            self.words = dict(self.special)
+        known, flat, sizes = self.words, [], []
+        for a, b in zip(starts[first].tolist(), ends[first].tolist()):
+            word = data[a:b]
+            ids = known.get(word)
+            if ids is None:
+                ids = self.machine.ids(word)
+                if len(word) < 64:
+                    known[word] = ids
+            flat += ids
+            sizes.append(len(ids))
+        size = np.array(sizes, dtype=np.int64)
+        begin = np.cumsum(size) - size
+        n = size[number]
+        at = np.cumsum(n)
+        ids = np.array(flat, dtype="<u4")[np.repeat(begin[number] - at + n, n) + np.arange(at[-1] if len(at) else 0)]
+        cuts = np.concatenate([[0], at])[np.searchsorted(owner, np.arange(len(texts) + 1))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)

@@ -30,7 +30,7 @@ from .common import by_size
 END = 0x110000
 CHUNK = 512
 #: Work memory bounds of a worker: code points scanned at once, cached words, transitions.
-SCAN, WORDS, TRANSITIONS = 1 << 20, 300_000, 600_000
+SCAN, WORDS, TRANSITIONS = 1 << 20, 400_000, 600_000
 
 #: Character classes: other letter, s t m d, r, v, l, e, number, other, apostrophe, space, other white space, end.
 OTHER_LETTER, STMD, R, V, L, E, NUMBER, OTHER, APOSTROPHE, SPACE, WHITE, STOP = range(12)
@@ -129,8 +129,8 @@ class PreTokens:
         begins[:-1] |= (flat[1:] & BEFORE).astype(bool)
         return begins
 
-    def split(self, texts: list[str]) -> tuple[bytes, list[int], list[int], np.ndarray, np.ndarray]:
-        """UTF-8 of all texts, byte spans of their pre-tokens, each span's text, special tokens per text.
+    def split(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """UTF-8 of all texts, byte spans (starts, ends) of their pre-tokens in order, each span's text.
 
         Special strings inside a text are tokens of their own: they come as spans too.
         """
@@ -163,7 +163,7 @@ class PreTokens:
         cuts = np.flatnonzero(begins | ~inside)
         first = np.flatnonzero(begins[cuts])
         piece = np.searchsorted(ends, cuts[first])
-        return "".join(pieces).encode("utf-8", "surrogatepass"), offset[cuts[first]].tolist(), offset[cuts[first + 1]].tolist(), np.array(owner)[piece], np.array(special)[piece]
+        return "".join(pieces).encode("utf-8", "surrogatepass"), offset[cuts[first]], offset[cuts[first + 1]], np.array(owner)[piece]
 
 
 class CountMachine:
@@ -195,6 +195,7 @@ class CountMachine:
                     nodes += 1
                 node = self.trie[at]
             self.token[node] = i
+        self.width = {i: len(s) for s, i in ids.items()}
         self.inner = inner
         self.reset()
 
@@ -256,6 +257,22 @@ class CountMachine:
         return total
 
 
+    def ids(self, word: bytes) -> list[int]:
+        """The tokens themselves: the last token of each prefix, walked back from the end."""
+        if len(self.moves) > TRANSITIONS:
+            self.reset()
+        state, last = 0, []
+        for byte in word:
+            packed = self.moves.get(state << 8 | byte)
+            state = (self.move(state, byte) if packed is None else packed) >> 8
+            last.append(self.states[state][-1][1])
+        out, at = [], len(word)
+        while at:
+            out.append(last[at - 1])
+            at -= self.width[out[-1]]
+        return out[::-1]
+
+
 def _byte_names() -> dict[int, str]:
     """Byte -> printable character of byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from 256 on."""
     keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -263,31 +280,62 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def distinct_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each different content, and for every span the number of its content.
+
+    Contents are told apart by two 64-bit polynomial hashes and the length.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    hashes = []
+    for base in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
+        up, down = _powers(base, 1 << (len(raw)).bit_length())
+        h = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * up[: len(raw)])])
+        hashes.append((h[ends] - h[starts]) * down[starts])
+    hashes[0] ^= hashes[0] >> np.uint64(32)
+    mixed = hashes[0] * np.uint64(0xBF58476D1CE4E5B9) ^ (ends - starts).astype(np.uint64)
+    _, first, number = np.unique(mixed, return_index=True, return_inverse=True)
+    odd = (hashes[1] != hashes[1][first][number]) | (hashes[0] != hashes[0][first][number]) | (ends - starts != (ends - starts)[first][number])
+    if odd.any():  # contents that share a mixed hash: numbered by their bytes
+        more = {}
+        for k in np.flatnonzero(odd).tolist():
+            number[k] = more.setdefault(data[starts[k] : ends[k]], (len(first) + len(more), k))[0]
+        first = np.concatenate([first, [k for _, k in more.values()]]).astype(np.int64)
+    return first, number
+
+
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
 class Counter:
     """Counts the tokens of texts; one for each worker process and vocabulary."""
 
     def __init__(self, spec: bytes):
         self.pre, self.machine = PreTokens(spec), CountMachine(spec)
-        self.words: dict[bytes, int] = {}
+        self.words: dict[bytes, int] = dict.fromkeys((s.encode() for s in self.pre.special), 1)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        data, starts, ends, owner, special = self.pre.split(texts)
+        data, starts, ends, owner = self.pre.split(texts)
+        first, number = distinct_spans(data, starts, ends)
         if len(self.words) > WORDS:
-            self.words.clear()
+            self.words = dict.fromkeys((s.encode() for s in self.pre.special), 1)
         known, count = self.words, self.machine.count
-        get = known.get
-        counts = [get(data[a:b]) for a, b in zip(starts, ends)]
-        for k, n in enumerate(counts):
+        counts = []
+        for a, b in zip(starts[first].tolist(), ends[first].tolist()):
+            word = data[a:b]
+            n = known.get(word)
             if n is None:
-                word = data[starts[k] : ends[k]]
-                n = get(word)
-                if n is None:
-                    n = count(word)
-                    if len(word) < 64:
-                        known[word] = n
-                counts[k] = n
-        weights = np.where(special, 1, np.array(counts, dtype=np.int64)) if len(counts) else np.zeros(0)
-        return np.bincount(owner, weights=weights, minlength=len(texts)).astype(np.int64) if len(counts) else np.zeros(len(texts), np.int64)
+                n = count(word)
+                if len(word) < 64:
+                    known[word] = n
+            counts.append(n)
+        return np.bincount(owner, weights=np.array(counts, dtype=np.float64)[number], minlength=len(texts)).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
