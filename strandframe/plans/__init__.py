@@ -1 +1,6 @@
-"""See the package README section of the same name."""
+"""Registered queries of the library's own operators."""
+
+from . import events, intervals, pileups, seeds, vectors  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
