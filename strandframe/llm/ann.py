@@ -36,8 +36,10 @@ class Forest:
     """Sorted arrays of hash strings over the vectors of a shard."""
 
     def __init__(self, x: np.ndarray, bits: int = BITS, trees: int = TREES):
-        self.bits, self.normals = bits, planes(x.shape[1], trees, bits)
-        keys = hash_strings(x, self.normals, bits)
+        self.bits, self.normals = bits, planes(x.shape[1] + 1, trees, bits)
+        size = (x * x).sum(axis=1)
+        # one more component makes all vectors equally long, so the largest inner product is the least angle
+        keys = hash_strings(np.column_stack([x, np.sqrt(size.max(initial=0) - size)]), self.normals, bits)
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
 
@@ -54,7 +56,7 @@ class Forest:
 
     def candidates(self, queries: np.ndarray, wanted: int = WANTED) -> Iterator[np.ndarray]:
         """A row mask over the vectors for each query: all trees ascend together until their prefixes hold ``wanted``."""
-        strings = hash_strings(queries, self.normals, self.bits)
+        strings = hash_strings(np.column_stack([queries, np.zeros(len(queries))]), self.normals, self.bits)
         level = self.depths(strings)
         low = np.zeros(strings.shape, np.int64)
         high = np.zeros(strings.shape, np.int64)

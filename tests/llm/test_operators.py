@@ -1,0 +1,345 @@
+"""The training-data operators against brute force, the libraries they stand for, and awkward tables."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from strandframe.llm import ann, exact_dedup, html_extraction, mixing, packing, simhash, substring_dedup, token_counts, toxicity, warc
+from strandframe.session import table
+
+DATA = "/root/testdata/sf0.001"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, row long"
+BLANK = str.maketrans("", "", " \t\n\r\x0b\x0c")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Real documents with nulls, empty and long texts, copies, near copies, repeated rows and clashing column names."""
+    rng = random.Random(4)
+    rows = [tuple(r) for r in table(spark, DATA, "documents").select("doc_id", "text", "lang", "source", "n_chars").collect()][:60]
+    base = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "it's", "1234"]) + str(rng.randrange(300)) for _ in range(400))
+    texts = [None, "", " \t\n", "one", base, base + " ", base.replace("alpha1 ", "alpha2 "), base[:1200] + " other end", "é" * 700, "a" * 2000, "x <|endoftext|> y", "日本語 ١٢ ½ \U0001f600 " * 40, base * 20]
+    rows += [(1000 + i, t, "en", s, 0) for i, (t, s) in enumerate(zip(texts, ["s1", "s2", None, "s1", "é", "z", "s1", "s2", None, "s1", "s2", "s3", "s3"]))]
+    rows += [rows[0], rows[0], (None, base, None, None, None), (None, None, None, None, None), (1004, "same id, other text", "en", "s1", 3)]
+    return spark.createDataFrame([(*r, "x", 7) for r in rows], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def plain(docs):
+    return [(r.doc_id, r.text or "", r.source) for r in docs.collect()]
+
+
+def counted(df, *columns):
+    return Counter(tuple(r[c] for c in columns) for r in df.collect())
+
+
+TEXTS = st.text(st.sampled_from("ab'srevltmd 1!.\n\t  éÉ日١½\U0001f600̀\x1c\x85<|endoftext|>"), max_size=80)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=5))
+def test_op1_machine_equals_the_tokenizer(texts):
+    want = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    spec = token_counts.load_spec(VOCABULARY)
+    assert token_counts.counter(spec)(texts).tolist() == [len(w) for w in want]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoder(spec)(texts)] == want
+
+
+_tokenizer = []
+
+
+def tokenizer():
+    if not _tokenizer:
+        _tokenizer.append(Tokenizer.from_file(VOCABULARY))
+    return _tokenizer[0]
+
+
+def test_op1_counts(docs, plain):
+    want = Counter((i, len(t.encode()), n := len(tokenizer().encode(t, add_special_tokens=False).ids), n > 512) for i, t, _ in plain)
+    assert counted(token_counts.token_counts(docs, VOCABULARY), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    assert token_counts.token_counts(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_op2_targets_and_limits(docs, plain):
+    got = mixing.mix_report(docs).collect()
+    size = lambda t: len(t.encode().split())
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, size(t)) for i, t, _ in plain)
+    assert all(r.taken <= 2 * r["size"] for r in got)
+    total = Counter()
+    for _, t, s in plain:
+        total[s] += size(t)
+    names = sorted(total, key=lambda s: (s is None, s or ""))
+    aims = mixing.targets([total[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(total.values()), 2)
+    assert sum(aims) == pytest.approx(1.5 * sum(total.values())) and all(a <= 2 * total[s] + 1e-9 for a, s in zip(aims, names))
+    assert sum(r.taken for r in got) == pytest.approx(sum(aims), abs=len(names))
+    again = mixing.mix_report(docs.repartition(5)).collect()
+    assert sorted(got, key=repr) == sorted(again, key=repr)
+    assert mixing.mix_report(docs.limit(0)).count() == 0
+
+
+def test_op2_targets_reshare():
+    assert mixing.targets([10, 1000, 1000], [5, 2, 1], 900, 2) == pytest.approx([20, 880 * 2 / 3, 880 / 3])
+    assert mixing.targets([0, 0], [5, 2], 0, 2) == [0, 0]
+
+
+@given(st.integers(1, 3000), st.integers(0, 2**40))
+def test_op2_permutation(n, key):
+    got = mixing.permute(np.arange(n), np.full(n, n), np.full(n, key, np.uint64))
+    assert sorted(got.tolist()) == list(range(n))
+
+
+def test_op2_documents_hold_the_words_taken(docs):
+    taken = sum(r.taken for r in mixing.mix_report(docs).collect())
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len((r.text or "").encode().split()) for r in mixed.collect()) == taken
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 1.0])
+def test_op3_groups(docs, plain, share):
+    groups = {}
+    for i, t, _ in plain:
+        groups.setdefault(hashlib.sha256(t.translate(BLANK).encode()).hexdigest(), []).append((-len(t), i is None, i or 0))
+    got = exact_dedup.exact_dedup(docs, share).collect()
+    want = Counter((i, h := hashlib.sha256(t.translate(BLANK).encode()).hexdigest(), len(groups[h])) for i, t, _ in plain)
+    assert Counter((r.doc_id, r.text_sha256, r.group_size) for r in got) == want
+    for r in got:
+        best = min(groups[r.text_sha256])
+        assert r.keep_id == (None if best[1] else best[2])
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(groups.keys())
+    assert exact_dedup.keep_distinct(docs).count() == len(groups)
+    assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+
+
+@given(st.integers(0, 400))
+def test_op3_hash_is_minimal_and_perfect(n):
+    keys = np.frombuffer(b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(n)), np.uint64).reshape(-1, 4)
+    assert sorted(exact_dedup.PerfectHash(keys).slots(keys).tolist()) == list(range(n))
+
+
+def test_op4_pages(spark):
+    page = "<nav><ul><li><a href='/'>home</a></li></ul></nav><article><h1>A &amp; B</h1><script>var t='</p>'</script><p>one\n two <b>three</b><br>four" + " word" * 30 + "<p>caf&eacute; &#8364;" + " word" * 30 + "</article><!-- x --><footer>foot</footer><div class='comments'><p>" + "talk " * 40 + "</div>"
+    df = spark.createDataFrame([(1, "u", page, "t"), (2, None, None, "t"), (None, "v", "", "t"), (4, "w", "<p>cut <a hre", "t")], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in html_extraction.extract(df).collect()}
+    assert got[1].text == "A & B\n\none two three four" + " word" * 30 + "\n\ncafé €" + " word" * 30
+    assert (got[2].text, got[2].n_chars, got[None].text) == ("", 0, "")
+    assert got[1].n_chars == len(got[1].text)
+    assert html_extraction.extract(df.limit(0)).count() == 0
+
+
+def test_op4_tree_fits_its_table():
+    x, y = html_extraction.labelled()
+    assert (html_extraction.tree()(x) == (y > 0.5)).mean() > 0.95
+
+
+def test_op4_articles_of_the_pages(spark):
+    import html
+    import re
+
+    for r in table(spark, DATA, "pages").where("html is not null").collect():
+        inner = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)
+        want = re.sub(r"\s", "", html.unescape(re.sub(r"<!--.*?-->|<[^>]*>", " ", inner[1])))
+        assert re.sub(r"\s", "", html_extraction.main_text(r.html)) == want
+
+
+def test_op5_recall_and_scores(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, 16))
+    x[700:760] = x[700]
+    data = [(i, v.tolist(), 0.0) for i, v in enumerate(x)] + [(5000, None, 0.0), (5020, [0.0] * 16, 0.0), (5040, [float("nan")] * 16, 0.0), (None, x[0].tolist(), 0.0), (5060, [None] + [1.0] * 15, 0.0), (5080, [1.0, 2.0], 0.0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, score double")
+    got = {}
+    for r in ann.search(df, wanted=2400).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 1500, 20):
+        s = x @ x[q]
+        want = sorted((i for i in range(1500) if i != q), key=lambda i: (-round(s[i], 9), i))[:20]
+        assert len(got[q]) == 20 and all(abs(score - s[i]) < 1e-9 for i, score in got[q])
+        assert got[q] == sorted(got[q], key=lambda p: (-p[1], p[0]))
+        hits += len({i for i, _ in got[q]} & set(want))
+    assert hits / (20 * 75) >= 0.9 and set(got) == set(range(0, 1500, 20))
+    assert ann.search(df.limit(0)).count() == 0
+
+
+def test_op6_learns_planted_words(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    data, labels = [], []
+    for i in range(1200):
+        text = [rng.choice(words) for _ in range(rng.randrange(5, 60))]
+        toxic = rng.random() < 0.2
+        if toxic:
+            text[rng.randrange(len(text))] = rng.choice(["scum", "trash", "moron"])
+        data.append((i, " ".join(text), "en", 9))
+        labels.append((i, 1, int(toxic), "t"))
+    data += [(None, "scum", None, 1), (5000, None, None, 1), (5001, "", None, 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, toxic int")
+    marks = spark.createDataFrame(labels + [(None, 1, 1, "x"), (7, 0, None, "y"), (9999, 0, 1, "z")], "doc_id long, quality int, toxic int, text string")
+    got = toxicity.toxicity_scores(docs, marks).collect()
+    assert len(got) == len(data) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    truth = {i: t for i, _, t, _ in labels}
+    held = [r for r in got if r.doc_id in truth and r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+    assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.97
+    kept = toxicity.drop_toxic(docs, marks)
+    assert kept.columns == docs.columns and kept.count() == sum(1 - r.predicted for r in got)
+    assert toxicity.toxicity_scores(docs.limit(0), marks.limit(0)).count() == 0
+
+
+def fingerprint(text):
+    words = text.encode().translate(simhash.LOWER).split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def test_op7_components(docs, plain):
+    prints = [(i, fingerprint(t)) for i, t, _ in plain]
+    parent = list(range(len(prints)))
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(prints)):
+        for b in range(a):
+            if (prints[a][1] ^ prints[b][1]).bit_count() <= 3:
+                parent[root(a)] = root(b)
+    least = {}
+    for a, (i, _) in enumerate(prints):
+        if i is not None:
+            least[root(a)] = min(least.get(root(a), i), i)
+    want = Counter((i, f"{f:016x}", least.get(root(a))) for a, (i, f) in enumerate(prints))
+    assert counted(simhash.simhash_groups(docs), "doc_id", "fingerprint", "component_id") == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len({root(a) for a in range(len(prints))})
+    assert simhash.simhash_groups(docs.limit(0)).count() == 0
+
+
+def test_op7_dense_group_of_prints(spark):
+    rng = random.Random(7)
+    prints = {0} | {sum(1 << rng.randrange(64) for _ in range(2)) for _ in range(1500)}
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    from strandframe.operators.components import connected_components
+
+    assert {r.component for r in connected_components(simhash.links(df)).collect()} == {min(p - (1 << 64) if p >> 63 else p for p in prints)}
+
+
+def test_op8_pieces(docs, plain):
+    ids = {}
+    for i, t, _ in plain:
+        tokens = np.array(tokenizer().encode(t, add_special_tokens=False).ids + [1], dtype="<u4")
+        ids.setdefault(i, []).append(tokens)
+    got = packing.pack_documents(docs, VOCABULARY).collect()
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append(r)
+        assert any(len(t) == r.doc_tokens and zlib.crc32(t[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for t in ids[r.doc_id])
+    for pieces in sequences.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == 2048 or at & (at - 1) == 0
+    assert Counter({i: sum(map(len, t)) for i, t in ids.items()}) == sum((Counter({r.doc_id: r.length}) for r in got), Counter())
+    assert packing.pack_documents(docs.limit(0), VOCABULARY).count() == 0
+
+
+@given(st.lists(st.integers(1, 300), max_size=60))
+def test_op8_pack_is_whole_and_unpadded(lengths):
+    sequences = packing.pack(lengths, 64)
+    seen = Counter()
+    for pieces in sequences:
+        n = sum(p[2] for p in pieces)
+        assert n == 64 or n < 64 and n & (n - 1) == 0
+        for d, at, size in pieces:
+            seen.update((d, at + i) for i in range(size))
+    assert seen == Counter((d, i) for d, n in enumerate(lengths) for i in range(n))
+
+
+@given(st.lists(st.integers(1, 50), max_size=60))
+def test_op8_first_fit_decreasing(sizes):
+    bins, want = packing.first_fit_decreasing(sizes, 50), []
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        home = next((b for b in want if sum(sizes[j] for j in b) + sizes[i] <= 50), None)
+        if home is None:
+            want.append(home := [])
+        home.append(i)
+    assert bins == want
+
+
+def test_op9_round_trip(spark, tmp_path):
+    big, odd = "<p>" + "é" * 700, "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n" * 40
+    data = [(1, "http://a/x y\r\nX: 1", big, "t"), (2, None, big, "t"), (3, "u", "short", "t"), (4, "u", "short", "t"), (5, "u", None, "t"), (None, "n", big, "t"), (7, "u", odd, "t"), (8, "u", odd, "t"), (2, None, big, "t"), (9, "u", "", "t")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string, record_type string")
+    got = counted(warc.round_trip(df), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    want = Counter()
+    spent = set()
+    for i, _, h, _ in data:
+        n, last = len((h or "").encode()), {big: 2, odd: 8}.get(h)
+        first = last is None or i == last and i not in spent
+        spent.add(i)
+        want[(i, n, sha(h), "response" if first else "revisit", None if first else last)] += 1
+    assert got == want
+    path = f"file://{tmp_path}/w"
+    warc.write_archive(df.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")), path)
+    nested = warc.captures(warc.read_records(spark, path)).collect()
+    assert len(nested) == len(data) and all(r.request and r.metadata for r in nested)
+    assert Counter(bytes(r.response.payload) for r in nested if r.response.type == "response")[big.encode()] == 1
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def brute_repeats(texts, n=400):
+    seen = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+    for t in texts:
+        edge = np.zeros(len(t) + 1, int)
+        for i in range(len(t) - n + 1):
+            if seen[t[i : i + n]] > 1:
+                edge[i] += 1
+                edge[i + n] -= 1
+        yield np.cumsum(edge)[:-1] > 0
+
+
+def test_op10_against_brute_force(spark, docs, plain):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, short, base = word(450), word(330), word(1500)
+    more = [word(300) + common + word(rng.randrange(200)) for _ in range(40)] + [word(300) + short + word(200) for _ in range(40)] + ["a" * 399, "a" * 400, "ab" * 600]
+    more += [base[:k] + "Z" + base[k + 1 :] for k in rng.sample(range(1500), 30)]
+    extra = [(3000 + i, t, "", "", 0, "", 0) for i, t in enumerate(more)]
+    df = docs.unionByName(spark.createDataFrame(extra, SCHEMA))
+    rows = [(i, t.encode()) for i, t, _ in plain] + [(r[0], r[1].encode()) for r in extra]
+    want = Counter()
+    for (i, t), gone in zip(rows, brute_repeats([t for _, t in rows])):
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes() if len(gone) else t
+        want[(i, len(t), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]) if len(gone) else 0, hashlib.sha256(kept).hexdigest())] += 1
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert counted(substring_dedup.remove_repeats(df), *columns) == want
+    assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_op10_large_groups_are_refined(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = word(430)
+    texts = [word(310) + common[: rng.randrange(395, 431)] + word(310) for _ in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = substring_dedup.keyed(df, "doc_id", "text")
+    runs = {r.k1: r.runs for r in substring_dedup.stretches(keyed, group=20).collect()}
+    for i, gone in enumerate(brute_repeats([t.encode() for t in texts])):
+        got = substring_dedup.covered(len(texts[i]), [r.asDict() for r in runs.get(i, [])])
+        assert (got == gone).all()
