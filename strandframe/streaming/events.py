@@ -12,15 +12,20 @@ def stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _timed(events: DataFrame, late: str | None) -> DataFrame:
+    """Watermarks need instants; times without a zone are read in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """``start, event_type, n, total`` per window; on a stream, with a watermark of ``late``."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = _timed(events, late)
     return rows.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     """``user_id, start, end, n``: events of a user no further apart than ``gap``; the end lies a gap after the last."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = _timed(events, late)
     return rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
