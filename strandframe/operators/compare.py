@@ -90,3 +90,13 @@ def invariance(sampled: DataFrame, n: Column) -> DataFrame:
         .when((score == 1) & (F.col("n_orig") == F.col("n_var")), "identical").when(score >= 0.95, "near").when(score > 0, "partial").otherwise("disjoint")
     )
     return sampled.select("read", cls.alias("class"), F.round(score, 4).alias("score"))
+
+
+def tile_invariance(sums: DataFrame, min_mapq: int = 20) -> DataFrame:
+    """Classes of tiles: ``read, tile, agree, either, n_o, n_v, mapq`` gives ``parent, tile, class, score``. n_o, n_v: placed positions of parent and tile."""
+    score = F.col("agree") / F.col("either")
+    cls = (
+        F.when((F.col("n_o") == 0) & (F.col("n_v") == 0), "both_unaligned").when(F.col("n_o") == 0, "parent_unaligned").when(F.col("n_v") == 0, "unaligned").when(score >= 0.9, "agree")
+        .when(score > 0, "partial").when(F.col("mapq") >= min_mapq, "disagree_confident").otherwise("disagree_lowmapq")
+    )
+    return sums.select(F.col("read").alias("parent"), "tile", cls.alias("class"), F.round(score, 4).alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,3 +144,44 @@ def library_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = S.kmers(sequences(spark, sf_dir, "documents", "doc_id"), "id", "seq", K, SMER).select(F.col("id").alias("doc_id"), "kmer").distinct()
     hits = reads.join(lib, "kmer").join(sizes, "item_id").withColumn("n_doc", F.col("n_item"))
     return similarity.top_candidates(hits, "doc_id", "item_id", "n_doc", "n_item").select("doc_id", F.col("rank").cast("long").alias("rank"), "item_id", "shared", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH {ALN}, o AS (SELECT DISTINCT read, p, rs + p - qs AS code {CODES.format(shift='0')}), v AS (SELECT DISTINCT read, p, rs + p - qs + CASE WHEN read % 4 = 0 AND p > 100 THEN 3 ELSE 0 END AS code {CODES.format(shift='0')} WHERE read % 11 <> 0 OR p < 200),
+  a AS (SELECT coalesce(o.read, v.read) AS parent, coalesce(o.p, v.p) // 100 AS tile, count(*) FILTER (o.code IS NOT NULL AND v.code IS NOT NULL) AS agree, count(*) AS e, count(o.code) AS n_o, count(v.code) AS n_v FROM o FULL JOIN v ON o.read = v.read AND o.p = v.p AND o.code = v.code GROUP BY 1, 2),
+  m AS (SELECT read AS parent, max(mapq) AS mapq FROM aln GROUP BY read)
+SELECT parent, CAST(tile AS BIGINT) AS tile, CASE WHEN n_o = 0 THEN 'parent_unaligned' WHEN n_v = 0 THEN 'unaligned' WHEN agree / e >= 0.9 THEN 'agree' WHEN agree > 0 THEN 'partial' WHEN mapq >= 20 THEN 'disagree_confident' ELSE 'disagree_lowmapq' END AS class, round(agree / e, 4) AS score FROM a JOIN m USING (parent)"""
+)
+def invariance_frag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place codes of a read's tiles of 100 bases against those of a second placement of the tiles."""
+    aln = alignments(spark, sf_dir)
+    at = aln.where("qe > qs").select("read", "qs", "qe", "rs", F.expr("(qs + 24) div 25 * 25").alias("q")).where("q < qe").select("read", "qs", "rs", F.explode(F.expr("sequence(q, qe - 1, 25L)")).alias("p"))
+    code = F.col("rs") + F.col("p") - F.col("qs")
+    moved = F.when((F.col("read") % 4 == 0) & (F.col("p") > 100), 3).otherwise(0)
+    o = at.select("read", "p", code.alias("code"), F.lit(1).alias("o")).distinct()
+    v = at.where("read % 11 <> 0 or p < 200").select("read", "p", (code + moved).alias("code"), F.lit(1).alias("v")).distinct()
+    both = o.join(v, ["read", "p", "code"], "full_outer").groupBy("read", F.expr("p div 100").alias("tile"))
+    sums = both.agg(F.count(F.col("o") + F.col("v")).alias("agree"), F.count("*").alias("either"), F.count("o").alias("n_o"), F.count("v").alias("n_v"))
+    return compare.tile_invariance(sums.join(aln.groupBy("read").agg(F.max("mapq").alias("mapq")), "read"))
+
+
+@query()
+def chain_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains without the price of further loci; the program is held against all chains in the tests."""
+    seeds_ = chaining.compound_seeds(_both_strands(spark, sf_dir, CHAIN_K), CHAIN_K)
+    return chaining.explain_reads(seeds_, config=chaining.ChainConfig(locus_bits=0.0)).withColumn("score", F.round("score", 4))
+
+
+@query(
+    """WITH x AS (SELECT o_orderkey AS k, CAST(o_orderkey AS UHUGEINT) AS h FROM orders), m AS (SELECT CAST(18446744073709551616 AS UHUGEINT) AS m),
+  a AS (SELECT k, m, (xor(h, h >> 33) * CAST(18397679294719823053 AS UHUGEINT)) % m AS h FROM x, m), b AS (SELECT k, m, (xor(h, h >> 33) * CAST(14181476777654086739 AS UHUGEINT)) % m AS h FROM a), c AS (SELECT k, xor(h, h >> 33) AS h FROM b)
+SELECT k AS o_orderkey, CAST(h AS VARCHAR) AS hash FROM c"""
+)
+def hash_mix64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsigned, as text."""
+
+    @F.pandas_udf("string")
+    def mix(x: pd.Series) -> pd.Series:
+        return pd.Series(S.mix64_array(x.to_numpy(np.int64).view(np.uint64))).astype(str)
+
+    return table(spark, sf_dir, "orders").where("o_orderkey is not null").select("o_orderkey", mix("o_orderkey").alias("hash"))
