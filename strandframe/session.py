@@ -25,17 +25,27 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-def find_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did, if it is not installed there."""
+#: Rows of a batch that goes to a Python worker: whole texts, so a fifth of Spark's default.
+BATCH = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Readies a session for this package's Python functions.
+
+    Workers import the package from where the driver did, if it is not installed there; Arrow batches are
+    kept small unless the session has a size of its own, as a worker holds a few of them at a time.
+    """
     root = str(Path(__file__).resolve().parents[1])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of the data set at ``sf_dir``."""
-    find_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +67,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     Cuts the lineage with files that outlive any executor; they go when the application ends.
     """
     spark = df.sparkSession
+    prepare(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
