@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import prepare
 from .common import by_size
 from .token_counts import SCAN, WORDS, CountMachine, PreTokens, distinct_spans, load_spec
 
@@ -121,8 +122,8 @@ class Encoder:
 
     def __init__(self, spec: bytes):
         self.pre, self.machine = PreTokens(spec), CountMachine(spec)
-        self.special = {t["content"].encode(): [t["id"]] for t in json.loads(spec)["added_tokens"]}
-        self.words: dict[bytes, list[int]] = dict(self.special)
+        self.special = {t["content"].encode(): (t["id"],) for t in json.loads(spec)["added_tokens"]}
+        self.words: dict[bytes, tuple[int, ...]] = dict(self.special)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -135,7 +136,7 @@ class Encoder:
             word = data[a:b]
             ids = known.get(word)
             if ids is None:
-                ids = self.machine.ids(word)
+                ids = tuple(self.machine.ids(word))
                 if len(word) < 64:
                     known[word] = ids
             flat += ids
@@ -163,6 +164,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, room: int = 2048, end_id: i
     empty table gives an empty result. Only the two named columns are read. One shuffle deals the
     documents out by a hash of id and text, so neither a hot id nor a hot text is one task.
     """
+    prepare(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(vocabulary))
     end = np.array([end_id], dtype="<u4").tobytes()
     dealt = docs.select(

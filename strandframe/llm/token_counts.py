@@ -30,7 +30,7 @@ from .common import by_size
 END = 0x110000
 CHUNK = 512
 #: Work memory bounds of a worker: code points scanned at once, cached words, transitions.
-SCAN, WORDS, TRANSITIONS = 1 << 20, 400_000, 600_000
+SCAN, WORDS, TRANSITIONS = 1 << 19, 300_000, 400_000
 
 #: Character classes: other letter, s t m d, r, v, l, e, number, other, apostrophe, space, other white space, end.
 OTHER_LETTER, STMD, R, V, L, E, NUMBER, OTHER, APOSTROPHE, SPACE, WHITE, STOP = range(12)
@@ -166,6 +166,23 @@ class PreTokens:
         return "".join(pieces).encode("utf-8", "surrogatepass"), offset[cuts[first]], offset[cuts[first + 1]], np.array(owner)[piece]
 
 
+class State(dict):
+    """A state of the machine: byte -> (next state, tokens added), each made when first asked for.
+
+    ``reach``: vocabulary prefixes that may go on, with the last token before each and the count there,
+    relative to here; the empty prefix comes last, with the last token of all bytes so far.
+    """
+
+    __slots__ = ("machine", "reach", "token", "width")
+
+    def __init__(self, machine: CountMachine, reach: tuple, width: int):
+        self.machine, self.reach, self.token, self.width = machine, reach, reach[-1][1], width
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        made = self[byte] = self.machine.move(self.reach, byte)
+        return made
+
+
 class CountMachine:
     """The byte-pair merges of a vocabulary as a deterministic transducer that counts tokens."""
 
@@ -200,8 +217,15 @@ class CountMachine:
         self.reset()
 
     def reset(self) -> None:
-        root = ((0, -1, 0),)
-        self.states, self.known, self.moves, self.fits = [root], {root: 0}, {}, {}
+        self.known: dict[tuple, State] = {}
+        self.moves, self.fits = 0, {}
+        self.root = self.state(((0, -1, 0),))
+
+    def state(self, reach: tuple) -> State:
+        found = self.known.get(reach)
+        if found is None:
+            found = self.known[reach] = State(self, reach, self.width.get(reach[-1][1], 0))
+        return found
 
     def adjacent(self, a: int, b: int) -> bool:
         """True if the merges leave tokens a and b side by side: no merge across their border comes first.
@@ -220,57 +244,47 @@ class CountMachine:
             else:  # at equal rank the left one is merged first
                 bound, b = rb + 1, self.parts[b][0]
 
-    def move(self, state: int, byte: int) -> int:
-        """Adds the transition; packed as next state << 8 | count + 128."""
-        token, added, reach = -1, 0, []
-        for node, last, count in self.states[state]:
+    def move(self, reach: tuple, byte: int) -> tuple[State, int]:
+        """The state after ``byte``, and the tokens that the transition adds."""
+        token, added, after = -1, 0, []
+        for node, last, count in reach:
             child = self.trie.get(node << 8 | byte)
             if child is None:
                 continue
             if token < 0 and (t := self.token.get(child)) is not None:
                 fits = last < 0
-                if not fits and (fits := self.fits.get((last, t))) is None:
-                    fits = self.fits[last, t] = self.adjacent(last, t)
+                if not fits and (fits := self.fits.get(last << 32 | t)) is None:
+                    fits = self.fits[last << 32 | t] = self.adjacent(last, t)
                 if fits:
                     token, added = t, count + 1
             if child in self.inner:
-                reach.append((child, last, count))
-        after = tuple([(node, last, count - added) for node, last, count in reach] + [(0, token, 0)])
-        to = self.known.get(after)
-        if to is None:
-            to = self.known[after] = len(self.states)
-            self.states.append(after)
-        packed = self.moves[state << 8 | byte] = to << 8 | added + 128
-        return packed
+                after.append((child, last, count))
+        self.moves += 1
+        return self.state(tuple([(node, last, count - added) for node, last, count in after] + [(0, token, 0)])), added
 
-    def count(self, word: bytes) -> int:
-        if len(self.moves) > TRANSITIONS:
+    def start(self) -> State:
+        if self.moves > TRANSITIONS:
             self.reset()
-        state = total = 0
-        moves = self.moves
+        return self.root
+
+    def count(self, word: bytes) -> int:
+        state, total = self.start(), 0
         for byte in word:
-            packed = moves.get(state << 8 | byte)
-            if packed is None:
-                packed = self.move(state, byte)
-            state = packed >> 8
-            total += (packed & 255) - 128
+            state, added = state[byte]
+            total += added
         return total
 
-
     def ids(self, word: bytes) -> list[int]:
         """The tokens themselves: the last token of each prefix, walked back from the end."""
-        if len(self.moves) > TRANSITIONS:
-            self.reset()
-        state, last = 0, []
-        for byte in word:
-            packed = self.moves.get(state << 8 | byte)
-            state = (self.move(state, byte) if packed is None else packed) >> 8
-            last.append(self.states[state][-1][1])
+        state = self.start()
+        path = [state := state[byte][0] for byte in word]
         out, at = [], len(word)
         while at:
-            out.append(last[at - 1])
-            at -= self.width[out[-1]]
-        return out[::-1]
+            state = path[at - 1]
+            out.append(state.token)
+            at -= state.width
+        out.reverse()
+        return out
 
 
 def _byte_names() -> dict[int, str]:
