@@ -191,12 +191,16 @@ class Suffixes:
 
 
 def repeated(contexts: list[bytes], before: list[int], length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int]]:
-    """(context, begin, end): stretches, relative to the anchor, of the strings that a different context holds too."""
+    """(context, begin, end): the stretch, relative to the anchor, of all strings that a different context holds too.
+
+    Every such string covers the anchor, so their union is one stretch.
+    """
     suffixes = Suffixes(contexts, before, length, length - gram)
     order = suffixes.order()
     common = [suffixes.right(i, j) for i, j in zip(order, order[1:])]
     out = []
     for place, i in enumerate(order):
+        begin = end = 0
         for step in (1, -1):
             right, most, at = length, -1, place
             while 0 <= at + step < len(order) and most < before[i]:
@@ -208,7 +212,9 @@ def repeated(contexts: list[bytes], before: list[int], length: int = LENGTH, gra
                 if left > most:
                     most = left
                     if left + right >= length:
-                        out.append((i, -left, right))
+                        begin, end = max(begin, left), max(end, right)
+        if end:
+            out.append((i, -begin, end))
     return out
 
 
@@ -239,12 +245,13 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _refine(contexts: DataFrame, length: int = LENGTH, gram: int = GRAM, widths: tuple[int, ...] = (19, 1)) -> DataFrame:
+def _refine(contexts: DataFrame, length: int = LENGTH, gram: int = GRAM, widths: tuple[int, ...] = (60, 12, 1)) -> DataFrame:
     """The same stretches for anchors with very many contexts, by counting hashes; no group meets in a task.
 
     A string's start is ``o`` bytes before the anchor. A range of starts whose common bytes no other
     context has is dropped; one whose bytes all together some other context has is repeated; else it is
-    cut into narrower ranges, down to single strings.
+    cut into narrower ranges, down to single strings, unless it lies between ranges that are repeated:
+    a context's stretch is one, from its first repeated string to its last.
     """
     reach = length - gram
 
@@ -259,9 +266,9 @@ def _refine(contexts: DataFrame, length: int = LENGTH, gram: int = GRAM, widths:
                         b = min(a + width - 1, last)
                         if max(a, length - after) > min(b, before):
                             continue  # no string starts here
-                        core = context[before - a : before + length - b]
-                        span = context[before - b : before + length - a] if b <= before and length - a <= after else None
-                        out.append((*row[:5], a, b, xxhash.xxh3_128_digest(core), span and xxhash.xxh3_128_digest(span)))
+                        core = xxhash.xxh3_128_digest(context[before - a : before + length - b])
+                        span = core if a == b else xxhash.xxh3_128_digest(context[before - b : before + length - a]) if b <= before and length - a <= after else None
+                        out.append((*row[:5], a, b, core, span))
                 if out:
                     kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()] * 2
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[*KEY, "first", "last", "core", "span"])
@@ -274,24 +281,32 @@ def _refine(contexts: DataFrame, length: int = LENGTH, gram: int = GRAM, widths:
     for depth, width in enumerate(widths):
         rows = materialize(todo.mapInArrow(ranges(width, depth == 0), schema), "ranges")
         place = ["anchor", "first", "last"]
-        shared = rows.groupBy(*place, "core").count().where("count > 1").drop("count")
-        spanned = rows.where("span is not null").groupBy(*place, "span").count().where("count > 1").select(*place, "span", F.lit(True).alias("hit"))
-        live = materialize(rows.join(shared, [*place, "core"]).join(spanned, [*place, "span"], "left"), "ranges")
-        hits = live.where("hit").select(*KEY, (-F.col("last")).alias("begin"), (F.lit(length) - F.col("first")).alias("end"))
+        shared = materialize(rows.groupBy(*place, "core").count().where("count > 1").drop("count"), "shared")
+        live = rows.join(shared, [*place, "core"])
+        if width > 1:
+            spanned = materialize(rows.where("span is not null").groupBy(*place, "span").count().where("count > 1").select(*place, "span", F.lit(True).alias("hit")), "spanned")
+            live = materialize(live.join(spanned, [*place, "span"], "left"), "ranges")
+        else:
+            live = live.withColumn("hit", F.lit(True))
+        hits = live.where("hit").groupBy(*KEY).agg((-F.max("last")).alias("begin"), (F.lit(length) - F.min("first")).alias("end"))
         found = hits if found is None else found.union(hits)
-        todo = contexts.select(*KEY, "context").join(live.where("hit is null").select(*KEY, "first", "last"), KEY)
+        if width > 1:
+            outside = F.col("begin").isNull() | (F.col("last") > -F.col("begin")) | (F.col("first") < F.lit(length) - F.col("end"))
+            unsure = live.where("hit is null").join(found, KEY, "left").where(outside).select(*KEY, "first", "last").distinct()
+            todo = contexts.select(*KEY, "context").join(unsure, KEY)
     return found
 
 
 def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``k1, k2, runs``: for each text of ``docs (k1, k2, text)`` with repeated strings, its runs (positions, begin, end)."""
     all_anchors = materialize(anchors(docs, length, gram), "anchors")
-    twice = all_anchors.groupBy("anchor").agg(F.sum(F.size("at")).alias("n")).where("n > 1").select("anchor")
+    # counts are written before they are joined back: then both sides of a join are plain exchanges, which can be split where an anchor is hot
+    twice = materialize(all_anchors.groupBy("anchor").agg(F.sum(F.size("at")).alias("n")).where("n > 1").select("anchor"), "twice")
     some = materialize(all_anchors.join(twice, "anchor"), "candidates")
     contexts = materialize(some.groupBy(*KEY).agg(F.sum(F.size("at")).alias("n"), F.min(F.struct("k1", "k2", F.col("at")[0].alias("p"))).alias("one")), "contexts")
     whole = contexts.where((F.col("n") > 1) & (F.col("before") + F.col("after") >= length)).select(*KEY, (-F.col("before")).alias("begin"), F.col("after").alias("end"))
 
-    several = contexts.groupBy("anchor").count().where("count > 1")
+    several = materialize(contexts.groupBy("anchor").count().where("count > 1"), "several")
     wanted = contexts.join(several, "anchor").where(F.col("before") + F.col("after") >= length)
     by_text = wanted.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct(*KEY, "count", "one.p")).alias("wanted"))
 
@@ -308,7 +323,7 @@ def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: in
     large = fetched.where(F.col("count") > group)
     if not large.isEmpty():
         parts = parts.union(_refine(large, length, gram))
-    parts = materialize(parts, "stretches")
+    parts = materialize(parts.groupBy(*KEY).agg(F.min("begin").alias("begin"), F.max("end").alias("end")), "stretches")
     return some.join(parts, KEY).groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "begin", "end")).alias("runs"))
 
 
@@ -340,15 +355,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, found in zip(_text_bytes(batch.column(1)), batch.column(2)):
-                gone = covered(len(text), found.as_py()) if found.is_valid else np.zeros(0, bool)
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(gone) else text
-                spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0]) if len(gone) else 0
-                out.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(columns if with_text else columns[:4])], names=names)
+            for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
+                out = []
+                for text, found in zip(_text_bytes(part.column(1)), part.column(2)):
+                    gone = covered(len(text), found.as_py()) if found.is_valid else np.zeros(0, bool)
+                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(gone) else text
+                    spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0]) if len(gone) else 0
+                    out.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept)[: 4 + with_text])
+                kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
