@@ -48,7 +48,8 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float) -
 
 def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A pseudorandom permutation of 0..n-1 for each key: a four-round Feistel network, walked until inside."""
-    half = np.array([max(1, (int(x) - 1).bit_length() + 1 >> 1) for x in n.tolist()], dtype=np.uint64)
+    sizes, which = np.unique(n, return_inverse=True)
+    half = np.array([max(1, (x - 1).bit_length() + 1 >> 1) for x in sizes.tolist()], dtype=np.uint64)[which]
     mask = (np.uint64(1) << half) - np.uint64(1)
     at, todo = index.astype(np.uint64), np.arange(len(index))
     while len(todo):
@@ -103,7 +104,10 @@ def mix_slots(plan: DataFrame, seed: int = 7, block: int = BLOCK, slots: int = S
     total = sum(r.slots for r in rows)
     share = np.array([r.slots for r in rows], dtype=float) / max(total, 1)
     shards = -(-total // slots)
-    size = spark.sparkContext.broadcast({r.source_no: (r.slots, r.blocks, r.source_size // block, r.tail) for r in rows})
+    size = np.zeros((len(rows), 4), np.int64)  # a row for each source, by its number
+    for r in rows:
+        size[r.source_no] = r.slots, r.blocks, r.source_size // block, r.tail
+    size = spark.sparkContext.broadcast(size)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -123,12 +127,12 @@ def mix_slots(plan: DataFrame, seed: int = 7, block: int = BLOCK, slots: int = S
     )
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[at : at + 256] for b in batches for at in range(0, len(b), 256)):
             count = batch["count"].to_numpy()
             row = np.repeat(np.arange(len(batch)), count)
             slot = batch["first"].to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             source = batch["source_no"].to_numpy()[row]
-            limit, blocks, full, tail = (np.array([size.value[s][k] for s in source.tolist()], dtype=np.int64) for k in range(4))
+            limit, blocks, full, tail = size.value[source].T
             here = slot < limit
             row, slot, source, limit, blocks, full, tail = (x[here] for x in (row, slot, source, limit, blocks, full, tail))
             epoch, index = np.divmod(slot, blocks) if len(slot) else (slot, slot)

@@ -35,7 +35,7 @@ class Hasher:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers of all texts, and the text of each. A feature may come up more than once."""
-        if len(self.known) > 300_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         known, words, counts = self.known, [], []
         for text in texts:
@@ -65,14 +65,20 @@ def hasher() -> Hasher:
     return Hasher()
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """FTRL-proximal over the rows, in order: numbers and weights of the features that are not zero, and the bias."""
+def feature_sets(texts: list[str]) -> list[np.ndarray]:
+    """The different features of each text, as 32-bit numbers."""
     rows = []
-    for a, b in by_size([len(t) for t in texts], 1 << 20):
+    for a, b in by_size([len(t) for t in texts], 1 << 18):
         f, doc = hasher()(texts[a:b])
-        cuts = np.searchsorted(np.sort(doc, kind="stable"), np.arange(b - a + 1))
-        f = f[np.argsort(doc, kind="stable")]
-        rows += [np.unique(f[x:y]) for x, y in zip(cuts, cuts[1:])]
+        pairs = np.unique(doc << BITS | f)
+        cuts = np.searchsorted(pairs >> BITS, np.arange(b - a + 1))
+        f = (pairs & ((1 << BITS) - 1)).astype(np.int32)
+        rows += [f[x:y].copy() for x, y in zip(cuts, cuts[1:])]
+    return rows
+
+
+def fit(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """FTRL-proximal over the feature sets, in order: numbers and weights of the features that are not zero, and the bias."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_z = bias_n = 0.0
 
@@ -104,7 +110,7 @@ class Weights:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = [np.zeros(0)]
-        for a, b in by_size([len(t) for t in texts], 1 << 20):
+        for a, b in by_size([len(t) for t in texts], 1 << 18):
             f, doc = hasher()(texts[a:b])
             hit = np.flatnonzero(self.table[f])
             pairs = np.unique(doc[hit] << BITS | f[hit])  # a feature counts once in a text
@@ -125,8 +131,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
     rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "_y", F.xxhash64("_id").alias("h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(batches) or [pd.DataFrame({"text": [], "_y": [], "h": []})]).sort_values(["h", "text"])
-        at, w, bias = fit(found["text"].tolist(), found["_y"].tolist())
+        held = []  # texts become features batch by batch
+        for batch in batches:
+            held += zip(batch["h"].tolist(), batch["_y"].tolist(), feature_sets(batch["text"].tolist()))
+        held.sort(key=lambda r: (r[0], r[2].tobytes()))
+        at, w, bias = fit([r[2] for r in held], [r[1] for r in held])
         yield pd.DataFrame({"at": np.append(at, -1), "w": np.append(w, bias)})
 
     got = rows.repartition(1).mapInPandas(run, "at long, w double").toPandas().sort_values("at")
