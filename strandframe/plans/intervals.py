@@ -14,6 +14,9 @@ from .registry import query
 ISLANDS = """f AS (SELECT chrom, rs, re, CASE WHEN rs > max(re) OVER (PARTITION BY chrom ORDER BY rs, re ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM aln),
   g AS (SELECT chrom, rs, re, sum(fresh) OVER (PARTITION BY chrom ORDER BY rs, re ROWS UNBOUNDED PRECEDING) AS island FROM f),
   isl AS (SELECT chrom, min(rs) AS s, max(re) AS e, count(*) AS n FROM g GROUP BY chrom, island)"""
+QI = """f AS (SELECT read, qs, qe, CASE WHEN qs > max(qe) OVER (PARTITION BY read ORDER BY qs, qe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM aln),
+  g AS (SELECT read, qs, qe, sum(fresh) OVER (PARTITION BY read ORDER BY qs, qe ROWS UNBOUNDED PRECEDING) AS island FROM f),
+  isl AS (SELECT read, min(qs) AS s, max(qe) AS e FROM g GROUP BY read, island)"""
 OPS = "o AS (SELECT read, rank, chrom, reverse, cigar, list_transform(regexp_extract_all(cigar, '([0-9]+[MIDNSHP=X])', 1), lambda p: {'op': p[-1], 'len': CAST(p[:-2] AS BIGINT)}) AS ops FROM aln)"
 
 
@@ -30,9 +33,9 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.merge(_where(alignments(spark, sf_dir)), ["chrom"])
 
 
-@query(f'WITH {ALN}, {ISLANDS} SELECT * FROM (SELECT chrom, e AS start, lead(s) OVER (PARTITION BY chrom ORDER BY s) AS "end" FROM isl) WHERE "end" IS NOT NULL')
+@query(f'WITH {ALN}, {QI} SELECT * FROM (SELECT read, e AS start, lead(s) OVER (PARTITION BY read ORDER BY s) AS "end" FROM isl) WHERE "end" IS NOT NULL')
 def interval_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.gaps(_where(alignments(spark, sf_dir)), ["chrom"])
+    return intervals.gaps(alignments(spark, sf_dir).select("read", F.col("qs").alias("start"), F.col("qe").alias("end")), ["read"])
 
 
 @query(f"WITH {ALN}, {ISLANDS} SELECT chrom, CAST(sum(e - s) AS BIGINT) AS covered, CAST(sum(n) AS BIGINT) AS intervals FROM isl GROUP BY chrom")
@@ -212,11 +215,6 @@ def curation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation_merge(spark, sf_dir).where("verdict = 'uncurated'").orderBy("read_name").limit(100).select("read_name", "lhs_fingerprint", "rhs_fingerprint")
 
 
-QI = """f AS (SELECT read, qs, qe, CASE WHEN qs > max(qe) OVER (PARTITION BY read ORDER BY qs, qe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM aln),
-  g AS (SELECT read, qs, qe, sum(fresh) OVER (PARTITION BY read ORDER BY qs, qe ROWS UNBOUNDED PRECEDING) AS island FROM f),
-  isl AS (SELECT read, min(qs) AS s, max(qe) AS e FROM g GROUP BY read, island)"""
-
-
 @query(
     f"""WITH {ALN}, {QI}, u AS (SELECT read, sum(e - s) AS un FROM isl GROUP BY read)
 SELECT aln.read, count(*) AS records, CAST(max(un) AS BIGINT) AS aligned_union, CAST(sum(qe - qs) AS BIGINT) AS aligned_sum, CAST(max(qe) - min(qs) - max(un) AS BIGINT) AS interior_gap, CAST(min(qs) AS BIGINT) AS clip5, CAST(max(read_len) - max(qe) AS BIGINT) AS clip3
