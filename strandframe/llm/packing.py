@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from .common import by_size
-from .token_counts import SCAN, WORDS, CountMachine, PreTokens, distinct_spans, load_spec
+from .token_counts import SCAN, CountMachine, PreTokens, distinct_spans, load_spec
 
 #: Tokens of a group, about: bounds the memory of a task, whatever its partition holds.
 GROUP = 2_000_000
+#: Words whose ids a worker keeps.
+KNOWN = 1_000_000
 
 Piece = tuple[int, int, int]  # document of the group, start, length
 
@@ -117,35 +119,84 @@ def powers_of_two(pieces: list[Piece]) -> list[list[Piece]]:
     return out
 
 
+class WordTable:
+    """Token ids of words met before, by two hashes of each: open addressing in arrays, some 50 bytes a word."""
+
+    def __init__(self, most: int):
+        self.most, self.bits = most, (2 * most - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys = np.zeros((self.most, 2), np.uint64)
+        self.begin, self.size = np.zeros(self.most, np.int64), np.zeros(self.most, np.int64)
+        self.pool, self.used, self.words = np.zeros(4 * self.most, "<u4"), 0, 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        out, at, todo = np.full(len(keys), -1), self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            entry = self.slots[at[todo]]
+            hit = (entry >= 0) & (self.keys[entry] == keys[todo]).all(axis=1)
+            out[todo[hit]] = entry[hit]
+            todo = todo[(entry >= 0) & ~hit]
+            at[todo] = at[todo] + 1 & (1 << self.bits) - 1
+        return out
+
+    def add(self, keys: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """New, different keys, whose ids lie in the pool from ``used`` on; there must be room for them."""
+        entry = self.words + np.arange(len(keys), dtype=np.int32)
+        self.keys[entry], self.begin[entry], self.size[entry] = keys, begin, size
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slots[at[todo]] < 0]
+            self.slots[at[free]] = entry[free]  # of several one is written; the others go on
+            todo = todo[self.slots[at[todo]] != entry[todo]]
+            at[todo] = at[todo] + 1 & (1 << self.bits) - 1
+        self.words += len(keys)
+        self.used += int(size.sum())
+
+
 class Encoder:
     """Token ids as the tokenizers library gives them, by the compiled machine; ids of words are kept for their next use."""
 
-    def __init__(self, spec: bytes):
+    def __init__(self, spec: bytes, most: int = KNOWN):
         self.pre, self.machine = PreTokens(spec), CountMachine(spec)
-        self.special = {t["content"].encode(): (t["id"],) for t in json.loads(spec)["added_tokens"]}
-        self.words: dict[bytes, tuple[int, ...]] = dict(self.special)
+        self.special = {t["content"].encode(): [t["id"]] for t in json.loads(spec)["added_tokens"]}
+        self.known = WordTable(most)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         data, starts, ends, owner = self.pre.split(texts)
-        first, number = distinct_spans(data, starts, ends)
-        if len(self.words) > WORDS:
-            self.words = dict(self.special)
-        known, flat, sizes = self.words, [], []
-        for a, b in zip(starts[first].tolist(), ends[first].tolist()):
+        first, number, keys = distinct_spans(data, starts, ends)
+        known = self.known
+        if known.words > known.most - known.most // 16:
+            known.clear()
+        entry = known.find(keys)
+        begin, size = known.begin[entry], known.size[entry]
+        new = np.flatnonzero(entry < 0)
+        long = (ends - starts)[first[new]] >= 64
+        new = new[np.argsort(long, kind="stable")]  # long words come last, and are not kept
+        flat, sizes = [], []
+        for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist()):
             word = data[a:b]
-            ids = known.get(word)
-            if ids is None:
-                ids = tuple(self.machine.ids(word))
-                if len(word) < 64:
-                    known[word] = ids
+            ids = self.special.get(word) or self.machine.ids(word)
             flat += ids
             sizes.append(len(ids))
-        size = np.array(sizes, dtype=np.int64)
-        begin = np.cumsum(size) - size
+        size[new] = sizes
+        begin[new] = known.used + np.cumsum(size[new]) - size[new]
+        short = known.used + len(flat) - len(known.pool)
+        if short > 0:
+            known.pool = np.concatenate([known.pool, np.zeros(short, "<u4")])
+        known.pool[known.used : known.used + len(flat)] = flat
+        kept = new[: min(int((~long).sum()), known.most - known.words)]
+        known.add(keys[kept], begin[kept], size[kept])
         n = size[number]
         at = np.cumsum(n)
-        ids = np.array(flat, dtype="<u4")[np.repeat(begin[number] - at + n, n) + np.arange(at[-1] if len(at) else 0)]
+        ids = known.pool[np.repeat(begin[number] - at + n, n) + np.arange(at[-1] if len(at) else 0)]
         cuts = np.concatenate([[0], at])[np.searchsorted(owner, np.arange(len(texts) + 1))].tolist()
         return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 

@@ -294,13 +294,13 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def distinct_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One span of each different content, and for every span the number of its content.
+def distinct_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One span of each different content, for every span the number of its content, and two hashes of each content.
 
     Contents are told apart by two 64-bit polynomial hashes and the length.
     """
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
     raw = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
     hashes = []
     for base in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
@@ -316,7 +316,7 @@ def distinct_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[n
         for k in np.flatnonzero(odd).tolist():
             number[k] = more.setdefault(data[starts[k] : ends[k]], (len(first) + len(more), k))[0]
         first = np.concatenate([first, [k for _, k in more.values()]]).astype(np.int64)
-    return first, number
+    return first, number, np.stack([mixed[first], hashes[1][first]], axis=1)
 
 
 @lru_cache(maxsize=4)
@@ -336,7 +336,7 @@ class Counter:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         data, starts, ends, owner = self.pre.split(texts)
-        first, number = distinct_spans(data, starts, ends)
+        first, number, _ = distinct_spans(data, starts, ends)
         if len(self.words) > WORDS:
             self.words = dict.fromkeys((s.encode() for s in self.pre.special), 1)
         known, count = self.words, self.machine.count

@@ -56,6 +56,16 @@ def test_op1_machine_equals_the_tokenizer(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoder(spec)(texts)] == want
 
 
+def test_op8_word_table_is_bounded():
+    spec, rng = token_counts.load_spec(VOCABULARY), random.Random(8)
+    encode = packing.Encoder(spec, most=64)
+    for _ in range(12):
+        texts = [" ".join(str(rng.randrange(90)) + rng.choice(["a", "'ll", "é", "x" * 70, "<|endoftext|>"]) for _ in range(60)) for _ in range(3)] + [""]
+        want = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
+        assert encode.known.words <= 64
+
+
 _tokenizer = []
 
 
