@@ -251,7 +251,8 @@ def _refine(contexts: DataFrame, length: int = LENGTH, gram: int = GRAM, widths:
     A string's start is ``o`` bytes before the anchor. A range of starts whose common bytes no other
     context has is dropped; one whose bytes all together some other context has is repeated; else it is
     cut into narrower ranges, down to single strings, unless it lies between ranges that are repeated:
-    a context's stretch is one, from its first repeated string to its last.
+    a context's stretch is one, from its first repeated string to its last. While any context is unsure of
+    a range, all that share the range's common bytes go on with it, so that none lacks a partner.
     """
     reach = length - gram
 
@@ -291,9 +292,14 @@ def _refine(contexts: DataFrame, length: int = LENGTH, gram: int = GRAM, widths:
         hits = live.where("hit").groupBy(*KEY).agg((-F.max("last")).alias("begin"), (F.lit(length) - F.min("first")).alias("end"))
         found = hits if found is None else found.union(hits)
         if width > 1:
-            outside = F.col("begin").isNull() | (F.col("last") > -F.col("begin")) | (F.col("first") < F.lit(length) - F.col("end"))
-            unsure = live.where("hit is null").join(found, KEY, "left").where(outside).select(*KEY, "first", "last").distinct()
-            todo = contexts.select(*KEY, "context").join(unsure, KEY)
+            known = found.groupBy(*KEY).agg(F.max(-F.col("begin")).alias("far"), F.min(F.lit(length) - F.col("end")).alias("near"))
+            outside = F.col("far").isNull() | (F.col("last") > F.col("far")) | (F.col("first") < F.col("near"))
+            unsure = live.where("hit is null").join(known, KEY, "left").where(outside)
+            open_ = materialize(unsure.select(*place, "core").distinct(), "open")
+            members = live.join(open_, [*place, "core"])  # with the partners that need no more counting for themselves
+            one = members.where("hit").groupBy(*place, "span").agg(F.min(F.struct(*KEY)).alias("one"))  # equal in the range: one stands for all
+            passed = members.where("hit is null").select(*KEY, "first", "last").union(one.select(*(f"one.{k}" for k in KEY), "first", "last"))
+            todo = contexts.select(*KEY, "context").join(materialize(passed, "passed"), KEY)
     return found
 
 

@@ -353,3 +353,19 @@ def test_op10_large_groups_are_refined(spark):
     for i, gone in enumerate(brute_repeats([t.encode() for t in texts])):
         got = substring_dedup.covered(len(texts[i]), [r.asDict() for r in runs.get(i, [])])
         assert (got == gone).all()
+
+
+def test_op10_refined_groups_keep_their_partners(spark):
+    rng = random.Random(11)
+    base = bytes(rng.randrange(97, 123) for _ in range(700)).decode()
+    change = lambda text, *at: "".join(c.upper() if i in at else c for i, c in enumerate(text))
+    anchor, _ = substring_dedup.anchor_positions(np.frombuffer(base.encode(), np.uint8), np.full(700, 700), 400, 100)
+    p = int(anchor[len(anchor) // 2])
+    near = [base, change(base, p - 250), change(base, p - 31)]
+    groups = [near, [change(base, *rng.sample(range(700), rng.randrange(1, 3))) for _ in range(12)] + near]
+    for texts in groups:
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        runs = {r.k1: r.runs for r in substring_dedup.stretches(substring_dedup.keyed(df, "doc_id", "text"), group=2).collect()}
+        for i, gone in enumerate(brute_repeats([t.encode() for t in texts])):
+            got = substring_dedup.covered(len(texts[i]), [r.asDict() for r in runs.get(i, [])])
+            assert (got == gone).all()
