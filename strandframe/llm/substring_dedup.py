@@ -113,6 +113,7 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         for batch in batches:
             texts = _text_bytes(batch.column(2))
             k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            last = (-1, -1)  # text and position of the anchor before: two pieces of a text may own one anchor
             for segment in _segments(texts, length):
                 data = np.frombuffer(b"".join(texts[i][a:b] for i, a, b in segment), np.uint8)
                 sizes = np.array([b - a for _, a, b in segment])
@@ -123,6 +124,9 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 for p, g, s in zip((at - (stops - sizes)[which]).tolist(), hashes.tolist(), which.tolist()):
                     i, a, _ = segment[s]
                     p += a
+                    if (i, p) <= last:
+                        continue
+                    last = (i, p)
                     text = texts[i]
                     before, after = min(p, reach), min(len(text) - p, length)
                     h = xxhash.xxh3_128_intdigest(text[p - before : p + after], seed=before)

@@ -369,3 +369,13 @@ def test_op10_refined_groups_keep_their_partners(spark):
         for i, gone in enumerate(brute_repeats([t.encode() for t in texts])):
             got = substring_dedup.covered(len(texts[i]), [r.asDict() for r in runs.get(i, [])])
             assert (got == gone).all()
+
+
+def test_op10_pieces_of_a_long_text_share_no_anchor(spark):
+    rng = np.random.default_rng(12)
+    size = substring_dedup.SEGMENT
+    clean = rng.integers(97, 123, 2 * size + 5000, np.uint8).tobytes().decode()
+    twice = clean[size - 200 : size + 300]
+    df = spark.createDataFrame([(1, clean), (2, twice + "#" * 100), (3, clean[::-1]), (3, clean[::-1])], "doc_id long, text string")
+    got = counted(substring_dedup.remove_repeats(df), "doc_id", "n_removed", "n_spans")
+    assert got == {(1, 500, 1): 1, (2, 500, 1): 1, (3, len(clean), 1): 2}
