@@ -119,11 +119,11 @@ class Weights:
         return np.concatenate(out)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float] | None:
     """Fits on the ``sample`` labelled rows of least hash that are not held out; one task, bounded by ``sample``.
 
     Rows without an id or with another label than 0 or 1 are not learnt from. Of labels repeated for an
-    id the largest counts. Without any labelled row there are no weights, and the bias is 0.
+    id the largest counts. Without any labelled row nothing is learnt, and the result is None.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     known = known.where(F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(5)) != 0)
@@ -134,13 +134,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
         held = []  # texts become features batch by batch
         for batch in batches:
             held += zip(batch["h"].tolist(), batch["_y"].tolist(), feature_sets(batch["text"].tolist()))
+        if not held:
+            return
         held.sort(key=lambda r: (r[0], r[2].tobytes()))
         at, w, bias = fit([r[2] for r in held], [r[1] for r in held])
         yield pd.DataFrame({"at": np.append(at, -1), "w": np.append(w, bias)})
 
     got = rows.repartition(1).mapInPandas(run, "at long, w double").toPandas().sort_values("at")
     at, w = got["at"].to_numpy(), got["w"].to_numpy()
-    return at[1:], w[1:], float(w[0]) if len(w) else 0.0
+    return (at[1:], w[1:], float(w[0])) if len(w) else None
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +152,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id
     is divisible by five are held out from training; a null id is neither held out nor learnt from.
     Repeated rows score alike; an empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample=sample, id_col=id_col, text_col=text_col))
+    nothing = np.zeros(0, np.int64), np.zeros(0), 0.0
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample=sample, id_col=id_col, text_col=text_col) or nothing)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Weights(*sent.value)
@@ -163,8 +166,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose texts do not score 0.5 or more, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col))
+    """The rows of ``docs`` whose texts do not score 0.5 or more, with all their columns; all rows if nothing was learnt."""
+    learnt = train(docs, labels, id_col=id_col, text_col=text_col)
+    if learnt is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(learnt)
 
     @F.pandas_udf("boolean")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -379,3 +379,12 @@ def test_op10_pieces_of_a_long_text_share_no_anchor(spark):
     df = spark.createDataFrame([(1, clean), (2, twice + "#" * 100), (3, clean[::-1]), (3, clean[::-1])], "doc_id long, text string")
     got = counted(substring_dedup.remove_repeats(df), "doc_id", "n_removed", "n_spans")
     assert got == {(1, 500, 1): 1, (2, 500, 1): 1, (3, len(clean), 1): 2}
+
+
+def test_op6_without_usable_labels_keeps_all(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (None, "other words")], "doc_id long, text string")
+    held = next(i for i in range(3, 99) if zlib.crc32(str(i).encode()) % 5 == 0)
+    for labels in ([], [(1, None)], [(held, 1)]):
+        marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+        assert counted(toxicity.drop_toxic(docs, marks), "doc_id", "text") == counted(docs, "doc_id", "text")
+        assert {r.score for r in toxicity.toxicity_scores(docs, marks).collect()} == {0.5}
