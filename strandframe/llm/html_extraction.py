@@ -11,6 +11,7 @@ import html
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,17 @@ from .labelled_blocks import PAGES
 
 #: Comments and declarations, or a tag with quoted attribute values; an end of page inside either ends it.
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 TOKEN = re.compile(r"[a-z]+")
 #: Elements whose contents are no text of the page.
-DROPPED = frozenset("script style noscript template iframe svg math object canvas select option textarea button head title audio video map".split())
+DROPPED = frozenset("script style noscript template iframe svg object canvas select option textarea button head title audio video map".split())
 #: Those of them whose contents are not markup: only their own end tag ends them.
-RAW = frozenset("script style noscript template iframe textarea title".split())
+RAW = frozenset("script style noscript template iframe textarea title annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mrow mi mn mo ms mtext mspace mstyle mfrac msqrt mroot msub msup msubsup mover munder munderover mpadded mphantom mtable mtr mtd".split()
+)
 #: Elements whose end tags are often left out: they never enclose a region.
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot h1 h2 h3 h4 h5 h6".split()) | INLINE
 ASIDE = frozenset("nav footer aside form dialog menu".split())
@@ -37,6 +41,8 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter subscribe subscription signup login menu navbar navigation nav "
     "breadcrumb breadcrumbs sidebar comment comments disqus reply replies respond footer share sharing social related recommended popup modal overlay widget pagination pager masthead toolbar skip".split()
 )
+#: Words of a class after these say what an element holds or lacks, not what it is.
+HOLDS = frozenset("no has with without".split())
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "aside", "heading", "item")
 Block = tuple[str, float, bool, bool, bool, bool]  # text, link density, in article, in aside, heading, list item
 
@@ -48,7 +54,8 @@ def _names(attributes: str) -> tuple[set[str], str, bool]:
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            words.update(TOKEN.findall(value))
+            for token in value.split():
+                words.update(takewhile(lambda w: w not in HOLDS, TOKEN.findall(token)))
         elif name == "role":
             role = value.strip()
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
@@ -60,9 +67,9 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; character references decoded, white space runs made one space."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    open_: list[tuple[str, bool, bool, bool]] = []  # name, article, aside, dropped
+    open_: list[tuple[str, bool, bool, bool, bool]] = []  # name, article, aside, aside by class or role only, dropped
     article = aside = dropped = link = False
-    heading = item = False
+    heading = item = own = begun = False  # own: the block's element is marked itself; begun: an article was seen
     at = 0
 
     def flush() -> None:
@@ -72,7 +79,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = sum(len(t.split()) for t, is_link in parts if is_link)
                 words = sum(len(t.split()) for t, _ in parts)
-                out.append((text, linked / max(words, 1), article, aside, heading, item))
+                out.append((text, linked / max(words, 1), article, aside or own, heading, item))
             parts = []
 
     while True:
@@ -104,8 +111,10 @@ def blocks(page: str) -> list[Block]:
         if name in LOOSE:
             heading = not ends and name[0] == "h" and name[1:].isdigit()
             item = not ends and name in ("li", "dt", "dd")
+            words, role, _ = _names(m[3]) if m[3] and not ends else (set(), "", False)
+            own = role in ROLES or not NAMES.isdisjoint(words)
             continue
-        heading = item = False
+        heading = item = own = False
         if name in VOID or name in ("html", "body"):
             if name == "body":
                 open_, article, aside, dropped = [], False, False, False
@@ -116,10 +125,15 @@ def blocks(page: str) -> list[Block]:
                 del open_[depth:]
         elif not m[3].endswith("/"):
             words, role, hidden = _names(m[3]) if m[3] else (set(), "", False)
-            was = open_[-1] if open_ else ("", False, False, False)
-            is_aside = name in ASIDE or name == "header" and not was[1] or role in ROLES or not NAMES.isdisjoint(words)
-            open_.append((name, was[1] or name in ("article", "main") or role in ("main", "article"), was[2] or is_aside, was[3] or name in DROPPED or hidden))
-        _, article, aside, dropped = open_[-1] if open_ else ("", False, False, False)
+            was = open_[-1] if open_ else ("", False, False, False, False)
+            is_main, is_article = name == "main" or role == "main", name == "article" or role == "article"
+            is_aside = name in ASIDE or name == "header" and not was[1]
+            # the page's main part or first article is no aside for the class of a wrapper; later articles may be comments
+            inside = was[3] and not (is_main or is_article and not begun)
+            begun = begun or is_main or is_article
+            open_.append((name, was[1] or is_main or is_article, was[2] or is_aside, inside or role in ROLES or not NAMES.isdisjoint(words), was[4] or name in DROPPED or hidden))
+        _, article, tagged, named, dropped = open_[-1] if open_ else ("", False, False, False, False)
+        aside = tagged or named
     flush()
     return out
 

@@ -388,3 +388,20 @@ def test_op6_without_usable_labels_keeps_all(spark):
         marks = spark.createDataFrame(labels, "doc_id long, toxic int")
         assert counted(toxicity.drop_toxic(docs, marks), "doc_id", "text") == counted(docs, "doc_id", "text")
         assert {r.score for r in toxicity.toxicity_scores(docs, marks).collect()} == {0.5}
+
+
+def test_op4_marks_only_what_is_marked():
+    body = "<p>Some words of the article.</p>"
+    marks = lambda page: [(b[0], b[3]) for b in html_extraction.blocks(page)]
+    want = [("Some words of the article.", False)]
+    for attributes in ('data-title="hidden gems"', 'data-visibility="hidden"', 'data-id="comments-12"', 'title="an id=comments"', 'class="post has-comments"', 'class="site no-sidebar"'):
+        assert marks(f"<div {attributes}>{body}</div>") == want
+    assert marks(f'<div class="popup"><main>{body}</main></div>') == want
+    assert marks(f'<div class="popup"><article>{body}</article></div>') == want
+    assert [m for _, m in marks(f'<article>{body}</article><div id="comments"><article>{body}</article></div>')] == [False, True]
+    assert marks(f"<nav><article>{body}</article></nav>") == [(want[0][0], True)]
+    for tag in ("p", "li", "td", "h2"):
+        assert marks(f'<article><{tag} class="advert">Buy</{tag}>{body}</article>') == [("Buy", True), *want]
+    assert marks("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p>") == [("If x=2 holds", False)]
+    for attributes in ("hidden", "hidden=''", 'style="display: none"', "aria-hidden=true"):
+        assert marks(f"<div {attributes}>{body}</div>") == []
