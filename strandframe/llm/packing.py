@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from .common import by_size
-from .token_counts import SCAN, CountMachine, PreTokens, distinct_spans, load_spec
+from .token_counts import SCAN, SHORT, PreTokens, _byte_names, distinct_spans, load_spec
 
 #: Tokens of a group, about: bounds the memory of a task, whatever its partition holds.
 GROUP = 2_000_000
-#: Words whose ids a worker keeps.
-KNOWN = 1_000_000
+#: Short and long words whose ids a worker keeps.
+KNOWN, LONG = 500_000, 20_000
 
 Piece = tuple[int, int, int]  # document of the group, start, length
 
@@ -120,7 +120,7 @@ def powers_of_two(pieces: list[Piece]) -> list[list[Piece]]:
 
 
 class WordTable:
-    """Token ids of words met before, by two hashes of each: open addressing in arrays, some 50 bytes a word."""
+    """Token ids of short words met before, by the words themselves: open addressing in arrays, some 50 bytes a word."""
 
     def __init__(self, most: int):
         self.most, self.bits = most, (2 * most - 1).bit_length()
@@ -133,7 +133,8 @@ class WordTable:
         self.pool, self.used, self.words = np.zeros(4 * self.most, "<u4"), 0, 0
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64)
+        mixed = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[:, 1] * np.uint64(0xBF58476D1CE4E5B9)
+        return ((mixed ^ mixed >> np.uint64(32)) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The entry of each key, or -1."""
@@ -161,29 +162,39 @@ class WordTable:
 
 
 class Encoder:
-    """Token ids as the tokenizers library gives them, by the compiled machine; ids of words are kept for their next use."""
+    """Token ids as the tokenizers library gives them: its model sees each different word of a batch once; ids of words are kept for their next use."""
 
     def __init__(self, spec: bytes, most: int = KNOWN):
-        self.pre, self.machine = PreTokens(spec), CountMachine(spec)
+        from tokenizers import Tokenizer
+
+        self.pre, self.tokenizer = PreTokens(spec), Tokenizer.from_str(spec.decode())
+        self.names = _byte_names()
         self.special = {t["content"].encode(): [t["id"]] for t in json.loads(spec)["added_tokens"]}
         self.known = WordTable(most)
+        self.long: dict[bytes, list[int]] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         data, starts, ends, owner = self.pre.split(texts)
         first, number, keys = distinct_spans(data, starts, ends)
-        known = self.known
+        known, names, model = self.known, self.names, self.tokenizer.model
         if known.words > known.most - known.most // 16:
             known.clear()
         entry = known.find(keys)
         begin, size = known.begin[entry], known.size[entry]
-        new = np.flatnonzero(entry < 0)
-        long = (ends - starts)[first[new]] >= 64
-        new = new[np.argsort(long, kind="stable")]  # long words come last, and are not kept
+        long = (ends - starts)[first] >= SHORT
+        entry[long] = -1
+        new = np.flatnonzero(entry < 0)  # long words come last, and are not kept in the table
+        if len(self.long) > LONG:
+            self.long.clear()
         flat, sizes = [], []
         for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist()):
             word = data[a:b]
-            ids = self.special.get(word) or self.machine.ids(word)
+            ids = self.special.get(word) or self.long.get(word)
+            if ids is None:
+                ids = [t.id for t in model.tokenize(word.decode("latin-1").translate(names))]
+                if SHORT <= b - a < 64:
+                    self.long[word] = ids
             flat += ids
             sizes.append(len(ids))
         size[new] = sizes
@@ -192,7 +203,7 @@ class Encoder:
         if short > 0:
             known.pool = np.concatenate([known.pool, np.zeros(short, "<u4")])
         known.pool[known.used : known.used + len(flat)] = flat
-        kept = new[: min(int((~long).sum()), known.most - known.words)]
+        kept = new[: min(int((~long[new]).sum()), known.most - known.words)]
         known.add(keys[kept], begin[kept], size[kept])
         n = size[number]
         at = np.cumsum(n)

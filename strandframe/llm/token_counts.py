@@ -179,10 +179,10 @@ class State(dict):
     relative to here; the empty prefix comes last, with the last token of all bytes so far.
     """
 
-    __slots__ = ("machine", "reach", "token", "width")
+    __slots__ = ("machine", "reach")
 
-    def __init__(self, machine: CountMachine, reach: tuple, width: int):
-        self.machine, self.reach, self.token, self.width = machine, reach, reach[-1][1], width
+    def __init__(self, machine: CountMachine, reach: tuple):
+        self.machine, self.reach = machine, reach
 
     def __missing__(self, byte: int) -> tuple[State, int]:
         made = self[byte] = self.machine.move(self.reach, byte)
@@ -218,7 +218,6 @@ class CountMachine:
                     nodes += 1
                 node = self.trie[at]
             self.token[node] = i
-        self.width = {i: len(s) for s, i in ids.items()}
         self.inner = inner
         self.reset()
 
@@ -230,7 +229,7 @@ class CountMachine:
     def state(self, reach: tuple) -> State:
         found = self.known.get(reach)
         if found is None:
-            found = self.known[reach] = State(self, reach, self.width.get(reach[-1][1], 0))
+            found = self.known[reach] = State(self, reach)
         return found
 
     def adjacent(self, a: int, b: int) -> bool:
@@ -280,18 +279,6 @@ class CountMachine:
             total += added
         return total
 
-    def ids(self, word: bytes) -> list[int]:
-        """The tokens themselves: the last token of each prefix, walked back from the end."""
-        state = self.start()
-        path = [state := state[byte][0] for byte in word]
-        out, at = [], len(word)
-        while at:
-            state = path[at - 1]
-            out.append(state.token)
-            at -= state.width
-        out.reverse()
-        return out
-
 
 def _byte_names() -> dict[int, str]:
     """Byte -> printable character of byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from 256 on."""
@@ -300,37 +287,37 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Byte masks of contents of 0 to 15 bytes, and the length in the last byte.
+_KEEP = np.array([[0xFF] * n + [0] * (16 - n) for n in range(16)], np.uint8).view("<u8")
+_SIZE = np.array([[0] * 15 + [n] for n in range(16)], np.uint8).view("<u8")
+SHORT = 16
+
+
 def distinct_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One span of each different content, for every span the number of its content, and two hashes of each content.
+    """One span of each different content, for every span the number of its content, and a key of each content.
 
-    Contents are told apart by two 64-bit polynomial hashes and the length.
+    Contents of under SHORT bytes come first; their key, two 64-bit numbers, is the bytes and the length
+    themselves. Longer ones are told apart by their bytes; their keys are 0.
     """
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
-    raw = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-    hashes = []
-    for base in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
-        up, down = _powers(base, 1 << (len(raw)).bit_length())
-        h = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * up[: len(raw)])])
-        hashes.append((h[ends] - h[starts]) * down[starts])
-    hashes[0] ^= hashes[0] >> np.uint64(32)
-    mixed = hashes[0] * np.uint64(0xBF58476D1CE4E5B9) ^ (ends - starts).astype(np.uint64)
-    _, first, number = np.unique(mixed, return_index=True, return_inverse=True)
-    odd = (hashes[1] != hashes[1][first][number]) | (hashes[0] != hashes[0][first][number]) | (ends - starts != (ends - starts)[first][number])
-    if odd.any():  # contents that share a mixed hash: numbered by their bytes
-        more = {}
-        for k in np.flatnonzero(odd).tolist():
-            number[k] = more.setdefault(data[starts[k] : ends[k]], (len(first) + len(more), k))[0]
-        first = np.concatenate([first, [k for _, k in more.values()]]).astype(np.int64)
-    return first, number, np.stack([mixed[first], hashes[1][first]], axis=1)
-
-
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    size = ends - starts
+    short, long = np.flatnonzero(size < SHORT), np.flatnonzero(size >= SHORT)
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data + bytes(SHORT), np.uint8), SHORT)
+    keys = windows[starts[short]].view("<u8") & _KEEP[size[short]] | _SIZE[size[short]]
+    mixed = (keys[:, 0] ^ keys[:, 0] >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + (keys[:, 1] ^ keys[:, 1] >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    _, first, place = np.unique(mixed, return_index=True, return_inverse=True)
+    odd = np.flatnonzero((keys != keys[first][place]).any(axis=1))
+    more: dict[tuple, tuple[int, int]] = {}
+    for k in odd.tolist():  # different contents whose mixed keys agree
+        place[k] = more.setdefault(tuple(keys[k].tolist()), (len(first) + len(more), k))[0]
+    first = np.concatenate([first, np.array([k for _, k in more.values()], np.int64)])
+    number = np.empty(len(size), np.int64)
+    number[short] = place
+    found: dict[bytes, tuple[int, int]] = {}
+    for k, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist()):
+        number[k] = found.setdefault(data[a:b], (len(first) + len(found), k))[0]
+    own = keys[first]
+    first = np.concatenate([short[first], np.array([k for _, k in found.values()], np.int64)])
+    return first, number, np.concatenate([own, np.zeros((len(found), 2), own.dtype)])
 
 
 class Counter:
