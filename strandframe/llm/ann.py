@@ -8,8 +8,6 @@ exactly in double precision. All shards are asked, in blocks of queries, and the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Vectors of a shard and queries of a block, about: bounds of a task's memory.
-SHARD, BLOCK = 8192, 2048
+SHARD, BLOCK = 16384, 16384
 #: Trees, bits of a hash string, and candidates that a query wants of a shard, repeats over the trees counted.
-TREES, BITS, WANTED = 16, 32, 6144
+TREES, BITS, WANTED = 96, 24, 5000
 
 
 def planes(dimension: int, trees: int = TREES, bits: int = BITS, seed: int = 5) -> np.ndarray:
@@ -28,8 +26,13 @@ def planes(dimension: int, trees: int = TREES, bits: int = BITS, seed: int = 5)
 
 def hash_strings(x: np.ndarray, normals: np.ndarray, bits: int = BITS) -> np.ndarray:
     """A row for each tree: the hash string of each vector, first bit highest."""
-    signs = (x @ normals > 0).reshape(len(x), -1, bits)
-    return np.ascontiguousarray(np.packbits(signs, axis=2).view(">u4")[:, :, 0].T).astype(np.uint64)
+    trees = normals.shape[1] // bits
+    out = np.empty((trees, len(x)), np.uint32)
+    for at in range(0, len(x), 1024):
+        signs = np.zeros((min(1024, len(x) - at), trees, 32), bool)
+        signs[:, :, 32 - bits :] = (x[at : at + 1024] @ normals > 0).reshape(-1, trees, bits)
+        out[:, at : at + 1024] = np.packbits(signs, axis=2).view(">u4")[:, :, 0].T
+    return out
 
 
 class Forest:
@@ -40,7 +43,7 @@ class Forest:
         size = (x * x).sum(axis=1)
         # one more component makes all vectors equally long, so the largest inner product is the least angle
         keys = hash_strings(np.column_stack([x, np.sqrt(size.max(initial=0) - size)]), self.normals, bits)
-        self.order = np.argsort(keys, axis=1, kind="stable")
+        self.order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
         self.keys = np.take_along_axis(keys, self.order, axis=1)
 
     def depths(self, strings: np.ndarray) -> np.ndarray:
@@ -49,46 +52,45 @@ class Forest:
         for keys, wanted in zip(self.keys, strings):
             at = np.searchsorted(keys, wanted)
             for near in (np.maximum(at - 1, 0), np.minimum(at, len(keys) - 1)):
-                differ = keys[near] ^ wanted
-                _, length = np.frexp(differ.astype(float))
+                _, length = np.frexp((keys[near] ^ wanted).astype(float))
                 best = np.maximum(best, self.bits - length)
         return best
 
-    def candidates(self, queries: np.ndarray, wanted: int = WANTED) -> Iterator[np.ndarray]:
-        """A row mask over the vectors for each query: all trees ascend together until their prefixes hold ``wanted``."""
+    def candidates(self, queries: np.ndarray, wanted: int = WANTED) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the shard for all queries in order, and where each query's begin: all trees ascend together until their prefixes hold ``wanted``."""
         strings = hash_strings(np.column_stack([queries, np.zeros(len(queries))]), self.normals, self.bits)
         level = self.depths(strings)
         low = np.zeros(strings.shape, np.int64)
         high = np.zeros(strings.shape, np.int64)
         rising = np.arange(len(queries))
         while len(rising):
-            shift = (self.bits - level[rising]).astype(np.uint64)
+            shift = (self.bits - level[rising]).astype(np.uint32)
             for t, keys in enumerate(self.keys):
-                prefix = strings[t, rising] >> shift
-                low[t, rising] = np.searchsorted(keys, prefix << shift)
-                high[t, rising] = np.searchsorted(keys, (prefix + np.uint64(1)) << shift)
+                first = strings[t, rising] >> shift << shift
+                low[t, rising] = np.searchsorted(keys, first)
+                high[t, rising] = np.searchsorted(keys, first + ((np.uint32(1) << shift) - np.uint32(1)), side="right")
             enough = (high[:, rising] - low[:, rising]).sum(axis=0) >= wanted
             rising = rising[~enough & (level[rising] > 0)]
             level[rising] -= 1
-        for q in range(len(queries)):
-            mask = np.zeros(self.keys.shape[1], bool)
-            for order, a, b in zip(self.order, low[:, q].tolist(), high[:, q].tolist()):
-                mask[order[a:b]] = True
-            yield mask
+        n = (high - low).T.ravel()  # query by query, tree by tree
+        at = np.repeat(low.T.ravel() - np.cumsum(n) + n, n) + np.arange(n.sum())
+        tree = np.repeat(np.tile(np.arange(len(self.keys)), len(queries)), n)
+        query = np.repeat(np.repeat(np.arange(len(queries)), len(self.keys)), n)
+        mask = np.zeros((len(queries), self.keys.shape[1]), bool)
+        mask[query, self.order[tree, at]] = True
+        return np.nonzero(mask)[1], np.concatenate([[0], np.cumsum(mask.sum(axis=1))])
 
 
 def nearest(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, wanted: int = WANTED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, vector ids and scores of the ``k`` best candidates of each query; ties go to the smaller id."""
+    """Query ids, vector ids and scores of the ``k`` best candidates of each query; ties go to the smaller id. Only candidates are scored."""
     forest = Forest(x)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for at in range(0, len(queries), 128):
-        block = queries[at : at + 128]
-        rough = block @ x.T
-        for q, mask in enumerate(forest.candidates(block, wanted)):
-            found = np.flatnonzero(mask & (ids != query_ids[at + q]))
-            near = rough[q, found]
-            if len(found) > k:  # rounding of the block product must not part equal scores
-                found = found[near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9 * max(1.0, float(np.abs(near).max()))]
+    for at in range(0, len(queries), 64):
+        block = queries[at : at + 64]
+        rows, cuts = forest.candidates(block, wanted)
+        for q in range(len(block)):
+            found = rows[cuts[q] : cuts[q + 1]]
+            found = found[ids[found] != query_ids[at + q]]
             score = (x[found] * block[q]).sum(axis=1)
             best = np.lexsort((ids[found], -score))[:k]
             out.append((np.full(len(best), query_ids[at + q]), ids[found[best]], score[best]))
