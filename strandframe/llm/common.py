@@ -50,16 +50,25 @@ def prefix_sum(df: DataFrame, key: str, bucket: str, order: list[str], value: st
     return rows.join(totals, same).withColumn(out, (F.col(out) + F.col("_base")).cast("long")).drop("_k", "_b", "_n", "_base")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one, ``_row``, so that no name of theirs can clash with a helper column."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+
+
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """``k1, k2``: the id and a hash of id and text. Rows that share both are repeats of one row."""
     return [F.col(id_col).cast("long").alias("k1"), F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).alias("k2")]
 
 
 def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is in ``keys (k1, k2)``, one for each key, with their columns as they were."""
+    """The rows of ``docs`` whose key is in ``keys (k1, k2)``, one for each key, with their columns as they were.
+
+    The texts are exchanged once: the window over the keys finds them as the join left them.
+    """
     k1, k2 = row_key(id_col, text_col)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), k1, k2)
-    wanted = keys.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    found = rows.join(wanted, (F.col("k2") == F.col("_k2")) & F.col("k1").eqNullSafe(F.col("_k1")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("k2", "k1").orderBy(F.lit(1)))
+    some = F.lit(-(1 << 63))  # k2 holds whether the id is null, so any number will do for it
+    rows = docs.select(whole_row(docs), F.coalesce(k1, some).alias("k1"), k2)
+    wanted = keys.select(F.coalesce("k1", some).alias("k1"), "k2").distinct()
+    found = rows.join(wanted, ["k1", "k2"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))
     return found.withColumn("_n", first).where("_n = 1").select("_row.*")

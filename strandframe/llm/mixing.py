@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .common import WORD, prefix_sum
+from .common import WORD, prefix_sum, whole_row
 
 BLOCK, SLOTS, WEIGHTS, SHARE, MOST = 256, 1024, (5, 2, 1), 1.5, 2
 PLAN = "source_no int, source string, source_size long, target double, blocks long, slots long, tail long"
@@ -66,13 +66,13 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 def word_stream(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``doc_id, source, text_hash, copy, size, start``: sizes in words and each row's place in its source's stream.
 
-    Rows equal in id, source and text hash are told apart by ``copy``, so these four columns name a row.
+    Rows equal in id and text hash are told apart by ``copy``, by falling order of source, so these three columns name a row.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")
     )
-    same = Window.partitionBy("doc_id", "source", "text_hash").orderBy("size")
+    same = Window.partitionBy("doc_id", "text_hash").orderBy(F.desc("source"))
     rows = rows.withColumn("copy", F.row_number().over(same)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.lit(256)))
     return materialize(prefix_sum(rows, "source", "bucket", ["doc_id", "text_hash", "copy"], "size", "start").drop("bucket"), "words")
 
@@ -80,7 +80,8 @@ def word_stream(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
 def mix_plan(stream: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row for each source: its target, blocks and slots. ``tail``: words its last slot takes.
 
-    The list of source names and sizes is the only thing gathered on the driver.
+    The list of source names and sizes is the only thing gathered on the driver, some 100 bytes a source:
+    sources may number some hundred thousand, not one for each document of a large corpus.
     """
     spark = stream.sparkSession
     found = [(r[0], int(r[1])) for r in stream.groupBy("source").agg(F.sum("size")).collect()]
@@ -187,6 +188,7 @@ def mix_documents(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_c
 
     A text taken whole stays as it is; of a text taken in part, the runs of words taken are kept with the
     white space inside them and joined by a line break. A column ``n_chars`` is set to the new length.
+    Rows that are null in text or without words give no rows; an empty table gives an empty result.
     """
     stream = word_stream(docs, id_col, text_col, source_col)
     plan = mix_plan(stream)
@@ -196,17 +198,23 @@ def mix_documents(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_c
         .agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("runs"))
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    same_row = Window.partitionBy(F.col(id_col), F.col(source_col), "_hash").orderBy(F.lit(1))
-    keyed = docs.withColumn("_hash", F.xxhash64(text)).withColumn("_copy", F.row_number().over(same_row))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("d")) & (F.col("_hash") == F.col("h")) & (F.col("_copy") == F.col("c"))
-    joined = keyed.join(runs, same).select(*docs.columns, "runs")
+    keyed = docs.select(whole_row(docs), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), F.col(source_col).cast("string").alias("_source"))
+    if stream.where("copy > 1").isEmpty():  # without repeats the texts need no exchange for numbering
+        keyed = keyed.withColumn("_copy", F.lit(1))
+    else:
+        keyed = keyed.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.desc("_source"))))
+    same = F.col("_id").eqNullSafe(F.col("d")) & (F.col("_hash") == F.col("h")) & (F.col("_copy") == F.col("c"))
+    joined = keyed.join(runs, same).select("_row", "runs")
 
     @F.pandas_udf(T.StringType())
     def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([cut_words(t or "", [(r["word"], r["words"]) for r in found]) for t, found in zip(texts, runs)])
 
-    out = joined.withColumn(text_col, cut(F.col(text_col), F.col("runs"))).drop("runs")
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    mixed = joined.select("_row", cut(F.col("_row").getField(text_col), F.col("runs")).alias("_text"))
+    changed = {text_col: F.col("_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return mixed.select(*(changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 
 def cut_words(text: str, runs: list[tuple[int, int]]) -> str:

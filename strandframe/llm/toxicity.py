@@ -35,7 +35,7 @@ class Hasher:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers of all texts, and the text of each. A feature may come up more than once."""
-        if len(self.known) > 100_000:
+        if len(self.known) > 50_000:
             self.known.clear()
         known, words, counts = self.known, [], []
         for text in texts:
@@ -123,12 +123,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
     """Fits on the ``sample`` labelled rows of least hash that are not held out; one task, bounded by ``sample``.
 
     Rows without an id or with another label than 0 or 1 are not learnt from. Of labels repeated for an
-    id the largest counts. Without any labelled row nothing is learnt, and the result is None.
+    id the largest counts, of texts the least, so an id is learnt from once. Without any labelled row
+    nothing is learnt, and the result is None.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     known = known.where(F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(5)) != 0)
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "_y", F.xxhash64("_id").alias("h"))
+    texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("i") == F.col("_id")).groupBy("_id", "_y").agg(F.min("text").alias("text")).select("text", "_y", F.xxhash64("_id").alias("h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = []  # texts become features batch by batch
