@@ -70,6 +70,7 @@ def blocks(page: str) -> list[Block]:
     open_: list[tuple[str, bool, bool, bool, bool]] = []  # name, article, aside, aside by class or role only, dropped
     article = aside = dropped = link = False
     heading = item = own = begun = False  # own: the block's element is marked itself; begun: an article was seen
+    depths: dict[str, int] = {}  # how many elements of a name are open: a stray end tag costs no search
     at = 0
 
     def flush() -> None:
@@ -118,11 +119,14 @@ def blocks(page: str) -> list[Block]:
         if name in VOID or name in ("html", "body"):
             if name == "body":
                 open_, article, aside, dropped = [], False, False, False
+                depths.clear()
             continue
         if ends:
-            depth = next((i for i in reversed(range(len(open_))) if open_[i][0] == name), None)
-            if depth is not None:
-                del open_[depth:]
+            while depths.get(name):  # all that is open inside the element ends with it
+                closed = open_.pop()[0]
+                depths[closed] -= 1
+                if closed == name:
+                    break
         elif not m[3].endswith("/"):
             words, role, hidden = _names(m[3]) if m[3] else (set(), "", False)
             was = open_[-1] if open_ else ("", False, False, False, False)
@@ -131,6 +135,7 @@ def blocks(page: str) -> list[Block]:
             # the page's main part or first article is no aside for the class of a wrapper; later articles may be comments
             inside = was[3] and not (is_main or is_article and not begun)
             begun = begun or is_main or is_article
+            depths[name] = depths.get(name, 0) + 1
             open_.append((name, was[1] or is_main or is_article, was[2] or is_aside, inside or role in ROLES or not NAMES.isdisjoint(words), was[4] or name in DROPPED or hidden))
         _, article, tagged, named, dropped = open_[-1] if open_ else ("", False, False, False, False)
         aside = tagged or named
