@@ -24,16 +24,22 @@ ENTRY = "digest binary, points long, keep_id long, keep_row long, size long"
 
 
 class PerfectHash:
-    """Levels of bit maps: a key's slot is the rank of the first level where it was alone."""
+    """Levels of bit maps: a key's slot is the rank of its bit on the first level where it was alone.
+
+    A level holds 64-bit words and, for each, the number of bits set before it.
+    """
 
     def __init__(self, keys: np.ndarray):
-        self.levels: list[np.ndarray] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         self.n = 0
         left = keys
         while len(left):
-            at = self._at(left, len(self.levels), 2 * len(left))
-            alone = np.bincount(at, minlength=2 * len(left)) == 1
-            self.levels.append(np.where(alone, np.cumsum(alone) - 1 + self.n, -1))
+            size = -(-2 * len(left) // 64) * 64
+            at = self._at(left, len(self.levels), size)
+            alone = np.bincount(at, minlength=size) == 1
+            words = np.packbits(alone, bitorder="little").view("<u8")
+            counts = np.bitwise_count(words).astype(np.int64)
+            self.levels.append((words, self.n + np.cumsum(counts) - counts))
             self.n += int(alone.sum())
             left = left[~alone[at]]
 
@@ -46,12 +52,15 @@ class PerfectHash:
         """The slot of each key; any slot or -1 for a key that was not built in, so callers compare the bytes."""
         out = np.full(len(keys), -1)
         left = np.arange(len(keys))
-        for level, slot in enumerate(self.levels):
+        for level, (words, before) in enumerate(self.levels):
             if not len(left):
                 break
-            found = slot[self._at(keys[left], level, len(slot))]
-            out[left] = found
-            left = left[found < 0]
+            at = self._at(keys[left], level, 64 * len(words))
+            word, bit = words[at >> 6], (at & 63).astype(np.uint64)
+            alone = (word >> bit & np.uint64(1)).astype(bool)
+            rank = before[at >> 6] + np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+            out[left[alone]] = rank[alone]
+            left = left[~alone]
         return out
 
 
@@ -119,21 +128,33 @@ def merge(entries: DataFrame, index: DataFrame, shards: int) -> DataFrame:
         slot = found.slots(keys)
         member = slot >= 0
         member[member] = (held[slot[member]] == keys[member]).all(axis=1)
-        rows = old.to_pydict()
-        for s, n in zip(slot[member].tolist(), new.filter(pa.array(member)).to_pylist()):
-            was = (rows["points"][s], rows["keep_id"][s], rows["keep_row"][s])
-            now = (n["points"], n["keep_id"], n["keep_row"])
-            if _rank(now) > _rank(was):
-                rows["points"][s], rows["keep_id"][s], rows["keep_row"][s] = now
-            rows["size"][s] += n["size"]
-        return pa.concat_tables([pa.table(rows, schema=new.schema), new.filter(pa.array(~member))])
+        now, here = new.filter(pa.array(member)), slot[member]  # a slot comes up once, as new digests are distinct
+        was = old.take(pa.array(here))
+        wins, tied = np.zeros(len(here), bool), np.ones(len(here), bool)
+        for x, y in zip(_rank(now), _rank(was)):
+            wins |= tied & (x > y)
+            tied &= x == y
+        merged = {"digest": old["digest"]}
+        for name in names[1:4]:
+            if name == "keep_id":  # may be null
+                values, none = old[name].fill_null(0).to_numpy().copy(), old[name].is_null().to_numpy().copy()
+                values[here[wins]], none[here[wins]] = now[name].fill_null(0).to_numpy()[wins], now[name].is_null().to_numpy()[wins]
+                merged[name] = pa.array(values, mask=none)
+            else:
+                values = old[name].to_numpy().copy()
+                values[here[wins]] = now[name].to_numpy()[wins]
+                merged[name] = pa.array(values)
+        sizes = old["size"].to_numpy().copy()
+        sizes[here] += now["size"].to_numpy()
+        return pa.concat_tables([pa.table({**merged, "size": sizes}).cast(new.schema), new.filter(pa.array(~member))])
 
     return entries.select(_shard(shards), *names).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(look, ENTRY)
 
 
-def _rank(winner: tuple) -> tuple:
-    points, i, row = winner
-    return points, i is not None, -(i or 0), -row
+def _rank(winners: pa.Table) -> tuple[np.ndarray, ...]:
+    """What decides between winners, the first column first; greater is better."""
+    i = winners["keep_id"]
+    return winners["points"].to_numpy(), i.is_valid().to_numpy(), ~i.fill_null(0).to_numpy(), ~winners["keep_row"].to_numpy()
 
 
 def exact_dedup(docs: DataFrame, history_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
