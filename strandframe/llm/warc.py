@@ -1,16 +1,16 @@
 """WARC archives: writing captures, reading records back, assembling transactions (operator 9).
 
 Records are written by Spark's text writer with the record separator of the format as line separator,
-so any store that Spark writes will do. Reading parses whole archive files by content length, and the
-request, response (or revisit) and metadata records of a capture are joined through their
-concurrent-to identifiers into one nested row.
+so any store that Spark writes will do; a file is one gzip member. Reading streams the files through
+Spark's text reader, cut at the same separator, and puts records together by content length, so a task
+holds one record at a time, whatever the size of a file. The request, response (or revisit) and metadata
+records of a capture are joined through their concurrent-to identifiers into one nested row.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +23,10 @@ from ..session import materialize, shared_dir
 EOL = "\r\n"
 #: Payloads under this many bytes are never revisits.
 LEAST = 1000
-#: Records of an archive file at the most: a file is read by one task.
+#: Records of an archive file at the most, so that reading is spread: a gzip file is one task.
 PER_FILE = 15_000
+#: Payload bytes of a batch of records that are read.
+HELD = 8 << 20
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, page_id long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -81,61 +83,92 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     out.write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an uncompressed archive, by content length."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split(EOL)
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        n = int(headers.get("content-length", 0))
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
-
-
-def gunzip(data: bytes) -> bytes:
-    """All members of a gzip file; data that is not gzip stays as it is."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out)
+class Parser:
+    """Records from the pieces of an archive between its separators, in order; holds one record at a time."""
+
+    def __init__(self) -> None:
+        self.begin()
+
+    def begin(self) -> None:
+        self.first, self.head, self.headers, self.need, self.parts = True, b"", None, 0, []
+
+    def feed(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        """Headers (lower-case names) and block of each record that ends in the piece."""
+        if not self.first:
+            piece = b"\r\n\r\n" + piece
+        self.first = False
+        while piece or self.headers is not None and not self.need:
+            if self.headers is None:
+                self.head = (self.head + piece).lstrip(b"\r\n")
+                head, found, piece = self.head.partition(b"\r\n\r\n")
+                if not found:
+                    return
+                self.head = b""
+                self.headers = _headers(head)
+                self.need = int(self.headers.get("content-length", 0))
+            self.parts.append(piece[: self.need])
+            piece = piece[self.need :]
+            self.need -= len(self.parts[-1])
+            if not self.need:
+                yield self.headers, b"".join(self.parts)
+                self.headers, self.parts = None, []
+
+    def end(self) -> Iterator[tuple[dict[str, str], bytes]]:
+        """The record that the end of the file leaves open, with the bytes that there are."""
+        if self.headers is not None or self.head:
+            yield self.headers or _headers(self.head), b"".join(self.parts)
+        self.begin()
+
+
+def _headers(head: bytes) -> dict[str, str]:
+    pairs = (x.partition(":") for x in head.decode("utf-8", "replace").split(EOL)[1:])
+    return {k.strip().lower(): v.strip() for k, _, v in pairs}
+
+
+def _record_row(h: dict[str, str], block: bytes, payloads: bool) -> dict:
+    kind = h.get("warc-type")
+    full = kind == "response"
+    _, _, body = block.partition(b"\r\n\r\n") if full else (b"", b"", b"")
+    page = next((x[8:].strip() for x in block.split(b"\r\n") if x.startswith(b"page-id:")), b"") if kind == "metadata" else b""
+    return {
+        "record_id": h.get("warc-record-id"), "type": kind, "concurrent_to": h.get("warc-concurrent-to"), "refers_to": h.get("warc-refers-to"), "uri": h.get("warc-target-uri"),
+        "page_id": int(page) if page else None, "payload_bytes": len(body) if full else None, "payload_digest": hashlib.sha1(body).hexdigest() if full else None, "payload": body if full and payloads else None,
+    }
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row for each record of the archive files under ``path``. Digests are taken of the payloads read, not from headers.
+    """One row for each record of the gzip files (``*.gz``) under ``path``. Digests are taken of the payloads read, not from headers.
 
-    The payload of a response is its HTTP body. Without ``payloads`` the bodies are dropped once digested.
+    Files may hold one gzip member or one for each record. A record cut off by the end of its file comes
+    with the bytes that there are. The payload of a response is its HTTP body; without ``payloads`` the
+    bodies are dropped once digested.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split(" ") for x in RECORD.split(", "))])
-        for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for h, block in parse(gunzip(content.as_py())):
-                    kind = h.get("warc-type")
-                    _, _, body = block.partition(b"\r\n\r\n") if kind == "response" else (b"", b"", b"")
-                    page = next((x[8:].strip() for x in block.split(b"\r\n") if x.startswith(b"page-id:")), b"") if kind == "metadata" else b""
-                    full = kind == "response"
-                    rows.append(
-                        {
-                            "record_id": h.get("warc-record-id"), "type": kind, "concurrent_to": h.get("warc-concurrent-to"), "refers_to": h.get("warc-refers-to"), "uri": h.get("warc-target-uri"),
-                            "page_id": int(page) if page else None, "payload_bytes": len(body) if full else None, "payload_digest": hashlib.sha1(body).hexdigest() if full else None, "payload": body if full and payloads else None,
-                        }
-                    )
-                    if len(rows) >= 1000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+        parser, file, rows, held = Parser(), None, [], 0
+
+        def found() -> Iterator[tuple[dict[str, str], bytes]]:
+            nonlocal file
+            for batch in batches:
+                for name, piece in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if name != file:
+                        yield from parser.end()
+                        file = name
+                    yield from parser.feed(piece.as_py())
+            yield from parser.end()
+
+        for headers, block in found():
+            rows.append(_record_row(headers, block, payloads))
+            held += len(block)
+            if len(rows) >= 1000 or held >= HELD:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    pieces = spark.read.option("lineSep", EOL * 2).option("pathGlobFilter", "*.gz").text(path)
+    return pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")).mapInArrow(run, RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:
