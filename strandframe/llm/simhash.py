@@ -21,7 +21,8 @@ from ..operators.components import connected_components
 from ..session import materialize
 from .common import keep_rows, row_key, text_bytes
 
-TILE = 1024
+#: Fingerprints of a tile, and tiles of a cell: neighbours in order, so their bit counts are near.
+TILE, CELL = 1024, 8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 QUARTERS = range(4)
 
@@ -55,29 +56,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def tiles(fps: DataFrame) -> DataFrame:
-    """``p, tile, fps, lo, hi``: at most TILE fingerprints of bit count ``p``, with the range of each quarter's bit count."""
+    """``p, cell, tile, fps, lo, hi``: at most TILE fingerprints of bit count ``p``, with the range of each quarter's bit count.
+
+    CELL tiles that follow each other share a ``cell``.
+    """
     quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF))).alias(f"q{q}") for q in QUARTERS]
     keyed = fps.select("fp", F.bit_count("fp").alias("p"), *quarter)
     order = ["p", "q0", "q1", "q2", "fp"]
 
+    def tile_rows(p: np.ndarray, fp: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        edges = np.flatnonzero(np.diff(p)) + 1
+        spans = [(x, min(x + TILE, b), a + (x - a) // (TILE * CELL) * TILE * CELL) for a, b in zip([0, *edges], [*edges, len(p)]) for x in range(a, b, TILE)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(p[a]) for a, _, _ in spans], pa.int32()),
+                pa.array([int(fp[c]) for _, _, c in spans], pa.int64()),
+                pa.array([int(fp[a]) for a, _, _ in spans], pa.int64()),
+                pa.array([fp[a:b].tobytes() for a, b, _ in spans], pa.binary()),
+                pa.array([q[a:b].min(axis=0).tolist() for a, b, _ in spans], pa.list_(pa.int32())),
+                pa.array([q[a:b].max(axis=0).tolist() for a, b, _ in spans], pa.list_(pa.int32())),
+            ],
+            names=["p", "cell", "tile", "fps", "lo", "hi"],
+        )
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            p, fp, q = batch["p"].to_numpy(), batch["fp"].to_numpy(), np.stack([batch[f"q{i}"].to_numpy() for i in QUARTERS], axis=1)
-            edges = np.flatnonzero(np.diff(p)) + 1
-            bounds = [x for a, b in zip([0, *edges], [*edges, len(p)]) for x in range(a, b, TILE)] + [len(p)]
-            spans = [(a, b) for a, b in zip(bounds, bounds[1:]) if b > a]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(p[a]) for a, _ in spans], pa.int32()),
-                    pa.array([int(fp[a]) for a, _ in spans], pa.int64()),
-                    pa.array([fp[a:b].tobytes() for a, b in spans], pa.binary()),
-                    pa.array([q[a:b].min(axis=0).tolist() for a, b in spans], pa.list_(pa.int32())),
-                    pa.array([q[a:b].max(axis=0).tolist() for a, b in spans], pa.list_(pa.int32())),
-                ],
-                names=["p", "tile", "fps", "lo", "hi"],
-            )
-
-    schema = "p int, tile long, fps binary, lo array<int>, hi array<int>"
+            held.append((batch["p"].to_numpy(), batch["fp"].to_numpy(), np.stack([batch[f"q{i}"].to_numpy() for i in QUARTERS], axis=1)))
+            n += batch.num_rows
+            if n >= TILE * CELL:
+                yield tile_rows(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield tile_rows(*map(np.concatenate, zip(*held)))
+
+    schema = "p int, cell long, tile long, fps binary, lo array<int>, hi array<int>"
     return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, schema)
 
 
@@ -110,20 +123,21 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """``src, dst``: for each pair of tiles a spanning forest of its fingerprints within ``radius`` bits."""
     cut = materialize(tiles(fps), "tiles")
     most = cut.groupBy("p").count().agg(F.max("count"), F.sum("count")).first()
-    salts = 1 + (most[0] or 0) // 8  # rows of the comparison grid of a bit count, so that no bit count is one task
     parts = max(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), (most[1] or 0) // 16)
-    left = cut.withColumn("salt", F.pmod(F.xxhash64("tile"), F.lit(salts)).cast("int")).repartition(parts, "p", "salt")
-    right = cut.select(
-        F.explode(F.sequence(F.col("p") - radius, F.col("p"))).alias("p"), F.col("p").alias("p2"), F.col("tile").alias("tile2"), F.col("fps").alias("fps2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")
-    )
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(parts, "p", "salt")
+    salts = 1 + (most[0] or 0) // 1024  # so that no bit count is one task
 
     def apart(q: int) -> Column:
         return F.greatest(F.lit(0), F.col("lo2")[q] - F.col("hi")[q], F.col("lo")[q] - F.col("hi2")[q])
 
-    pairs = left.join(right, ["p", "salt"]).where(
-        ((F.col("p2") > F.col("p")) | (F.col("tile2") >= F.col("tile"))) & (sum((apart(q) for q in QUARTERS), F.lit(0)) <= radius)
-    )
+    near = sum((apart(q) for q in QUARTERS), F.lit(0)) <= radius
+    # bit counts alone say which tiles a cell must meet; only then do fingerprints move
+    least = lambda c, f: F.array(*(f(F.col(c)[q]) for q in QUARTERS)).alias(c)
+    cells = cut.groupBy("p", "cell").agg(least("lo", F.min), least("hi", F.max)).withColumn("salt", F.pmod(F.xxhash64("cell"), F.lit(salts)).cast("int"))
+    others = cut.select(F.explode(F.sequence(F.col("p") - radius, F.col("p"))).alias("p"), F.col("p").alias("p2"), F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    others = others.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    routes = materialize(cells.join(others, ["p", "salt"]).where(near).select("p", "cell", "p2", "tile2", "lo2", "hi2"), "routes")
+    right = routes.join(cut.select(F.col("p").alias("p2"), F.col("tile").alias("tile2"), F.col("fps").alias("fps2")), ["p2", "tile2"])
+    pairs = cut.repartition(parts, "p", "cell").join(right.repartition(parts, "p", "cell"), ["p", "cell"]).where(((F.col("p2") > F.col("p")) | (F.col("tile2") >= F.col("tile"))) & near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
