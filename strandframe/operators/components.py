@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     )
     mark = None
     while True:
-        current = materialize(_small_star(_large_star(current)), "components")
+        before, current = current, materialize(_small_star(_large_star(current)), "components")
+        discard(before)
         seen = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

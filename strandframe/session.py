@@ -25,8 +25,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-#: Rows of a batch that goes to a Python worker: whole texts, so a fifth of Spark's default.
-BATCH = 2000
+#: Rows and bytes of a batch that goes to a Python worker: whole texts, so a fifth and a quarter of Spark's defaults.
+BATCH, BATCH_BYTES = 2000, "16m"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -41,6 +41,8 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +54,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests, local mode) a temporary folder is set for the session.
+    Where none is named, a local session gets a temporary folder; on a cluster that would be one
+    machine's, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='strandframe-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -74,3 +79,12 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a materialised ``df`` that nothing will read again."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
