@@ -41,7 +41,7 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == "67108864b":
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
