@@ -7,13 +7,15 @@ whole corpus is sorted; suffixes are sampled so that equal strings are always sa
    prefix polynomial hashes). Equal strings own equal anchors at equal offsets. An anchor's context is
    all that a string which owns it can hold: LENGTH - GRAM bytes before it and LENGTH from it on.
 2. Anchors that occur once are dropped by a pre-aggregated count, and equal contexts are counted.
-   A context that occurs twice is repeated as a whole.
+   A context that occurs twice is repeated as a whole. Contexts are told apart by a 128-bit BLAKE2b
+   digest: where bytes of many texts would have to meet, a cryptographic digest stands for them.
 3. The different contexts of an anchor are sorted as suffixes at the anchor: a merge sort whose
    comparisons find the common extension by binary search over prefix hashes, with the bytes checked
    afterwards. From a suffix, its neighbours are visited outwards while a common extension to the left
    and to the right may still add up to LENGTH bytes.
-4. Anchors with very many different contexts are not given to one task: ranges of string starts are
-   refined by counting the hashes of the bytes that all, and that any, of their strings hold.
+4. A sort that would be too large for one task is split by the bytes around the anchor: contexts are
+   dealt out by ranges of string starts and the bytes that all strings of a range hold, the ranges are
+   narrowed until their groups are small enough, and each group is sorted like that of an anchor.
 5. The repeated stretches go back to all occurrences and are cut out of the texts.
 """
 
@@ -25,14 +27,13 @@ from functools import cmp_to_key, lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 LENGTH, GRAM = 400, 100
-#: Bytes hashed at once, and different contexts of an anchor that one task sorts.
+#: Bytes hashed at once, and different contexts that are sorted together.
 SEGMENT, GROUP = 1 << 20, 500
 INDEX_BITS = np.uint64(21)
 BASE = 0x9E3779B97F4A7C15
@@ -101,6 +102,10 @@ def _segments(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int,
         yield run
 
 
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def _text_bytes(column: pa.Array) -> list[bytes]:
     return [x.as_py() or b"" for x in column.cast(pa.large_binary())]
 
@@ -129,15 +134,14 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                     last = (i, p)
                     text = texts[i]
                     before, after = min(p, reach), min(len(text) - p, length)
-                    h = xxhash.xxh3_128_intdigest(text[p - before : p + after], seed=before)
-                    found.setdefault((i, g, h, before, after), []).append(p)
-                signed = lambda x: x - (1 << 64) if x >> 63 else x
+                    found.setdefault((i, g, _digest(text[p - before : p + after]), before, after), []).append(p)
                 keys = list(found)
+                halves = np.frombuffer(b"".join(k[2] for k in keys), np.int64).reshape(-1, 2)
                 if keys:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([k1[k[0]] for k in keys], pa.int64()), pa.array([k2[k[0]] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                            pa.array([signed(k[2] >> 64) for k in keys], pa.int64()), pa.array([signed(k[2] & ((1 << 64) - 1)) for k in keys], pa.int64()),
+                            pa.array(halves[:, 0]), pa.array(halves[:, 1]),
                             pa.array([k[3] for k in keys], pa.int32()), pa.array([k[4] for k in keys], pa.int32()), pa.array(list(found.values()), pa.list_(pa.int32())),
                         ],
                         names=[x.split()[0] for x in ANCHORS.split(", ")],
@@ -154,7 +158,7 @@ class Suffixes:
         for row, context, b in zip(frames, contexts, before):
             row[reach - b : reach - b + len(context)] = np.frombuffer(context, np.uint8)
         self.bytes = [row.tobytes() for row in frames]
-        self.hashes = prefix_hashes(frames).tolist()
+        self.hashes = [memoryview(row) for row in prefix_hashes(frames)]
         self.before, self.reach = before, reach
         self.after = [len(c) - b for c, b in zip(contexts, before)]
 
@@ -194,69 +198,91 @@ class Suffixes:
         return sorted(range(len(self.bytes)), key=cmp_to_key(self.compare))  # Python's sort merges runs
 
 
-def repeated(contexts: list[bytes], before: list[int], length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int]]:
+def repeated(contexts: list[bytes], before: list[int], length: int = LENGTH, gram: int = GRAM, first: int = 0, last: int | None = None) -> list[tuple[int, int, int]]:
     """(context, begin, end): the stretch, relative to the anchor, of all strings that a different context holds too.
 
-    Every such string covers the anchor, so their union is one stretch.
+    Only strings that start ``first`` to ``last`` bytes before the anchor are looked at. Every such
+    string covers the anchor, so their union is one stretch.
     """
+    last = length - gram if last is None else last
     suffixes = Suffixes(contexts, before, length, length - gram)
     order = suffixes.order()
     common = [suffixes.right(i, j) for i, j in zip(order, order[1:])]
     out = []
     for place, i in enumerate(order):
         begin = end = 0
+        reach = min(before[i], last)
         for step in (1, -1):
-            right, most, at = length, -1, place
-            while 0 <= at + step < len(order) and most < before[i]:
+            right, most, at = length - first, -1, place
+            while 0 <= at + step < len(order) and most < reach:
                 right = min(right, common[at if step > 0 else at - 1])
-                if right + before[i] < length:
+                if right + reach < length:
                     break
                 at += step
-                left = suffixes.left(i, order[at])
+                left = min(suffixes.left(i, order[at]), last)
                 if left > most:
                     most = left
-                    if left + right >= length:
+                    if left >= first and left + right >= length:
                         begin, end = max(begin, left), max(end, right)
         if end:
             out.append((i, -begin, end))
     return out
 
 
-def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: anchor, c1, c2, before, after, context. A group may go on in the next batch."""
-    rows: list[tuple] = []
-    out: list[tuple] = []
-
-    def close() -> None:
-        if len(rows) > 1:
-            for i, begin, end in repeated([r[5] for r in rows], [r[3] for r in rows]):
-                out.append((*rows[i][:5], begin, end))
-        rows.clear()
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if out:
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in STRETCH.split(", ")])
-            out.clear()
-
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if rows and rows[0][0] != row[0]:
-                close()
-            rows.append(row)
+GROUPED = [*KEY, "first", "last", "core", "context"]
+
+
+def _sort_groups(length: int, gram: int):
+    """Over rows GROUPED, sorted by anchor, first, last and core: the repeated stretches. A group may go on in the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            if len(rows) > 1:
+                _, first, last, _ = _group(rows[0])
+                for i, begin, end in repeated([r[8] for r in rows], [r[3] for r in rows], length, gram, first, last):
+                    out.append((*rows[i][:5], begin, end))
+            rows.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if out:
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in STRETCH.split(", ")])
+                out.clear()
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                if rows and _group(rows[0]) != _group(row):
+                    close()
+                rows.append(row)
+            yield from flush()
+        close()
         yield from flush()
-    close()
-    yield from flush()
+
+    return run
+
+
+def _group(row: tuple) -> tuple:
+    return row[0], *row[5:8]
+
+
+def _sorted(groups: DataFrame, length: int, gram: int) -> DataFrame:
+    """The repeated stretches of bounded groups of contexts."""
+    place = ["anchor", "first", "last", "core"]
+    return groups.select(*GROUPED).repartition(*place).sortWithinPartitions(*place).mapInArrow(_sort_groups(length, gram), STRETCH)
 
 
-def _refine(contexts: DataFrame, length: int = LENGTH, gram: int = GRAM, widths: tuple[int, ...] = (60, 12, 1)) -> DataFrame:
-    """The same stretches for anchors with very many contexts, by counting hashes; no group meets in a task.
+def _split(contexts: DataFrame, length: int, gram: int, group: int, widths: tuple[int, ...] = (60, 12, 1)) -> DataFrame:
+    """The stretches of anchors with more contexts than are sorted together; no large group meets in a task.
 
-    A string's start is ``o`` bytes before the anchor. A range of starts whose common bytes no other
-    context has is dropped; one whose bytes all together some other context has is repeated; else it is
-    cut into narrower ranges, down to single strings, unless it lies between ranges that are repeated:
-    a context's stretch is one, from its first repeated string to its last. While any context is unsure of
-    a range, all that share the range's common bytes go on with it, so that none lacks a partner.
+    A string's start is ``o`` bytes before the anchor. For a range of starts, contexts can share a string
+    only if they share the bytes that all its strings hold. Groups of up to ``group`` contexts that do are
+    sorted; in a larger one, contexts equal in all bytes of the range are repeated there, and the others
+    are cut into narrower ranges, down to single strings, unless the range lies between ranges that are
+    repeated: a context's stretch is one, from its first repeated string to its last. While any context
+    is unsure of a range, all that share its bytes go on with it, so that none lacks a partner.
     """
     reach = length - gram
 
@@ -271,25 +297,31 @@ def _refine(contexts: DataFrame, length: int = LENGTH, gram: int = GRAM, widths:
                         b = min(a + width - 1, last)
                         if max(a, length - after) > min(b, before):
                             continue  # no string starts here
-                        core = xxhash.xxh3_128_digest(context[before - a : before + length - b])
-                        span = core if a == b else xxhash.xxh3_128_digest(context[before - b : before + length - a]) if b <= before and length - a <= after else None
+                        core = _digest(context[before - a : before + length - b])
+                        span = core if a == b else _digest(context[before - b : before + length - a]) if b <= before and length - a <= after else None
                         out.append((*row[:5], a, b, core, span))
                 if out:
                     kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()] * 2
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[*KEY, "first", "last", "core", "span"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
+        names = [*KEY, "first", "last", "core", "span"]
         return run
 
     schema = "anchor long, c1 long, c2 long, before int, after int, first int, last int, core binary, span binary"
-    found = None
-    todo = contexts.select(*KEY, "context")
+    contexts = contexts.select(*KEY, "context")
+    found = small = None
+    todo = contexts
     for depth, width in enumerate(widths):
         rows = materialize(todo.mapInArrow(ranges(width, depth == 0), schema), "ranges")
         place = ["anchor", "first", "last"]
-        shared = materialize(rows.groupBy(*place, "core").count().where("count > 1").drop("count"), "shared")
+        shared = materialize(rows.groupBy(*place, "core").agg(F.count("*").alias("n")).where("n > 1"), "shared")
         live = rows.join(shared, [*place, "core"])
         if width > 1:
-            spanned = materialize(rows.where("span is not null").groupBy(*place, "span").count().where("count > 1").select(*place, "span", F.lit(True).alias("hit")), "spanned")
+            live = materialize(live, "live")
+            few = live.where(F.col("n") <= group).select(*KEY, "first", "last", "core")
+            small = few if small is None else small.union(few)
+            live = live.where(F.col("n") > group)
+            spanned = materialize(live.where("span is not null").groupBy(*place, "span").count().where("count > 1").select(*place, "span", F.lit(True).alias("hit")), "spanned")
             live = materialize(live.join(spanned, [*place, "span"], "left"), "ranges")
         else:
             live = live.withColumn("hit", F.lit(True))
@@ -303,8 +335,8 @@ def _refine(contexts: DataFrame, length: int = LENGTH, gram: int = GRAM, widths:
             members = live.join(open_, [*place, "core"])  # with the partners that need no more counting for themselves
             one = members.where("hit").groupBy(*place, "span").agg(F.min(F.struct(*KEY)).alias("one"))  # equal in the range: one stands for all
             passed = members.where("hit is null").select(*KEY, "first", "last").union(one.select(*(f"one.{k}" for k in KEY), "first", "last"))
-            todo = contexts.select(*KEY, "context").join(materialize(passed, "passed"), KEY)
-    return found
+            todo = contexts.join(materialize(passed, "passed"), KEY)
+    return found.union(_sorted(contexts.join(small, KEY), length, gram))
 
 
 def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -328,11 +360,11 @@ def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: in
 
     schema = "anchor long, c1 long, c2 long, before int, after int, count long, context binary"
     fetched = materialize(docs.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).join(by_text, ["k1", "k2"]).select("text", "wanted").mapInArrow(fetch, schema), "fetched")
-    sortable = fetched.where(F.col("count") <= group).select(*KEY, "context").repartition("anchor").sortWithinPartitions("anchor")
-    parts = whole.union(sortable.mapInArrow(_sort_groups, STRETCH))
+    all_starts = [F.lit(0).alias("first"), F.lit(length - gram).alias("last"), F.lit(b"").alias("core")]
+    parts = whole.union(_sorted(fetched.where(F.col("count") <= group).select(*KEY, *all_starts, "context"), length, gram))
     large = fetched.where(F.col("count") > group)
     if not large.isEmpty():
-        parts = parts.union(_refine(large, length, gram))
+        parts = parts.union(_split(large, length, gram, group))
     parts = materialize(parts.groupBy(*KEY).agg(F.min("begin").alias("begin"), F.max("end").alias("end")), "stretches")
     return some.join(parts, KEY).groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "begin", "end")).alias("runs"))
 
