@@ -75,6 +75,15 @@ def tokenizer():
     return _tokenizer[0]
 
 
+@pytest.mark.parametrize("pair", ["eq", "ab", "th"])
+def test_op1_op8_words_that_polynomial_hashes_confuse(pair):
+    texts = ["".join(pair[i.bit_count() + flip & 1] for i in range(1 << bits)) for bits in range(9, 13) for flip in (0, 1)]
+    want = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    spec = token_counts.load_spec(VOCABULARY)
+    assert token_counts.counter(spec)(texts).tolist() == [len(w) for w in want]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoder(spec)(texts)] == want
+
+
 def test_op1_counts(docs, plain):
     want = Counter((i, len(t.encode()), n := len(tokenizer().encode(t, add_special_tokens=False).ids), n > 512) for i, t, _ in plain)
     assert counted(token_counts.token_counts(docs, VOCABULARY), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
@@ -98,6 +107,54 @@ def test_op2_targets_and_limits(docs, plain):
     assert mixing.mix_report(docs.limit(0)).count() == 0
 
 
+def test_op2_each_source_takes_its_target(docs, plain):
+    sizes, weight = {}, {}
+    for _, t, s in plain:
+        sizes[s] = sizes.get(s, 0) + len(t.encode().split())
+    for place, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or ""))):
+        weight[s] = [5, 2, 1][place % 3]
+    aims, left = {}, 1.5 * sum(sizes.values())  # the rule in words: stop at twice the size, share the excess again
+    while True:
+        open_ = [s for s in sizes if s not in aims]
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 2 * sizes[s]]
+        if not over:
+            aims |= share
+            break
+        for s in over:
+            aims[s] = 2.0 * sizes[s]
+            left -= aims[s]
+    size_of, taken = Counter(), Counter()
+    sources = {}
+    for i, t, s in plain:
+        sources.setdefault((i, len(t.encode().split())), set()).add(s)
+    for r in mixing.mix_report(docs).collect():
+        (source,) = [s for s in sources[r.doc_id, r["size"]] if sizes[s] == r.source_size]
+        assert r.target == pytest.approx(aims[source])
+        taken[source] += r.taken
+        size_of[source] = r.source_size
+    assert size_of == sizes
+    for s, aim in aims.items():
+        assert abs(taken[s] - aim) <= 1
+
+
+def test_op2_same_text_in_two_sources(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", s) for s in ("x", "y", None)] + [(2, "g " * 600, "x")], "doc_id long, text string, source string")
+    got = mixing.mix_report(df).collect()
+    assert all(r.taken <= 2 * r["size"] for r in got)
+    assert sum(len(r.text.split()) for r in mixing.mix_documents(df).collect()) == sum(r.taken for r in got)
+
+
+def test_stages_with_columns_of_any_name(spark):
+    names = "d h c epoch runs s i _id _y _hash _copy _source k1 k2 row _n words size".split()
+    df = spark.createDataFrame([(i, f"word{i} some more words {i} of text number {i}", "s", *names) for i in range(12)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(12)], "doc_id long, toxic int")
+    for out in (toxicity.drop_toxic(df, marks), exact_dedup.keep_distinct(df), simhash.keep_one(df), mixing.mix_documents(df)):
+        assert out.columns == df.columns
+        assert all(r[n] == n for r in out.collect() for n in names)
+    assert toxicity.toxicity_scores(df, marks).count() == packing.pack_documents(df, VOCABULARY).where("start = 0").count() == 12
+
+
 def test_op2_targets_reshare():
     assert mixing.targets([10, 1000, 1000], [5, 2, 1], 900, 2) == pytest.approx([20, 880 * 2 / 3, 880 / 3])
     assert mixing.targets([0, 0], [5, 2], 0, 2) == [0, 0]
@@ -163,6 +220,36 @@ def test_op4_articles_of_the_pages(spark):
         assert re.sub(r"\s", "", html_extraction.main_text(r.html)) == want
 
 
+def test_op4_stray_ends_and_deep_pages_are_linear():
+    import time
+
+    def seconds(n):
+        page = "<div>" * n + "</section></ul>" * n + "<p>end of it</p>"
+        start = time.process_time()
+        html_extraction.main_text(page)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 20 * max(seconds(4_000), 0.02)
+
+
+def test_op4_pages_without_telling_names():
+    rng = random.Random(44)
+    say = lambda n: " ".join(rng.choice("harbour light window quiet river seven morning walked stone paper under bright carry winter".split()) for _ in range(n)).capitalize() + "."
+    right = total = 0
+    for _ in range(40):
+        menu = "".join(f"<li><a href='/{i}'>{say(rng.randrange(1, 4))}</a></li>" for i in range(rng.randrange(3, 8)))
+        body = [say(rng.randrange(25, 90)) for _ in range(rng.randrange(3, 9))]
+        tail = "".join(f"<div class='x{i}'><a href='/{i}'>{say(rng.randrange(2, 7))}</a></div>" for i in range(rng.randrange(2, 5)))
+        page = f"<body><div class='a1'><ul>{menu}</ul></div><div class='b2'>" + "".join(f"<p>{t}</p>" for t in body) + f"</div><div class='c3'>{tail}</div></body>"
+        found = html_extraction.blocks(page)
+        assert not any(b[2] or b[3] for b in found)  # neither an article nor an aside is marked
+        keep = html_extraction.tree()(html_extraction.features(found))
+        right += sum(bool(k) == (b[0] in body) for b, k in zip(found, keep))
+        total += len(found)
+    assert right / total > 0.95
+
+
 def test_op5_recall_and_scores(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 16))
@@ -183,6 +270,56 @@ def test_op5_recall_and_scores(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_op5_recall_at_the_size_of_a_shard():
+    x = np.random.default_rng(0).standard_normal((8192, 64))
+    ids = np.arange(8192)
+    asked = x[::40], ids[::40]
+    got = ann.nearest(x, ids, *asked, 20)
+    hits = 0
+    for q, i in zip(*asked):
+        s = x @ q
+        s[i] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & set(got[1][got[0] == i].tolist()))
+    assert hits / got[0].size >= 0.9
+    rows, cuts = ann.Forest(x).candidates(asked[0][:64])
+    assert len(rows) / (64 * 8192) < 0.6  # the share that is scored
+
+
+def plain_ftrl(rows, labels):
+    """Follow the regularised leader, coordinate by coordinate."""
+    z, n, weights = {}, {}, {}
+    for _ in range(toxicity.EPOCHS):
+        for row, y in zip(rows, labels):
+            keys = ["bias", *row.tolist()]
+            for k in keys:
+                l1 = 0 if k == "bias" else toxicity.L1
+                zk, nk = z.get(k, 0.0), n.get(k, 0.0)
+                weights[k] = 0.0 if abs(zk) <= l1 else (l1 * (1 if zk > 0 else -1) - zk) / ((toxicity.BETA + nk**0.5) / toxicity.ALPHA)
+            p = 1 / (1 + np.exp(-sum(weights[k] for k in keys)))
+            for k in keys:
+                nk = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + (p - y) - ((nk + (p - y) ** 2) ** 0.5 - nk**0.5) / toxicity.ALPHA * weights[k]
+                n[k] = nk + (p - y) ** 2
+    return {k: (np.sign(zk) * toxicity.L1 - zk) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA) for k, zk in z.items() if k != "bias" and abs(zk) > toxicity.L1}
+
+
+def test_op6_weights_are_those_of_plain_ftrl():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    labels = [int("j" in t) for t in texts]
+    rows = toxicity.feature_sets(texts)
+    at, w, _ = toxicity.fit(rows, labels)
+    want = plain_ftrl(rows, labels)
+    assert dict(zip(at.tolist(), w.tolist())) == pytest.approx(want)
+
+
+def test_op6_an_id_is_learnt_from_once(spark):
+    docs = spark.createDataFrame([(1, "one text")] * 50 + [(1, "another text")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    once = spark.createDataFrame([(1, "another text")], "doc_id long, text string")
+    assert toxicity.train(docs, marks)[2] == toxicity.train(once, marks)[2]
+
+
 def test_op6_learns_planted_words(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(400)]
@@ -313,6 +450,25 @@ def test_op9_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@given(st.lists(st.lists(st.sampled_from([b"\r\n", b"\r\n\r\n", b"x", b"\r", b"\n", b"WARC/1.1\r\n"]), max_size=6).map(b"".join), min_size=1, max_size=5))
+def test_op9_pieces_become_records(blocks):
+    data = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks)
+    pieces = data.removesuffix(b"\r\n\r\n").split(b"\r\n\r\n")
+    parser = warc.Parser()
+    assert [b for p in pieces for _, b in parser.feed(p)] + [b for _, b in parser.end()] == blocks
+
+
+def test_op9_one_member_a_record_and_cut_off(spark, tmp_path):
+    import gzip
+
+    record = lambda body: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\n%s\r\n\r\n" % (len(body) + 19, body)
+    bodies = [b"\xff\x00\r\n\r\n" * 9, b"", b"y" * 300_000]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(b)) for b in bodies))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record(b"z" * 50)[:-30]))
+    got = [bytes(r.payload) for r in warc.read_records(spark, f"file://{tmp_path}").collect()]
+    assert sorted(got) == sorted([*bodies, b"z" * 24])
+
+
 def brute_repeats(texts, n=400):
     seen = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     for t in texts:
@@ -355,6 +511,17 @@ def test_op10_large_groups_are_refined(spark):
         assert (got == gone).all()
 
 
+def test_op10_over_500_contexts_as_it_comes(spark):
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, base = word(410), word(900)
+    texts = [word(305) + common[: rng.randrange(396, 411)] + word(305) for _ in range(560)]
+    texts += ["".join("#" if rng.random() < 0.002 else c for c in base) for _ in range(620)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter((i, int(gone.sum())) for i, gone in enumerate(brute_repeats([t.encode() for t in texts])))
+    assert counted(substring_dedup.remove_repeats(df), "doc_id", "n_removed") == want
+
+
 def test_op10_refined_groups_keep_their_partners(spark):
     rng = random.Random(11)
     base = bytes(rng.randrange(97, 123) for _ in range(700)).decode()
