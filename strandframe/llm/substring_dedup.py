@@ -158,7 +158,8 @@ class Suffixes:
         for row, context, b in zip(frames, contexts, before):
             row[reach - b : reach - b + len(context)] = np.frombuffer(context, np.uint8)
         self.bytes = [row.tobytes() for row in frames]
-        self.hashes = [memoryview(row) for row in prefix_hashes(frames)]
+        hashes = prefix_hashes(frames)
+        self.hashes = hashes.tolist() if len(hashes) > 4 else [memoryview(row) for row in hashes]  # few look-ups do not repay a list
         self.before, self.reach = before, reach
         self.after = [len(c) - b for c, b in zip(contexts, before)]
 
@@ -188,6 +189,13 @@ class Suffixes:
         a, b = self.bytes[i][at - low : at], self.bytes[j][at - low : at]
         return low if a == b else next(n for n, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y)
 
+    def exceeds(self, i: int, j: int, n: int) -> bool:
+        """Whether more than n bytes before the anchor may agree: a hash comparison, without bytes."""
+        if min(self.before[i], self.before[j]) <= n:
+            return False
+        h, k, at = self.hashes[i], self.hashes[j], self.reach
+        return (h[at] - h[at - n - 1] - k[at] + k[at - n - 1]) & 0xFFFFFFFFFFFFFFFF == 0
+
     def compare(self, i: int, j: int) -> int:
         n = self.right(i, j)
         x = self.bytes[i][self.reach + n] if n < self.after[i] else -1
@@ -219,6 +227,8 @@ def repeated(contexts: list[bytes], before: list[int], length: int = LENGTH, gra
                 if right + reach < length:
                     break
                 at += step
+                if not suffixes.exceeds(i, order[at], most):
+                    continue
                 left = min(suffixes.left(i, order[at]), last)
                 if left > most:
                     most = left
@@ -241,8 +251,7 @@ def _sort_groups(length: int, gram: int):
 
         def close() -> None:
             if len(rows) > 1:
-                _, first, last, _ = _group(rows[0])
-                for i, begin, end in repeated([r[8] for r in rows], [r[3] for r in rows], length, gram, first, last):
+                for i, begin, end in repeated([r[8] for r in rows], [r[3] for r in rows], length, gram, rows[0][5], rows[0][6]):
                     out.append((*rows[i][:5], begin, end))
             rows.clear()
 
@@ -254,7 +263,7 @@ def _sort_groups(length: int, gram: int):
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(9))):
-                if rows and _group(rows[0]) != _group(row):
+                if rows and (rows[0][0] != row[0] or rows[0][5:8] != row[5:8]):
                     close()
                 rows.append(row)
             yield from flush()
@@ -264,10 +273,6 @@ def _sort_groups(length: int, gram: int):
     return run
 
 
-def _group(row: tuple) -> tuple:
-    return row[0], *row[5:8]
-
-
 def _sorted(groups: DataFrame, length: int, gram: int) -> DataFrame:
     """The repeated stretches of bounded groups of contexts."""
     place = ["anchor", "first", "last", "core"]
@@ -315,16 +320,14 @@ def _split(contexts: DataFrame, length: int, gram: int, group: int, widths: tupl
         rows = materialize(todo.mapInArrow(ranges(width, depth == 0), schema), "ranges")
         place = ["anchor", "first", "last"]
         shared = materialize(rows.groupBy(*place, "core").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-        live = rows.join(shared, [*place, "core"])
         if width > 1:
-            live = materialize(live, "live")
-            few = live.where(F.col("n") <= group).select(*KEY, "first", "last", "core")
+            few = rows.join(shared.where(F.col("n") <= group), [*place, "core"], "left_semi").select(*KEY, "first", "last", "core")
             small = few if small is None else small.union(few)
-            live = live.where(F.col("n") > group)
+            live = materialize(rows.join(shared.where(F.col("n") > group), [*place, "core"], "left_semi"), "live")
             spanned = materialize(live.where("span is not null").groupBy(*place, "span").count().where("count > 1").select(*place, "span", F.lit(True).alias("hit")), "spanned")
             live = materialize(live.join(spanned, [*place, "span"], "left"), "ranges")
         else:
-            live = live.withColumn("hit", F.lit(True))
+            live = rows.join(shared, [*place, "core"], "left_semi").withColumn("hit", F.lit(True))
         hits = live.where("hit").groupBy(*KEY).agg((-F.max("last")).alias("begin"), (F.lit(length) - F.min("first")).alias("end"))
         found = hits if found is None else found.union(hits)
         if width > 1:
@@ -332,7 +335,7 @@ def _split(contexts: DataFrame, length: int, gram: int, group: int, widths: tupl
             outside = F.col("far").isNull() | (F.col("last") > F.col("far")) | (F.col("first") < F.col("near"))
             unsure = live.where("hit is null").join(known, KEY, "left").where(outside)
             open_ = materialize(unsure.select(*place, "core").distinct(), "open")
-            members = live.join(open_, [*place, "core"])  # with the partners that need no more counting for themselves
+            members = live.join(open_, [*place, "core"], "left_semi")  # with the partners that need no more counting for themselves
             one = members.where("hit").groupBy(*place, "span").agg(F.min(F.struct(*KEY)).alias("one"))  # equal in the range: one stands for all
             passed = members.where("hit is null").select(*KEY, "first", "last").union(one.select(*(f"one.{k}" for k in KEY), "first", "last"))
             todo = contexts.join(materialize(passed, "passed"), KEY)
