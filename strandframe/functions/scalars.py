@@ -51,8 +51,31 @@ def reference_group(description: Column) -> Column:
     return F.nullif(F.regexp_extract(description, r"(?:^|\s)rg:([^:\s]+)", 1), F.lit(""))
 
 
-def gap_bits(shift: Column, same_strand: Column, same_chrom: Column, read_gap: Column, mismatch: float = 8.0, open_: float = 6.0, extend: float = 1.0, sv: float = 35.0) -> Column:
-    """Bits that it costs to go on from one seed to the next: an indel or a break, whichever is less."""
-    log = F.log2(1 + F.abs(shift))
-    indel = F.when((shift == 0) & (read_gap <= 0), F.lit(0.0)).when(shift == 0, F.lit(mismatch)).otherwise(open_ + extend * F.abs(shift))
-    return F.when(~same_chrom, F.lit(sv + 31.5)).when(~same_strand, sv + 1 + log).otherwise(F.least(indel, sv + log))
+def variant_place(outer_start: Column, start: Column, inner_start: Column, inner_end: Column, end: Column, outer_end: Column) -> Column:
+    """``pos, end, cipos_low, cipos_high, ciend_low, ciend_high`` of a variant that says some of its bounds.
+
+    The place itself counts first, then the inner, then the outer bound; an interval is null where neither
+    of its bounds is said, and 0 at a bound that is not.
+    """
+    pos, last = F.coalesce(start, inner_start, outer_start), F.coalesce(end, inner_end, outer_end)
+
+    def side(bound: Column, other: Column, at: Column) -> Column:
+        return F.when(F.coalesce(bound, other).isNotNull(), F.coalesce(bound - at, F.lit(0).cast("long")))
+
+    return F.struct(
+        pos.alias("pos"), last.alias("end"), side(outer_start, inner_start, pos).alias("cipos_low"), side(inner_start, outer_start, pos).alias("cipos_high"), side(inner_end, outer_end, last).alias("ciend_low"), side(outer_end, inner_end, last).alias("ciend_high")
+    )
+
+
+def seed_weight(length: Column, multiplicity: Column) -> Column:
+    """Weight of a seed by itself: longer is more, frequent less, and the less so the longer."""
+    size = F.log10(length)
+    return length * (1 + 0.25 * size) / (1 + 0.5 * F.log10(multiplicity) / (1 + 0.25 * size))
+
+
+def collinear_weight(length: Column, collinearity: Column, multiplicity: Column) -> Column:
+    return length * collinearity / F.sqrt(F.greatest(multiplicity, F.lit(1.0)))
+
+
+def atom_weight(multiplicity: Column) -> Column:
+    return 1 / F.sqrt(multiplicity)

@@ -38,6 +38,11 @@ def kmer_text(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def revcomp_kmer(code: Column, k: int) -> Column:
+    """The code of a k-mer's reverse complement."""
+    return F.conv(F.translate(F.reverse(kmer_text(code, k)), "ACGT", "3210"), 4, 10).cast("long")
+
+
 def fnv64(x: Column) -> Column:
     """FNV-1a over the eight little-endian bytes of a long, as a signed long. Multiplies modulo 2**64 by halves."""
 
@@ -159,3 +164,35 @@ def kmers(df: DataFrame, id_col: str, seq_col: str, k: int, s: int | None = None
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, seq_col).mapInArrow(run, f"`{id_col}` {kind}, pos long, kmer long")
+
+
+def kmer_counts(df: DataFrame, seq_col: str, k: int) -> DataFrame:
+    """``kmer, n``: valid k-mers, counted within each Arrow batch before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for seq in batch.column(0).to_pylist():
+                if seq and len(seq) >= k:
+                    code, good = windows(_CODES[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)], k)
+                    parts.append(code[good])
+            if parts:
+                found, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["kmer", "n"])
+
+    return df.select(seq_col).mapInArrow(run, "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
+def fnv32(x: Column) -> Column:
+    """FNV-1a of 32 bits over the eight bytes of a long, least byte first; from 0 to 2**32 - 1."""
+    h = F.lit(2166136261).cast("long")
+    for b in range(8):
+        h = (h.bitwiseXOR(F.shiftrightunsigned(x.cast("long"), 8 * b).bitwiseAND(F.lit(0xFF))) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return h
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Characters that two strings begin with alike."""
+    n = F.least(F.length(a), F.length(b))
+    differ = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    return F.when(n < 1, F.when(n.isNotNull(), F.lit(0))).otherwise(F.coalesce(F.get(differ, F.lit(0)) - 1, n)).cast("long")

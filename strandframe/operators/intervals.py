@@ -7,12 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0) -> DataFrame:
-    """Islands of intervals that overlap, touch or lie within ``gap``: ``*keys, start, end, n``."""
+def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0, also: list[Column] | None = None) -> DataFrame:
+    """Islands of intervals that overlap, touch or lie within ``gap``: ``*keys, start, end, n`` and the aggregates ``also``. A key is windowed in one task."""
     before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
     fresh = df.withColumn("_new", (F.coalesce(F.col(start) > F.max(end).over(before) + gap, F.lit(True))).cast("int"))
-    return fresh.withColumn("_island", F.sum("_new").over(upto)).groupBy(*keys, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("_island")
+    return fresh.withColumn("_island", F.sum("_new").over(upto)).groupBy(*keys, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n"), *(also or [])).drop("_island")
+
+
+def merge_binned(df: DataFrame, keys: list[str], width: int, start: str = "start", end: str = "end") -> DataFrame:
+    """Islands as ``merge`` gives them (``gap`` 0), for keys too large for one window.
+
+    Intervals are dealt to the bins of ``width`` where they start and become islands there; a bin's islands
+    that others may reach are then merged over the key. Those are at most as many as the bins' islands,
+    so the second window holds rows in proportion to the reference, not to the intervals.
+    """
+    binned = df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end"), F.floor(F.col(start) / width).alias("_bin"))
+    inner = merge(binned, [*keys, "_bin"]).drop("_bin").withColumnRenamed("n", "_m")
+    before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    fresh = inner.withColumn("_new", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int"))
+    return fresh.withColumn("_island", F.sum("_new").over(upto)).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("_m").alias("n")).drop("_island")
 
 
 def gaps(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

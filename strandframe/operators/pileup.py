@@ -2,47 +2,76 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar
+from ..session import prepare
 
 ALLELES = ("A", "C", "G", "T", "-")
 MAX_DEPTH, DEPTH_BINS, AF_BINS = 1000, 5, 100
 
 
-def _placed(ops: Column) -> Column:
-    """Operations with the read and reference offsets where they begin."""
-    empty = F.array().cast("array<struct<op:string,len:bigint,q:bigint,r:bigint>>")
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("q"), zero.alias("r"), empty.alias("out"))
-
-    def step(acc: Column, o: Column) -> Column:
-        q = acc["q"] + F.when(F.lit(cigar.QUERY).contains(o["op"]), o["len"]).otherwise(zero)
-        r = acc["r"] + F.when(F.lit(cigar.REFERENCE).contains(o["op"]), o["len"]).otherwise(zero)
-        return F.struct(q.alias("q"), r.alias("r"), F.concat(acc["out"], F.array(F.struct(o["op"].alias("op"), o["len"].alias("len"), acc["q"].alias("q"), acc["r"].alias("r")))).alias("out"))
-
-    return F.aggregate(ops, start, step, lambda acc: acc["out"])
-
-
 def _bases(seq: Column, upper: bool = False) -> Column:
     """One element a character; other letters than bases become N first, as splitting would halve those outside the basic plane."""
     plain = F.regexp_replace(seq, "[^ACGTacgt]", "N")  # before upper(), which makes two letters of some
     return F.split(F.upper(plain) if upper else plain, "")
 
 
-def columns(alignments: DataFrame) -> DataFrame:
-    """``chrom, pos, mapq, allele`` of ``alignments (chrom, start, mapq, cigar, seq)``: bases, ``-`` for deletions, ``+`` for insertions.
+def tallies(alignments: DataFrame, min_mapq: int = 20) -> DataFrame:
+    """``chrom, pos, allele, n_all, n_q`` of ``alignments (chrom, start, mapq, cigar, seq)``: bases, ``-`` for deletions, ``+`` for insertions.
 
-    An insertion counts at the reference base before it, and not at all at the start of an alignment.
+    One Arrow pass that counts within each batch, so a row leaves a task for each place and allele of a
+    batch rather than for each base. An insertion counts at the reference base before it, and not at all
+    at the start of an alignment; other letters than ACGT have no count.
     """
-    ops = alignments.select("chrom", "start", "mapq", _bases(F.col("seq")).alias("bases"), F.explode(_placed(cigar.parse(F.col("cigar")))).alias("o"))
-    here = F.col("start") + F.col("o.r")
-    aligned = ops.where(F.col("o.op").isin("M", "=", "X")).select("chrom", here.alias("at"), "mapq", F.posexplode(F.slice("bases", F.col("o.q").cast("int") + 1, F.col("o.len").cast("int"))).alias("i", "allele"))
-    bases = aligned.where(F.col("allele").isin(*ALLELES[:4])).select("chrom", (F.col("at") + F.col("i")).alias("pos"), "mapq", "allele")
-    gone = ops.where("o.op = 'D'").select("chrom", F.explode(F.sequence(here, here + F.col("o.len") - 1)).alias("pos"), "mapq", F.lit("-").alias("allele"))
-    more = ops.where("o.op = 'I' and o.r > 0").select("chrom", (here - 1).alias("pos"), "mapq", F.lit("+").alias("allele"))
-    return bases.unionByName(gone).unionByName(more)
+    code = np.full(256, len(ALLELES) + 1, np.int64)
+    for i, base in enumerate("ACGT"):
+        code[[ord(base), ord(base.lower())]] = i
+    names = np.array([*ALLELES, "+"], dtype=object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str | None, list[np.ndarray]] = {}
+            for chrom, start, mapq, text, seq in zip(*(c.to_pylist() for c in batch.columns)):
+                if text is None or seq is None or start is None:
+                    continue
+                bases = code[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+                q, r, good = 0, start, int(mapq is not None and mapq >= min_mapq)
+                for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", text)):
+                    if op in cigar.ALIGNED:
+                        alleles = bases[q : q + n]
+                        keep = np.flatnonzero(alleles < 4)
+                        places, alleles = r + keep, alleles[keep]
+                    elif op == "D":
+                        places, alleles = np.arange(r, r + n), np.full(n, 4)
+                    elif op == "I" and r > start:
+                        places, alleles = np.array([r - 1]), np.array([5])
+                    else:
+                        places = alleles = np.zeros(0, np.int64)
+                    if len(places):
+                        found.setdefault(chrom, []).append((places << 4) + (alleles << 1) + good)
+                    q += n * (op in cigar.QUERY)
+                    r += n * (op in cigar.REFERENCE)
+            for chrom, parts in found.items():
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                both, first = np.unique(keys >> 1, return_index=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([chrom] * len(both), pa.string()), pa.array(both >> 3), pa.array(names[both & 7], pa.string()), pa.array(np.add.reduceat(n, first)),
+                        pa.array(np.add.reduceat(np.where(keys & 1, n, 0), first)),
+                    ],
+                    names=["chrom", "pos", "allele", "n_all", "n_q"],
+                )
+
+    prepare(alignments.sparkSession)
+    rows = alignments.select(F.col("chrom").cast("string").alias("chrom"), F.col("start").cast("long").alias("start"), F.col("mapq").cast("int").alias("mapq"), "cigar", "seq")
+    return rows.mapInArrow(run, "chrom string, pos long, allele string, n_all long, n_q long")
 
 
 def counts(alignments: DataFrame, reference: DataFrame, min_mapq: int = 20) -> DataFrame:
@@ -51,7 +80,7 @@ def counts(alignments: DataFrame, reference: DataFrame, min_mapq: int = 20) -> D
     ``chrom, pos, ref, class, A, C, G, T, del, ins``. ``reference (chrom, seq)``; other letters than
     ACGT have no position.
     """
-    seen = columns(alignments).groupBy("chrom", "pos", "allele").agg(F.count("*").alias("n_all"), F.count_if(F.col("mapq") >= min_mapq).alias("n_q"))
+    seen = tallies(alignments, min_mapq)
     names = {"A": "A", "C": "C", "G": "G", "T": "T", "-": "del", "+": "ins"}
     wide = seen.groupBy("chrom", "pos").agg(*(F.coalesce(F.sum(F.when(F.col("allele") == a, F.col(n))), F.lit(0)).alias(f"{names[a]}_{n}") for a in names for n in ("n_all", "n_q")))
     places = reference.select("chrom", F.posexplode(_bases(F.col("seq"), True)).alias("pos", "ref")).withColumn("pos", F.col("pos").cast("long")).where(F.col("ref").isin("A", "C", "G", "T"))

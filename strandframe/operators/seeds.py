@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def build_index(found: DataFrame, chrom: str = "chrom") -> DataFrame:
-    """``kmer, chrom, ref_pos, n_hits``: one row a locus, with the number of loci of its k-mer."""
+def build_index(found: DataFrame, chrom: str = "chrom", most: int | None = None) -> DataFrame:
+    """``kmer, chrom, ref_pos, n_hits``: one row a locus, with the number of loci of its k-mer.
+
+    K-mers with more than ``most`` loci are left out by their counts, before any locus is joined.
+    """
     counts = found.groupBy("kmer").agg(F.count("*").alias("n_hits"))
+    counts = counts if most is None else counts.where(F.col("n_hits") <= most)
     return found.select("kmer", F.col(chrom).alias("chrom"), F.col("pos").alias("ref_pos")).join(counts, "kmer")
 
 

@@ -37,9 +37,9 @@ def cosine_pairs(vectors: DataFrame, id_col: str, vector_col: str, group_col: st
     """
     group = F.lit(0) if group_col is None else F.col(group_col)
     rows = vectors.select(group.alias("g"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null and size(v) > 0")
-    n = 1 + rows.groupBy("g").count().agg(F.max("count")).first()[0] // block if not rows.isEmpty() else 1
-    rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    cells = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("g", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "id", "v")
+    blocks = rows.groupBy(F.col("g").alias("g2")).agg((1 + F.floor(F.count("*") / block)).cast("int").alias("n"))  # each group has its own number
+    rows = rows.join(blocks, F.col("g").eqNullSafe(F.col("g2"))).withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    cells = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("g", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "id", "v")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
@@ -81,19 +81,23 @@ def log_band(n: Column) -> Column:
     return F.when(n <= 2, n).otherwise(3 * F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.log2((n + 0.5) / 3)).cast("int"))).cast("long")
 
 
-def farthest_first(vectors: DataFrame, id_col: str, vector_col: str, group_col: str, least: float, most: int) -> DataFrame:
-    """``group, rank, id, similarity``: from the longest vector on, the one least similar to all taken, until every one is within ``least``.
+def farthest_first(vectors: DataFrame, id_col: str, vector_col: str, group_col: str, least: float, most: int, size_col: str | None = None) -> DataFrame:
+    """``group, rank, id, similarity``: from the longest member on, the one least similar to all taken, until every one is within ``least``.
 
-    Each group is a task; the method needs its group together, and a group's vectors are held once.
+    ``size_col`` says how long a member is (else its vector's norm does). Null and zero vectors take no
+    part. Each group is one task that holds its vectors once: groups must fit a worker.
     """
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(group_col).alias("group"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    size = F.lit(None).cast("double") if size_col is None else F.col(size_col).cast("double")
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(group_col).alias("group"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), size.alias("size"))
+    rows = rows.where(F.exists("v", lambda x: x != 0))
 
     def traverse(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x = np.vstack(pdf["v"].to_numpy())
         size = np.sqrt((x * x).sum(axis=1))
         unit = x / np.where(size > 0, size, 1)[:, None]
-        at, near, out = int(np.argmax(size)), np.full(len(x), -np.inf), []
+        first = size if size_col is None else pdf["size"].to_numpy()
+        at, near, out = int(np.argmax(first)), np.full(len(x), -np.inf), []
         score = 1.0
         while len(out) < most:
             out.append((pdf["group"].iloc[0], len(out), int(pdf["id"].iloc[at]), float(score)))

@@ -1,6 +1,6 @@
 """Registered queries of the library's own operators."""
 
-from . import events, intervals, pileups, reads, seeds, vectors  # noqa: F401
+from . import events, filters, intervals, pileups, reads, records, seeds, vectors  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.sequence import AS_BASES, LETTERS
 from ..session import table
@@ -44,3 +45,12 @@ def alignments(spark: SparkSession, sf_dir: str, spec: dict[str, str] = ALIGNMEN
 
 def sequences(spark: SparkSession, sf_dir: str, name: str, id_col: str) -> DataFrame:
     return table(spark, sf_dir, name).selectExpr(f"{id_col} AS id", f"{SEQ} AS seq")
+
+
+#: Line items with one row for each order and line number, which the table does not promise.
+LINES = "(SELECT l_orderkey, l_linenumber, max(l_suppkey) AS l_suppkey, max(l_partkey) AS l_partkey, max(l_quantity) AS l_quantity, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LINES as a DataFrame."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_quantity", "l_linestatus")))

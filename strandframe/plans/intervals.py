@@ -30,7 +30,7 @@ def _where(df: DataFrame) -> DataFrame:
 
 @query(f'WITH {ALN}, {ISLANDS} SELECT chrom, s AS start, e AS "end", n FROM isl')
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.merge(_where(alignments(spark, sf_dir)), ["chrom"])
+    return intervals.merge_binned(_where(alignments(spark, sf_dir)), ["chrom"], 1000)
 
 
 @query(f'WITH {ALN}, {QI} SELECT * FROM (SELECT read, e AS start, lead(s) OVER (PARTITION BY read ORDER BY s) AS "end" FROM isl) WHERE "end" IS NOT NULL')

@@ -13,19 +13,20 @@ from ..operators import alignment, chaining, compare, seeds, similarity, validat
 from ..session import materialize, table
 from .inputs import ALN, SEQ, alignments, sequences
 from .registry import query
-from .seeds import K, SMER, sql_kmers, sql_syncmer
+from .seeds import K, sql_kmers
 
 CHAIN_K = 14
 
 
 def _both_strands(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Seeds of documents on both strands against the benchmark passages, all k-mers of at most 500 loci."""
-    index = seeds.build_index(S.kmers(sequences(spark, sf_dir, "benchmark", "item_id"), "id", "seq", k), "id").where("n_hits <= 500")
+    index = seeds.build_index(S.kmers(sequences(spark, sf_dir, "benchmark", "item_id"), "id", "seq", k), "id", 500)
     docs = sequences(spark, sf_dir, "documents", "doc_id")
     forward = S.kmers(docs, "id", "seq", k).select(F.col("id").alias("read_id"), F.lit(False).alias("reverse"), F.col("pos").alias("read_pos"), "kmer")
-    turned = S.kmers(docs.withColumn("seq", S.revcomp(F.col("seq"))), "id", "seq", k).join(docs.select("id", F.length("seq").alias("n")), "id")
-    backward = turned.select(F.col("id").alias("read_id"), F.lit(True).alias("reverse"), (F.col("n") - F.col("pos") - k).alias("read_pos"), "kmer")
-    return seeds.lookup(forward.unionByName(backward), index)
+    # the reverse strand is that of the passages: one pass over the reads serves both, as a k-mer's turn is its own
+    turned = index.select(S.revcomp_kmer(F.col("kmer"), k).alias("kmer"), F.lit(True).alias("reverse"), "chrom", "ref_pos", "n_hits")
+    both = index.select("kmer", F.lit(False).alias("reverse"), "chrom", "ref_pos", "n_hits").unionByName(turned)
+    return seeds.lookup(forward.drop("reverse"), both)
 
 
 @query(
@@ -132,17 +133,17 @@ def variant_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql_kmers('d', 'documents', 'doc_id', K)}, {sql_kmers('b', 'benchmark', 'item_id', K)}, m AS (SELECT kmer FROM (SELECT DISTINCT b.kmer FROM b) WHERE {sql_syncmer('kmer')}),
-  nb AS (SELECT id, count(DISTINCT kmer) AS n FROM b SEMI JOIN m USING (kmer) GROUP BY id), h AS (SELECT DISTINCT d.id AS q, b.id AS t, kmer FROM d JOIN b USING (kmer) SEMI JOIN m USING (kmer)),
-  s AS (SELECT q, t, count(*) AS shared, count(*) / n AS score FROM h JOIN nb ON nb.id = t GROUP BY q, t, n), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, t) AS rank FROM s WHERE score >= 0.15)
+    f"""WITH {sql_kmers('d', 'documents', 'doc_id', K)}, {sql_kmers('b', 'benchmark', 'item_id', K)}, nd AS (SELECT id, count(DISTINCT kmer) AS n FROM d GROUP BY id), nb AS (SELECT id, count(DISTINCT kmer) AS n FROM b GROUP BY id),
+  h AS (SELECT DISTINCT d.id AS q, b.id AS t, kmer FROM d JOIN b USING (kmer)), s AS (SELECT q, t, count(*) AS shared, count(*) / least(nb.n, nd.n) AS score FROM h JOIN nb ON nb.id = t JOIN nd ON nd.id = q GROUP BY q, t, nb.n, nd.n),
+  r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, t) AS rank FROM s WHERE score >= 0.15)
 SELECT q AS doc_id, rank, CAST(t AS BIGINT) AS item_id, shared, round(score, 6) AS score FROM r WHERE rank <= 5"""
 )
 def library_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that share at least 15 % of their seeds with a document, the five best of each: a top-k report."""
-    lib = S.kmers(sequences(spark, sf_dir, "benchmark", "item_id"), "id", "seq", K, SMER).select(F.col("id").alias("item_id"), "kmer").distinct()
-    sizes = lib.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    reads = S.kmers(sequences(spark, sf_dir, "documents", "doc_id"), "id", "seq", K, SMER).select(F.col("id").alias("doc_id"), "kmer").distinct()
-    hits = reads.join(lib, "kmer").join(sizes, "item_id").withColumn("n_doc", F.col("n_item"))
+    """Passages that share at least 15 % of the k-mers of the smaller of the two with a document, the five best of each: a top-k report."""
+    lib = S.kmers(sequences(spark, sf_dir, "benchmark", "item_id"), "id", "seq", K).select(F.col("id").alias("item_id"), "kmer").distinct()
+    reads = S.kmers(sequences(spark, sf_dir, "documents", "doc_id"), "id", "seq", K).select(F.col("id").alias("doc_id"), "kmer").distinct()
+    n_item, n_doc = (x.groupBy(c).agg(F.count("*").alias(n)) for x, c, n in ((lib, "item_id", "n_item"), (reads, "doc_id", "n_doc")))
+    hits = reads.join(lib, "kmer").join(n_item, "item_id").join(n_doc, "doc_id")
     return similarity.top_candidates(hits, "doc_id", "item_id", "n_doc", "n_item").select("doc_id", F.col("rank").cast("long").alias("rank"), "item_id", "shared", F.round("score", 6).alias("score"))
 
 

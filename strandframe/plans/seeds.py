@@ -52,7 +52,7 @@ FROM h SEMI JOIN ok USING (kmer)"""
 )
 def seed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: syncmer seeds of every document against an index of the benchmark passages, as the seed dump."""
-    index = seeds.build_index(S.kmers(sequences(spark, sf_dir, "benchmark", "item_id"), "id", "seq", K, SMER), "id")
+    index = seeds.build_index(S.kmers(sequences(spark, sf_dir, "benchmark", "item_id"), "id", "seq", K, SMER), "id", 500)
     reads = S.kmers(sequences(spark, sf_dir, "documents", "doc_id"), "id", "seq", K, SMER).select(F.col("id").alias("read_id"), F.lit("+").alias("strand"), F.col("pos").alias("read_pos"), "kmer")
     hits = seeds.local_multiplicity(seeds.lookup(reads, index, 500), "read_id")
     return hits.select("read_id", S.kmer_text(F.col("kmer"), K).alias("kmer"), "chrom", "ref_pos", "read_pos", "kmer_multiplicity")
@@ -75,8 +75,7 @@ def seq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql_kmers('d', 'documents', 'doc_id', 12)} SELECT kmer, count(*) AS n FROM d GROUP BY kmer")
 def kmer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.kmers(sequences(spark, sf_dir, "documents", "doc_id"), "id", "seq", 12)
-    return found.groupBy("kmer").agg(F.count("*").alias("n")).select(S.kmer_text(F.col("kmer"), 12).alias("kmer"), "n")
+    return S.kmer_counts(sequences(spark, sf_dir, "documents", "doc_id"), "seq", 12).select(S.kmer_text(F.col("kmer"), 12).alias("kmer"), "n")
 
 
 @query(f"WITH {sql_kmers('d', 'documents', 'doc_id', 12)} SELECT n AS frequency, count(*) AS kmers FROM (SELECT kmer, count(*) AS n FROM d GROUP BY kmer) GROUP BY n")
@@ -120,7 +119,7 @@ def unique_vs_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql_kmers('d', 'documents', 'doc_id', 14)}, c AS (SELECT kmer, count(*) AS n FROM d GROUP BY kmer) SELECT CASE WHEN n > 50 THEN 'dropped' WHEN n <= 5 THEN 'direct' ELSE 'deferred' END AS tier, count(*) AS kmers, CAST(sum(n) AS BIGINT) AS loci FROM c GROUP BY 1")
 def freq_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = S.kmers(sequences(spark, sf_dir, "documents", "doc_id"), "id", "seq", 14).groupBy("kmer").agg(F.count("*").alias("n_hits"))
+    counts = S.kmer_counts(sequences(spark, sf_dir, "documents", "doc_id"), "seq", 14).withColumnRenamed("n", "n_hits")
     return seeds.route(counts, 5, 50).groupBy("tier").agg(F.count("*").alias("kmers"), F.sum("n_hits").alias("loci"))
 
 

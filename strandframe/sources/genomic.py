@@ -11,8 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import localization, reference_group
+from pyspark.sql.window import Window
+
+from ..functions.scalars import localization, reference_group, repeat_coverage
 from ..operators.intervals import merge
+from ..session import prepare
 
 OPENERS = {b"\x1f\x8b": gzip.decompress, b"BZh": bz2.decompress, b"\xfd7zXZ\x00": lzma.decompress}
 
@@ -38,30 +41,41 @@ def fetch(contigs: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``name, seq, qual``; gzip, bzip2, xz or plain. A file is one task; cut large files with write_fastq_chunks first."""
+    """``name, seq, qual``; gzip, bzip2, xz or plain. A record that is cut off or does not begin with @ is an error.
+
+    A file is one task; cut large files with write_fastq_chunks first.
+    """
+    prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                lines = decompress(content.as_py()).decode("utf-8", "replace").splitlines()
+                lines = decompress(content.as_py()).decode("utf-8", "replace").replace("\r\n", "\n").rstrip("\n").split("\n")
+                if lines == [""]:
+                    continue
+                if len(lines) % 4 == 3:
+                    lines.append("")  # an empty quality line at the end
+                if len(lines) % 4:
+                    raise ValueError("a FASTQ file ends within a record")
                 for at in range(0, len(lines), 40_000):
                     part = lines[at : at + 40_000]
-                    part = part[: len(part) - len(part) % 4]
-                    if any(not x.startswith("@") for x in part[::4]):
-                        raise ValueError("a FASTQ record does not begin with @")
+                    if any(not x.startswith("@") for x in part[::4]) or any(not x.startswith("+") for x in part[2::4]):
+                        raise ValueError("a FASTQ record does not begin with @ or lacks its +")
+                    if any(len(x) != len(y) for x, y in zip(part[1::4], part[3::4])):
+                        raise ValueError("a FASTQ record has not as many qualities as bases")
                     yield pa.RecordBatch.from_arrays([pa.array([(x[1:].split() or ["unnamed"])[0] for x in part[::4]]), pa.array(part[1::4]), pa.array(part[3::4])], names=["name", "seq", "qual"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, seq string, qual string")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """The eleven fixed fields, positions from 0 as ``start``, and ``tags`` as a map; header lines and short lines are left out."""
+    """The eleven fixed fields, positions from 0 as ``start`` and ``mate_start``, and ``tags``, a map of ``type:value``; header lines and short lines are left out."""
     f = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("@")).where(F.size(f) >= 11)
-    tags = F.map_from_entries(F.transform(F.slice(f, 12, 1 << 20), lambda t: F.struct(F.substring(t, 1, 2), F.regexp_replace(t, "^.....", ""))))
+    tags = F.map_from_entries(F.transform(F.slice(f, 12, 1 << 20), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 4, 1 << 30))))
     return rows.select(
         f[0].alias("read"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), (f[3].cast("long") - 1).alias("start"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"),
-        f[9].alias("seq"), f[10].alias("qual"), tags.alias("tags"),
+        f[6].alias("mate_chrom"), (f[7].cast("long") - 1).alias("mate_start"), f[8].cast("long").alias("template"), f[9].alias("seq"), f[10].alias("qual"), tags.alias("tags"),
     )
 
 
@@ -70,14 +84,30 @@ def region(alignments: DataFrame, chrom: str) -> DataFrame:
     return alignments.where((F.col("chrom") == chrom) & (F.col("flag").bitwiseAND(0x704) == 0))
 
 
-def write_sam(records: DataFrame, contigs: DataFrame, path: str, program: str = "strandframe") -> None:
-    """SAM text in coordinate order, a header in its first file. Records as read_sam gives them."""
-    lines = contigs.orderBy("name").select(F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), "length").alias("value"), F.lit(1).alias("o"), F.col("name").alias("c"), F.lit(0).cast("long").alias("p"))
-    head = records.sparkSession.createDataFrame([("@HD\tVN:1.6\tSO:coordinate", 0), (f"@PG\tID:{program}\tPN:{program}", 2)], "value string, o int").select("value", "o", F.lit("").alias("c"), F.lit(0).cast("long").alias("p"))
-    tags = F.concat_ws("\t", F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit(":Z:"), e["value"])))
-    body = F.concat_ws("\t", "read", "flag", "chrom", (F.col("start") + 1).cast("string"), "mapq", "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", "qual", F.nullif(tags, F.lit("")))
-    rows = records.select(body.alias("value"), F.lit(3).alias("o"), F.col("chrom").alias("c"), F.col("start").alias("p"))
-    head.unionByName(lines).unionByName(rows).repartitionByRange("o", "c", "p").sortWithinPartitions("o", "c", "p").select("value").write.text(path)
+def write_sam(records: DataFrame, contigs: DataFrame, path: str, program: str = "strandframe", groups: DataFrame | None = None, by_place: bool = True) -> None:
+    """SAM text, a header in its first file, in coordinate order unless ``by_place`` is off. Records as read_sam gives them.
+
+    Mate columns may be missing; null fields are written as the format says (``*``, 0 or 255). ``groups
+    (id, sample)`` become read group lines.
+    """
+    spark = records.sparkSession
+    line = lambda rows, o, c: rows.select(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in c)).alias("value"), F.lit(o).alias("o"), F.lit("").alias("c"), F.monotonically_increasing_id().alias("p"))
+    order = "coordinate" if by_place else "unsorted"
+    head = [line(spark.range(1), 0, [f"@HD\tVN:1.6\tSO:{order}"]), line(contigs.orderBy("name"), 1, ["@SQ\tSN:", F.col("name"), "\tLN:", F.col("length").cast("string")]), line(spark.range(1), 3, [f"@PG\tID:{program}\tPN:{program}"])]
+    if groups is not None:
+        head.append(line(groups.orderBy("id"), 2, ["@RG\tID:", F.col("id"), "\tSM:", F.col("sample")]))
+    have = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other)) if c in records.columns else F.lit(other)
+    place = lambda c: F.coalesce((F.col(c) + 1).cast("string"), F.lit("0")) if c in records.columns else F.lit("0")
+    tags = F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce("tags", F.create_map().cast("map<string,string>")))), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), "\t")
+    body = F.concat_ws("\t", have("read", "*"), have("flag", "0"), have("chrom", "*"), place("start"), have("mapq", "255"), have("cigar", "*"), have("mate_chrom", "*"), place("mate_start"), have("template", "0"), have("seq", "*"), have("qual", "*"), F.nullif(tags, F.lit("")))
+    if by_place:  # contigs in the header's order, records without one last
+        known = contigs.select(F.col("name").alias("_name"), F.row_number().over(Window.orderBy("name")).cast("string").alias("_n"))
+        rows = records.join(F.broadcast(known), F.col("chrom") == F.col("_name"), "left").select(body.alias("value"), F.lit(4).alias("o"), F.coalesce(F.lpad("_n", 9, "0"), F.lit("~")).alias("c"), F.coalesce("start", F.lit(0)).alias("p"))
+    else:
+        rows = records.select(body.alias("value"), F.lit(4).alias("o"), F.lit("").alias("c"), F.monotonically_increasing_id().alias("p"))
+    for part in head:
+        rows = rows.unionByName(part)
+    rows.repartitionByRange("o", "c", "p").sortWithinPartitions("o", "c", "p").select("value").write.text(path)
 
 
 def read_bed(spark: SparkSession, path: str, merged: bool = True) -> DataFrame:
@@ -101,6 +131,50 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(f[0].alias("chrom"), f[1].cast("long").alias("pos"), f[2].alias("id"), f[3].alias("ref"), f[4].alias("alt"), f[5].alias("qual"), f[6].alias("filter"), F.str_to_map(f[7], F.lit(";"), F.lit("=")).alias("info"))
 
 
+def write_vcf(variants: DataFrame, contigs: DataFrame, path: str, infos: dict[str, tuple[str, str, str]] | None = None) -> None:
+    """VCF text in coordinate order; variants as read_vcf gives them, ``infos``: INFO id -> number, type, description."""
+    spark = variants.sparkSession
+    known = contigs.select(F.col("name").alias("_name"), F.row_number().over(Window.orderBy("name")).cast("int").alias("_n"), "length")
+    lines = ["##fileformat=VCFv4.2", *(f'##INFO=<ID={k},Number={n},Type={t},Description="{d}">' for k, (n, t, d) in (infos or {}).items())]
+    head = spark.createDataFrame([(x, -2, i) for i, x in enumerate(lines)] + [("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO", 0, 0)], "value string, o int, p long")
+    listed = known.select(F.concat(F.lit("##contig=<ID="), "_name", F.lit(",length="), "length", F.lit(">")).alias("value"), F.lit(-1).alias("o"), F.col("_n").cast("long").alias("p"))
+    info = F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    field = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    rows = variants.join(F.broadcast(known.drop("length")), F.col("chrom") == F.col("_name"), "left").select(
+        F.concat_ws("\t", "chrom", F.col("pos").cast("string"), *(field(c) for c in ("id", "ref", "alt", "qual", "filter")), F.coalesce(F.nullif(info, F.lit("")), F.lit("."))).alias("value"), F.coalesce("_n", F.lit(1 << 30)).alias("o"), F.col("pos").alias("p")
+    )
+    head.unionByName(listed).unionByName(rows).repartitionByRange("o", "p").sortWithinPartitions("o", "p").select("value").write.text(path)
+
+
+#: Places of the columns of a genome browser's repeat table that are read.
+REPEAT_COLUMNS = {"chrom": 5, "start": 6, "end": 7, "strand": 9, "rep_name": 10, "rep_class": 11, "rep_family": 12, "rep_start": 13, "rep_end": 14, "rep_left": 15}
+
+
+def read_repeat_table(spark: SparkSession, path: str) -> DataFrame:
+    """A genome browser's repeat table, 17 tab-separated columns with or without a header line, and the share of the consensus that each repeat covers.
+
+    Rows with fewer columns or without numbers where they belong have no place and are left out.
+    """
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).where(~F.col("value").startswith("#")).where(F.size(f) >= 17)
+    kinds = {c: "int" if c in ("start", "end", "rep_start", "rep_end", "rep_left") else "string" for c in REPEAT_COLUMNS}
+    rows = rows.select(*(F.expr(f"try_cast(split(value, '\t')[{i}] AS {kinds[c]})").alias(c) for c, i in REPEAT_COLUMNS.items())).where("start is not null and end is not null")
+    return rows.withColumn("coverage", repeat_coverage(F.col("rep_start"), F.col("rep_end"), F.col("rep_left")))
+
+
+def write_per_read(reads: DataFrame, path: str) -> None:
+    """FASTQ text, a folder for each read (``name=...``)."""
+    record = F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value")
+    reads.select("name", record).write.partitionBy("name").text(path)
+
+
+def write_debug(rows: DataFrame, path: str | None) -> DataFrame:
+    """``rows`` as they are, and as TSV under ``path`` if there is one: a look at what lies between two steps."""
+    if path:
+        write_tsv(rows, path)
+    return rows
+
+
 def read_strata(spark: SparkSession, path: str) -> DataFrame:
     """``stratum, priority, chrom, start, end`` of a list of ``name, bed path`` lines, in their order."""
     listed = [r.value.split("\t") for r in spark.read.text(path).collect() if r.value.strip() and not r.value.startswith(("#", "name\t"))]

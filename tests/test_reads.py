@@ -148,7 +148,7 @@ def test_alignment_and_interval_files(spark, tmp_path):
     (tmp_path / "x.sam").write_text("@HD\tVN:1.6\nr1\t16\tchr1\t11\t60\t4=\t*\t0\t0\tACGT\tIIII\tNM:i:0\tSA:Z:x:y\nshort\t1\n")
     sam = G.read_sam(spark, str(tmp_path / "x.sam"))
     r = sam.first()
-    assert (r.read, r.flag, r.start, r.tags) == ("r1", 16, 10, {"NM": "0", "SA": "x:y"}) and sam.count() == 1
+    assert (r.read, r.flag, r.start, r.tags) == ("r1", 16, 10, {"NM": "i:0", "SA": "Z:x:y"}) and sam.count() == 1
     G.write_sam(sam, spark.createDataFrame([("chr1", 100)], "name string, length long"), str(tmp_path / "sam"))
     again = G.read_sam(spark, str(tmp_path / "sam"))
     assert again.first().start == 10 and again.count() == 1 and G.region(again, "chr1").count() == 1
@@ -183,3 +183,116 @@ def test_events_stream_like_tables(spark, tmp_path):
     rate = E.rolling_rate(E.stream(spark, source)).writeStream.format("memory").queryName("rates").outputMode("update").trigger(availableNow=True).start()
     rate.awaitTermination(120)
     assert spark.table("rates").groupBy("user_id").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_quality_is_capped_where_copies_cannot_be_told_apart():
+    s = seeds_of([(0, 400, 1000, 0, False)])
+    score, chain = chaining.explain(s, np.ones(1, bool), C)
+    assert chaining.map_quality(s | {"multiplicity": np.array([50])}, score, chain, C) == 60
+    assert chaining.map_quality(s | {"multiplicity": np.array([100])}, score, chain, C) == 0
+
+
+def test_places_are_linked_within_a_chromosome():
+    s = seeds_of([(0, 50, 100, 0, False), (60, 50, 30_000, 0, False), (120, 50, 12_000, 0, True), (180, 50, 10, 1, False)])
+    assert chaining.places(s, np.arange(4), 20_000).tolist() == [[0, 100, 30050], [1, 10, 60]]
+    assert chaining.places(s, np.arange(0), 20_000).shape == (0, 3)
+    assert chaining.touching(s, np.array([[1, 0, 5]]), 10).sum() == 1
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.text("AC", min_size=1, max_size=30), st.integers(0, 29), st.integers(1, 6), st.booleans())
+def test_left_aligned(text, at, n, insert):
+    from strandframe.functions import cigar
+
+    at = min(at, len(text))
+    short, long = text[:at] + text[at + n :], text
+    if len(short) == len(long) or at == 0:
+        return
+    k = len(long) - len(short)
+    before = f"{at}={k}{'I' if insert else 'D'}" + (f"{len(short) - at}=" if len(short) > at else "")
+    got = cigar.left_aligned(before, *((long, short) if insert else (short, long)))
+    first = next(a for a in range(at + 1) if long[:a] + long[a + k :] == short)
+    assert got == (f"{first}=" if first else "") + f"{k}{'I' if insert else 'D'}" + (f"{len(short) - first}=" if len(short) > first else "")
+
+
+def test_cigar_editing_of_strings():
+    from strandframe.functions import cigar
+
+    assert cigar.left_aligned("4=1X2D3=", "ACGTAAAA", "ACGTGAAAAA") == "4=1X2D3="
+    assert cigar.left_aligned("2S5=1I3=", "TTACGGGGACT", "ACGGGACT") == "2S2=1I6="
+    assert cigar.left_aligned("*", "", "") == ""
+    assert cigar.picture("2S2=1X1I1D1=", "NNACGTA", "ACTGA") == "ACT-GA\n||   |\nACGT-A"
+
+
+def test_schedule_against_all_subsets():
+    from strandframe.operators import filters
+
+    rng = random.Random(5)
+    for _ in range(60):
+        n = rng.randrange(1, 8)
+        start = np.array([rng.randrange(100) for _ in range(n)])
+        end = start + np.array([rng.randrange(1, 60) for _ in range(n)])
+        weight = np.array([float(rng.randrange(1, 40)) for _ in range(n)])
+
+        def value(chosen):
+            total = weight[chosen[0]]
+            for j, i in zip(chosen, chosen[1:]):
+                if end[j] > start[i] + 5:
+                    return -1e9
+                total += weight[i] - 0.1 * max(0, start[i] - end[j])
+            return total
+
+        order = sorted(range(n), key=lambda i: (end[i], -start[i]))
+        best = max(value(list(c)) for k in range(1, n + 1) for c in itertools.combinations(order, k))
+        top, picked = filters.best_schedule(start, end, weight, 5, 0.1)
+        assert top == pytest.approx(best) and value(picked) == pytest.approx(best)
+    assert filters.best_schedule(np.array([]), np.array([]), np.array([])) == (0.0, [])
+
+
+def test_merge_by_bins_is_merge(spark):
+    from strandframe.operators import intervals
+
+    rng = random.Random(6)
+    data = [(rng.choice(["a", "b", None]), x := rng.randrange(5000), x + rng.choice([1, 5, 30, 900])) for _ in range(400)] + [("a", 10, 10), ("b", None, 5)]
+    df = spark.createDataFrame(data, "chrom string, start long, end long").where("start is not null")
+    want = sorted(map(repr, intervals.merge(df, ["chrom"]).select("chrom", "start", "end", "n").collect()))
+    for width in (7, 100, 10_000):
+        assert sorted(map(repr, intervals.merge_binned(df, ["chrom"], width).select("chrom", "start", "end", "n").collect())) == want
+
+
+def test_sam_lines_come_back_as_they_were(spark, tmp_path):
+    head = ["@HD\tVN:1.6\tSO:coordinate", "@SQ\tSN:chr1\tLN:100", "@RG\tID:g\tSM:s", "@PG\tID:strandframe\tPN:strandframe"]
+    lines = ["r1\t16\tchr1\t11\t60\t4=\t=\t31\t24\tACGT\tIIII\tNM:i:3\tSA:Z:x:y", "r2\t0\tchr1\t12\t0\t4=\t*\t0\t0\tACGT\t*", "r3\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII\tXF:f:0.5"]
+    (tmp_path / "x.sam").write_text("\n".join(head + lines) + "\n")
+    contigs, groups = spark.createDataFrame([("chr1", 100)], "name string, length long"), spark.createDataFrame([("g", "s")], "id string, sample string")
+    G.write_sam(G.read_sam(spark, str(tmp_path / "x.sam")), contigs, str(tmp_path / "out"), groups=groups)
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert [x for f in files for x in f.read_text().splitlines()] == head + lines
+    bare = spark.createDataFrame([("r", None, None, None, None, None, None, None, None)], "read string, flag int, chrom string, start long, mapq int, cigar string, seq string, qual string, tags map<string,string>")
+    G.write_sam(bare, contigs, str(tmp_path / "bare"), by_place=False)
+    assert any("r\t0\t*\t0\t255\t*\t*\t0\t0\t*\t*" == x for f in (tmp_path / "bare").glob("part-*") for x in f.read_text().splitlines())
+
+
+def test_fastq_that_is_cut_off_is_an_error(spark, tmp_path):
+    for i, text in enumerate(["@a\nAC\n+\nII\n@b\nAC\n", "@a\nAC\n+\nI\n", "a\nAC\n+\nII\n", "@a\nAC\nII\n@b\n"]):
+        (tmp_path / f"{i}.fq").write_text(text)
+        with pytest.raises(Exception, match="FASTQ"):
+            G.read_fastq(spark, str(tmp_path / f"{i}.fq")).collect()
+    (tmp_path / "ok.fq").write_bytes("@a\r\nA\x85C\r\n+\r\nIII\r\n@e\r\n\r\n+\r\n\r\n".encode())
+    assert [tuple(r) for r in G.read_fastq(spark, str(tmp_path / "ok.fq")).collect()] == [("a", "A\x85C", "III"), ("e", "", "")]
+
+
+def test_vcf_and_repeat_tables(spark, tmp_path):
+    text = '##fileformat=VCFv4.2\n##INFO=<ID=LIBRARY,Number=1,Type=String,Description="Name">\n##contig=<ID=chr1,length=100>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\nchr1\t5\tv\tA\t<DEL>\t.\tPASS\tIMPRECISE;SVLEN=-9\n'
+    (tmp_path / "x.vcf").write_text(text)
+    contigs = spark.createDataFrame([("chr1", 100)], "name string, length long")
+    G.write_vcf(G.read_vcf(spark, str(tmp_path / "x.vcf")), contigs, str(tmp_path / "out"), {"LIBRARY": ("1", "String", "Name")})
+    assert "".join(f.read_text() for f in sorted((tmp_path / "out").glob("part-*"))) == text
+    row = ["585", "1504", "13", "4", "13", "chr1", "10000", "10468", "-249240153", "+", "(CCCTAA)n", "Simple_repeat", "Simple_repeat", "1", "463", "-50", "1"]
+    (tmp_path / "r.tsv").write_text("#bin\tx\n" + "\t".join(row) + "\n" + "\t".join(["genoName"] * 17) + "\nshort\trow\n")
+    (got,) = G.read_repeat_table(spark, str(tmp_path / "r.tsv")).collect()
+    assert (got.chrom, got.start, got.end, got.rep_name, got.rep_left) == ("chr1", 10000, 10468, "(CCCTAA)n", -50) and got.coverage == pytest.approx(463 / 513)
+    reads = spark.createDataFrame([("a", "AC", "II"), ("b", "G", "I")], "name string, seq string, qual string")
+    G.write_per_read(reads, str(tmp_path / "split"))
+    assert sorted(p.name for p in (tmp_path / "split").glob("name=*")) == ["name=a", "name=b"]
+    assert G.write_debug(reads, None).count() == 2
