@@ -335,9 +335,10 @@ def _split(contexts: DataFrame, length: int, gram: int, group: int, widths: tupl
             outside = F.col("far").isNull() | (F.col("last") > F.col("far")) | (F.col("first") < F.col("near"))
             unsure = live.where("hit is null").join(known, KEY, "left").where(outside)
             open_ = materialize(unsure.select(*place, "core").distinct(), "open")
-            members = live.join(open_, [*place, "core"], "left_semi")  # with the partners that need no more counting for themselves
-            one = members.where("hit").groupBy(*place, "span").agg(F.min(F.struct(*KEY)).alias("one"))  # equal in the range: one stands for all
-            passed = members.where("hit is null").select(*KEY, "first", "last").union(one.select(*(f"one.{k}" for k in KEY), "first", "last"))
+            # partners that need no more counting for themselves go on too; of those equal in the range one stands for all
+            alone = live.where("hit is null").select(*place, "core", *KEY[1:])
+            equal = live.where("hit").groupBy(*place, "core", "span").agg(F.min(F.struct(*KEY[1:])).alias("one")).select(*place, "core", *(f"one.{k}" for k in KEY[1:]))
+            passed = alone.unionByName(equal).join(open_, [*place, "core"], "left_semi").select(*KEY, "first", "last")
             todo = contexts.join(materialize(passed, "passed"), KEY)
     return found.union(_sorted(contexts.join(small, KEY), length, gram))
 
