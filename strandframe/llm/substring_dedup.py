@@ -297,22 +297,22 @@ def _split(contexts: DataFrame, length: int, gram: int, group: int, widths: tupl
                 out = []
                 for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
                     before, after, context = row[3:6]
-                    first, last = (0, reach) if whole else row[6:8]
+                    first, last, asked = (0, reach, True) if whole else row[6:9]
                     for a in range(first, last + 1, width):
                         b = min(a + width - 1, last)
                         if max(a, length - after) > min(b, before):
                             continue  # no string starts here
                         core = _digest(context[before - a : before + length - b])
                         span = core if a == b else _digest(context[before - b : before + length - a]) if b <= before and length - a <= after else None
-                        out.append((*row[:5], a, b, core, span))
+                        out.append((*row[:5], a, b, core, span, asked))
                 if out:
-                    kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()] * 2
+                    kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()] * 2 + [pa.bool_()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-        names = [*KEY, "first", "last", "core", "span"]
+        names = [*KEY, "first", "last", "core", "span", "asked"]
         return run
 
-    schema = "anchor long, c1 long, c2 long, before int, after int, first int, last int, core binary, span binary"
+    schema = "anchor long, c1 long, c2 long, before int, after int, first int, last int, core binary, span binary, asked boolean"
     contexts = contexts.select(*KEY, "context")
     found = small = None
     todo = contexts
@@ -321,24 +321,24 @@ def _split(contexts: DataFrame, length: int, gram: int, group: int, widths: tupl
         place = ["anchor", "first", "last"]
         shared = materialize(rows.groupBy(*place, "core").agg(F.count("*").alias("n")).where("n > 1"), "shared")
         if width > 1:
-            few = rows.join(shared.where(F.col("n") <= group), [*place, "core"], "left_semi").select(*KEY, "first", "last", "core")
+            live = materialize(rows.join(shared, [*place, "core"]), "live")
+            few = live.where(F.col("n") <= group).select(*KEY, "first", "last", "core")
             small = few if small is None else small.union(few)
-            live = materialize(rows.join(shared.where(F.col("n") > group), [*place, "core"], "left_semi"), "live")
+            live = live.where(F.col("n") > group)
             spanned = materialize(live.where("span is not null").groupBy(*place, "span").count().where("count > 1").select(*place, "span", F.lit(True).alias("hit")), "spanned")
             live = materialize(live.join(spanned, [*place, "span"], "left"), "ranges")
         else:
-            live = rows.join(shared, [*place, "core"], "left_semi").withColumn("hit", F.lit(True))
+            live = rows.where("asked").join(shared, [*place, "core"], "left_semi").withColumn("hit", F.lit(True))
         hits = live.where("hit").groupBy(*KEY).agg((-F.max("last")).alias("begin"), (F.lit(length) - F.min("first")).alias("end"))
         found = hits if found is None else found.union(hits)
         if width > 1:
             known = found.groupBy(*KEY).agg(F.max(-F.col("begin")).alias("far"), F.min(F.lit(length) - F.col("end")).alias("near"))
             outside = F.col("far").isNull() | (F.col("last") > F.col("far")) | (F.col("first") < F.col("near"))
-            unsure = live.where("hit is null").join(known, KEY, "left").where(outside)
-            open_ = materialize(unsure.select(*place, "core").distinct(), "open")
-            # partners that need no more counting for themselves go on too; of those equal in the range one stands for all
-            alone = live.where("hit is null").select(*place, "core", *KEY[1:])
-            equal = live.where("hit").groupBy(*place, "core", "span").agg(F.min(F.struct(*KEY[1:])).alias("one")).select(*place, "core", *(f"one.{k}" for k in KEY[1:]))
-            passed = alone.unionByName(equal).join(open_, [*place, "core"], "left_semi").select(*KEY, "first", "last")
+            alone = live.where("hit is null").join(known, KEY, "left").select(*place, "core", *KEY[1:], outside.alias("asked"))
+            open_ = materialize(alone.where("asked").select(*place, "core").distinct(), "open")
+            # partners that ask nothing more for themselves go on too; of those equal in the range one stands for all
+            equal = live.where("hit").groupBy(*place, "core", "span").agg(F.min(F.struct(*KEY[1:])).alias("one")).select(*place, "core", *(f"one.{k}" for k in KEY[1:]), F.lit(False).alias("asked"))
+            passed = alone.unionByName(equal).join(open_, [*place, "core"], "left_semi").select(*KEY, "first", "last", "asked")
             todo = contexts.join(materialize(passed, "passed"), KEY)
     return found.union(_sorted(contexts.join(small, KEY), length, gram))
 
