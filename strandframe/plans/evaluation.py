@@ -116,7 +116,7 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _LINE = "(SELECT read, chrom, reverse, qs, qe, CASE WHEN reverse THEN -sl ELSE sl END AS m, CASE WHEN reverse THEN re + sl * qs ELSE rs - sl * qs END AS c FROM (SELECT *, CAST(re - rs AS DOUBLE) / greatest(1, qe - qs) AS sl FROM {side}))"
-_MERGED = """{name}f AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY read ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM {source}),
+_MERGED = """{name}f AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY read ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT read, s, e FROM {source})),
   {name}g AS (SELECT *, sum(fresh) OVER (PARTITION BY read ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM {name}f), {name} AS (SELECT read, CAST(round_even(sum(n), 0) AS BIGINT) AS bp FROM (SELECT read, max(e) - min(s) AS n FROM {name}g GROUP BY read, island) GROUP BY read)"""
 
 
