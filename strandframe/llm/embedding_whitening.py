@@ -44,7 +44,10 @@ class Moments:
     def merged(self, other: Moments) -> Moments:
         """Chan's formula: scatters add up, and the means' distance counts n m / (n + m) times."""
         n = self.n + other.n
-        apart = (other.total / other.n - self.total / self.n).astype(float)
+        if self.total.dtype == object:  # exact up to the division
+            apart = ((other.total * self.n - self.total * other.n) / (self.n * other.n)).astype(float)
+        else:
+            apart = other.total / other.n - self.total / self.n
         return Moments(n, self.total + other.total, self.scatter + other.scatter + np.outer(apart, apart) * (self.n / n * other.n))
 
 
@@ -80,8 +83,10 @@ class Fit:
         return self.values > len(self.total) * np.finfo(float).eps * max(self.values.max(initial=0.0), 0.0)
 
     def whitened(self, x: np.ndarray) -> np.ndarray:
+        whole = self.total // self.n  # the mean in two parts, so that no digit of it is lost
+        part = ((self.total - whole * self.n) / self.n).astype(float)
         with np.errstate(divide="ignore", invalid="ignore"):
-            y = (x - (self.total / self.n).astype(float)) @ self.axes / np.sqrt(self.values)
+            y = ((x - whole.astype(np.int64)) - part) @ self.axes / np.sqrt(self.values)
         return np.where(self.usable, y, np.nan)
 
 
