@@ -82,3 +82,16 @@ def overlapping(df: DataFrame, keys: list[str], order: str, start: str = "start"
     """Intervals that begin before the furthest end of those before them."""
     before = Window.partitionBy(*keys).orderBy(start, order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("reach", F.max(end).over(before)).where(F.col(start) < F.col("reach"))
+
+
+def uncovered(df: DataFrame, lengths: DataFrame, keys: list[str], length: str, start: str = "start", end: str = "end") -> DataFrame:
+    """What ``df`` leaves of [0, length), both ends included: ``*keys, start, end``. A key without intervals is one gap; intervals beyond the ends count as far as they reach in."""
+    w = Window.partitionBy(*keys).orderBy("start")
+    islands = merge(df.where(F.col(end) > F.col(start)), keys, start, end)
+    spans = lengths.select(*keys, F.col(length).cast("long").alias("_length")).join(islands, keys, "left")
+    low = F.greatest(F.coalesce(F.lag("end").over(w), F.lit(0)), F.lit(0))
+    high = F.least(F.coalesce("start", "_length"), F.col("_length"))
+    before = spans.withColumns({"_low": low, "_high": high, "_last": F.lead("end").over(w).isNull()})
+    tail = F.when(F.col("_last") & F.col("end").isNotNull(), F.struct(F.greatest("end", F.lit(0)).alias("start"), F.col("_length").alias("end")))
+    both = before.select(*keys, F.explode(F.array(F.struct(F.col("_low").alias("start"), F.col("_high").alias("end")), tail)).alias("g"))
+    return both.where("g is not null and g.end > g.start").select(*keys, "g.start", "g.end")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.sequence import revcomp_kmer
+
 
 def build_index(found: DataFrame, chrom: str = "chrom", most: int | None = None) -> DataFrame:
     """``kmer, chrom, ref_pos, n_hits``: one row a locus, with the number of loci of its k-mer.
@@ -20,6 +22,12 @@ def build_index(found: DataFrame, chrom: str = "chrom", most: int | None = None)
     return found.select("kmer", F.col(chrom).alias("chrom"), F.col("pos").alias("ref_pos")).join(counts, "kmer")
 
 
+def both_strands(index: DataFrame, k: int) -> DataFrame:
+    """``index`` with ``reverse``: each locus also under its reverse complement, so one pass over a read's k-mers serves both strands."""
+    turned = index.withColumns({"kmer": revcomp_kmer(F.col("kmer"), k), "reverse": F.lit(True)})
+    return index.withColumn("reverse", F.lit(False)).unionByName(turned)
+
+
 def lookup(reads: DataFrame, index: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Read k-mers joined to their loci. Frequent k-mers are dropped before the join, so they never fan out."""
     held = index if max_hits is None else index.where(F.col("n_hits") <= max_hits)

@@ -22,11 +22,8 @@ def _both_strands(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Seeds of documents on both strands against the benchmark passages, all k-mers of at most 500 loci."""
     index = seeds.build_index(S.kmers(sequences(spark, sf_dir, "benchmark", "item_id"), "id", "seq", k), "id", 500)
     docs = sequences(spark, sf_dir, "documents", "doc_id")
-    forward = S.kmers(docs, "id", "seq", k).select(F.col("id").alias("read_id"), F.lit(False).alias("reverse"), F.col("pos").alias("read_pos"), "kmer")
-    # the reverse strand is that of the passages: one pass over the reads serves both, as a k-mer's turn is its own
-    turned = index.select(S.revcomp_kmer(F.col("kmer"), k).alias("kmer"), F.lit(True).alias("reverse"), "chrom", "ref_pos", "n_hits")
-    both = index.select("kmer", F.lit(False).alias("reverse"), "chrom", "ref_pos", "n_hits").unionByName(turned)
-    return seeds.lookup(forward.drop("reverse"), both)
+    forward = S.kmers(docs, "id", "seq", k).select(F.col("id").alias("read_id"), F.col("pos").alias("read_pos"), "kmer")
+    return seeds.lookup(forward, seeds.both_strands(index, k))
 
 
 @query(
