@@ -1,6 +1,6 @@
 """Registered queries of the library's own operators."""
 
-from . import evaluation, events, filters, intervals, pileups, reads, records, rescue, seeds, vectors  # noqa: F401
+from . import chains, evaluation, events, filters, intervals, pileups, reads, records, rescue, seeds, vectors  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
