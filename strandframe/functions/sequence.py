@@ -196,3 +196,11 @@ def common_prefix(a: Column, b: Column) -> Column:
     n = F.least(F.length(a), F.length(b))
     differ = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
     return F.when(n < 1, F.when(n.isNotNull(), F.lit(0))).otherwise(F.coalesce(F.get(differ, F.lit(0)) - 1, n)).cast("long")
+
+
+def common_prefix_by_halves(a: Column, b: Column, most: int) -> Column:
+    """Characters that two strings begin with alike, up to ``most``: steps of halving length are taken while the parts are equal. Null if either is."""
+    steps = [1 << i for i in range(max(most, 1).bit_length() - 1, -1, -1)]
+    n = F.least(F.length(a), F.length(b), F.lit(most))
+    part = lambda x, at, step: F.substring(x, at + 1, step)
+    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.when(n.isNotNull(), F.lit(0)), lambda at, step: F.when((at + step <= n) & (part(a, at, step) == part(b, at, step)), at + step).otherwise(at))
