@@ -203,4 +203,4 @@ def common_prefix_by_halves(a: Column, b: Column, most: int) -> Column:
     steps = [1 << i for i in range(max(most, 1).bit_length() - 1, -1, -1)]
     n = F.least(F.length(a), F.length(b), F.lit(most))
     part = lambda x, at, step: F.substring(x, at + 1, step)
-    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.when(n.isNotNull(), F.lit(0)), lambda at, step: F.when((at + step <= n) & (part(a, at, step) == part(b, at, step)), at + step).otherwise(at))
+    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.when(a.isNotNull() & b.isNotNull(), F.lit(0)), lambda at, step: F.when((at + step <= n) & (part(a, at, step) == part(b, at, step)), at + step).otherwise(at))
