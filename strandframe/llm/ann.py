@@ -4,6 +4,10 @@ Vectors are dealt to shards. In a shard every tree is a sorted array of long has
 each random hyperplane. A query descends each tree to its longest matching prefix and then ascends all
 trees together, one bit at a time, until the prefixes hold enough candidates; the candidates are scored
 exactly in double precision. All shards are asked, in blocks of queries, and their best are merged.
+
+How many candidates are enough depends on the vectors, so it is measured: a shard is cut into bands of
+similar length, and each band's number is doubled until a sample of the queries finds nearly all that exact
+scores find, up to the whole band. A band whose lengths cannot reach a query's best is not asked.
 """
 
 from __future__ import annotations
@@ -16,8 +20,12 @@ from pyspark.sql.window import Window
 
 #: Vectors of a shard and queries of a block, about: bounds of a task's memory.
 SHARD, BLOCK = 16384, 16384
-#: Trees, bits of a hash string, and candidates that a query wants of a shard, repeats over the trees counted.
-TREES, BITS, WANTED = 96, 24, 5000
+#: Trees, bits of a hash string, and candidates that a query wants of a band at first, repeats over the trees counted.
+TREES, BITS, WANTED = 96, 24, 2500
+#: Share of the true neighbours that a sample of SAMPLE queries must find before the number of candidates is settled.
+RECALL, SAMPLE = 0.97, 64
+#: A band's longest vector is at most so many times as long as its shortest; bands of up to SMALL vectors are scored as a whole.
+SPREAD, SMALL = 1.2, 512
 
 
 def planes(dimension: int, trees: int = TREES, bits: int = BITS, seed: int = 5) -> np.ndarray:
@@ -81,17 +89,80 @@ class Forest:
         return np.nonzero(mask)[1], np.concatenate([[0], np.cumsum(mask.sum(axis=1))])
 
 
-def nearest(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, wanted: int = WANTED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, vector ids and scores of the ``k`` best candidates of each query; ties go to the smaller id. Only candidates are scored."""
-    forest = Forest(x)
+def bands(lengths: np.ndarray) -> list[np.ndarray]:
+    """Rows by falling length, cut where a vector is more than SPREAD times shorter than the band's longest and the band is not small."""
+    order = np.argsort(-lengths, kind="stable")
+    falling, out, at = lengths[order], [], 0
+    while at < len(order):
+        end = max(int(np.searchsorted(-falling, -falling[at] / SPREAD, side="right")), min(at + SMALL, len(order)))
+        out.append(order[at:end])
+        at = end
+    return out
+
+
+class Shard:
+    """The bands of a shard, each with its forest and the number of candidates that the sample asked for; None scores the whole band."""
+
+    def __init__(self, x: np.ndarray, sample: np.ndarray, k: int, recall: float = RECALL, wanted: int = WANTED):
+        self.x, self.lengths = x, np.sqrt((x * x).sum(axis=1))
+        self.bands, self.scored, self.asked = bands(self.lengths), 0, 0
+        self.forests: list[tuple[Forest, int] | None] = [None] * len(self.bands)
+        top = np.argsort(-(sample @ x.T), axis=1, kind="stable")[:, : k + 1]  # a query may be its own nearest
+        for b, rows in enumerate(self.bands):
+            true = np.zeros((len(sample), len(x)), bool)
+            np.put_along_axis(true, top, True, axis=1)
+            true = true[:, rows]
+            if len(rows) <= SMALL or not true.any():
+                continue
+            forest, want = Forest(x[rows]), wanted
+            while True:
+                found, cuts = forest.candidates(sample, want)
+                hits = true[np.repeat(np.arange(len(sample)), np.diff(cuts)), found].sum()
+                if hits >= recall * true.sum():
+                    self.forests[b] = forest, want
+                    break
+                if cuts[-1] > 0.9 * len(sample) * len(rows):
+                    break  # prefixes tell nothing here
+                want *= 2
+
+    def candidates(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the rows to score. Bands come by falling length, and one that cannot hold a better vector than the ``k`` + 1 found is passed over."""
+        held: list[list[np.ndarray]] = [[] for _ in queries]
+        sizes, least = np.sqrt((queries * queries).sum(axis=1)), np.full(len(queries), -np.inf)
+        best = np.full((len(queries), k + 1), -np.inf)
+        for b, rows in enumerate(self.bands):
+            asked = np.flatnonzero(sizes * self.lengths[rows[0]] * (1 + 1e-9) >= least)
+            if not len(asked):
+                break
+            if self.forests[b] is None:
+                found, cuts = np.tile(np.arange(len(rows)), len(asked)), np.arange(len(asked) + 1) * len(rows)
+            else:
+                forest, want = self.forests[b]
+                found, cuts = forest.candidates(queries[asked], want)
+            for i, q in enumerate(asked):
+                some = rows[found[cuts[i] : cuts[i + 1]]]
+                held[q].append(some)
+                self.scored += len(some)
+                if b + 1 < len(self.bands):
+                    best[q] = np.sort(np.concatenate([best[q], self.x[some] @ queries[q]]))[::-1][: k + 1]
+                    least[q] = best[q, -1]
+        self.asked += len(queries)
+        return [np.concatenate(h) if h else np.zeros(0, np.int64) for h in held]
+
+
+def nearest(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, vector ids and scores of the ``k`` best candidates of each query; ties go to the smaller id. Only candidates are scored, but for a sample of the queries."""
+    some = np.unique(np.linspace(0, len(queries) - 1, min(SAMPLE, len(queries))).astype(int))
+    shard = Shard(x, queries[some], k, recall)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for at in range(0, len(queries), 64):
         block = queries[at : at + 64]
-        rows, cuts = forest.candidates(block, wanted)
-        for q in range(len(block)):
-            found = rows[cuts[q] : cuts[q + 1]]
+        for q, found in enumerate(shard.candidates(block, k)):
             found = found[ids[found] != query_ids[at + q]]
             score = (x[found] * block[q]).sum(axis=1)
+            if len(found) > 4 * k:  # only what reaches the k-th best is sorted
+                kept = score >= np.partition(score, len(score) - k)[len(score) - k]
+                found, score = found[kept], score[kept]
             best = np.lexsort((ids[found], -score))[:k]
             out.append((np.full(len(best), query_ids[at + q]), ids[found[best]], score[best]))
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -102,7 +173,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, wanted: int = WANTED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found for each id divisible by ``every``, by inner product.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a
@@ -123,7 +194,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, wanted: int = WANTE
     def cell(_: tuple, shard: pa.Table, block: pa.Table) -> pa.Table:
         if not shard.num_rows or not block.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        found = nearest(_matrix(shard["x"]), shard["id"].to_numpy(), _matrix(block["x"]), block["id"].to_numpy(), k, wanted)
+        found = nearest(_matrix(shard["x"]), shard["id"].to_numpy(), _matrix(block["x"]), block["id"].to_numpy(), k, recall)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
     cells = held.groupBy("d", "shard", "part").cogroup(asked.groupBy("d", "shard", "part")).applyInArrow(cell, "query_id long, vec_id long, score double")

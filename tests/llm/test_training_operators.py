@@ -220,6 +220,21 @@ def test_op4_articles_of_the_pages(spark):
         assert re.sub(r"\s", "", html_extraction.main_text(r.html)) == want
 
 
+@pytest.mark.parametrize("name", ["social-science", "share-price-report", "notice-board", "post has-comments", "reply-to-all", "content-sidebar-left"])
+def test_op4_classes_that_merely_hold_a_listed_word(name):
+    body = [" ".join(["sentence", "number", str(i), *["of", "the", "report"] * 8]) + "." for i in range(4)]
+    page = f"<body><nav><a href='/'>home</a></nav><div class='{name}'><h1>Title of it</h1>" + "".join(f"<p>{t}</p>" for t in body) + "</div><div class='site-footer'><p>" + "foot " * 30 + "</p></div>"
+    assert html_extraction.main_text(page) == "\n\n".join(["Title of it", *body])
+
+
+def test_op4_marked_classes_and_buttons():
+    text = "word " * 30
+    for name in ("sidebar", "cookie-notice", "site-footer", "comment-list", "main-nav", "newsletter-signup"):
+        page = f"<body><article><p>{text}</p></article><div class='{name}'><p>{text}other</p></div>"
+        assert html_extraction.main_text(page) == text.strip()
+    assert html_extraction.main_text(f"<body><article><p>{text}<button type=button>Copy</button> {text}</p></article>") == (text * 2).strip()
+
+
 def test_op4_stray_ends_and_deep_pages_are_linear():
     import time
 
@@ -257,7 +272,7 @@ def test_op5_recall_and_scores(spark):
     data = [(i, v.tolist(), 0.0) for i, v in enumerate(x)] + [(5000, None, 0.0), (5020, [0.0] * 16, 0.0), (5040, [float("nan")] * 16, 0.0), (None, x[0].tolist(), 0.0), (5060, [None] + [1.0] * 15, 0.0), (5080, [1.0, 2.0], 0.0)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, score double")
     got = {}
-    for r in ann.search(df, wanted=2400).orderBy("query_id", "rank").collect():
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     hits = 0
     for q in range(0, 1500, 20):
@@ -270,9 +285,13 @@ def test_op5_recall_and_scores(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
-def test_op5_recall_at_the_size_of_a_shard():
-    x = np.random.default_rng(0).standard_normal((8192, 64))
-    ids = np.arange(8192)
+@pytest.mark.parametrize(("dimension", "spread", "share"), [(64, None, 0.65), (64, 0.0, 0.8), (64, 1.0, 0.4), (128, None, 0.9)])
+def test_op5_recall_at_the_size_of_a_shard(dimension, spread, share):
+    """Unit vectors (no spread), plain normal ones, and lengths spread log-normally."""
+    rng, n = np.random.default_rng(dimension), ann.SHARD - 1
+    x = rng.standard_normal((n, dimension))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) if spread is None else x * np.exp(spread * rng.standard_normal(n))[:, None]
+    ids = np.arange(n)
     asked = x[::40], ids[::40]
     got = ann.nearest(x, ids, *asked, 20)
     hits = 0
@@ -280,9 +299,22 @@ def test_op5_recall_at_the_size_of_a_shard():
         s = x @ q
         s[i] = -np.inf
         hits += len(set(np.argsort(-s)[:20].tolist()) & set(got[1][got[0] == i].tolist()))
-    assert hits / got[0].size >= 0.9
-    rows, cuts = ann.Forest(x).candidates(asked[0][:64])
-    assert len(rows) / (64 * 8192) < 0.6  # the share that is scored
+    assert got[0].size == 20 * len(asked[1]) and hits / got[0].size >= 0.95
+    shard = ann.Shard(x, asked[0][:64], 20)
+    shard.candidates(asked[0][64:192], 20)
+    assert shard.scored / (128 * n) < share
+
+
+def test_op5_one_long_vector_and_small_shards():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3000, 32))
+    x[17] *= 1000
+    ids = np.arange(3000)
+    got = ann.nearest(x, ids, x[::30], ids[::30], 20)
+    exact = np.argsort(-(x[::30] @ x.T), axis=1)
+    hits = [len(set(got[1][got[0] == q].tolist()) & set(exact[i][exact[i] != q][:20].tolist())) for i, q in enumerate(ids[::30])]
+    assert sum(hits) / (20 * len(hits)) >= 0.95 and all(17 in got[1][got[0] == q] for q in ids[30::30] if 17 in exact[q // 30][:20])
+    assert [len(b) for b in ann.bands(np.zeros(0))] == [] and ann.nearest(x[:3], ids[:3], x[:1], ids[:1], 20)[1].size == 2
 
 
 def plain_ftrl(rows, labels):
