@@ -24,6 +24,7 @@ from .labelled_blocks import PAGES
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 TOKEN = re.compile(r"[a-z]+")
+BUTTON = re.compile(r"</button\b[^>]*(?:>|\Z)", re.I)
 #: Elements whose contents are no text of the page.
 DROPPED = frozenset("script style noscript template iframe svg object canvas select option textarea button head title audio video map".split())
 #: Those of them whose contents are not markup: only their own end tag ends them.
@@ -41,6 +42,11 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter subscribe subscription signup login menu navbar navigation nav "
     "breadcrumb breadcrumbs sidebar comment comments disqus reply replies respond footer share sharing social related recommended popup modal overlay widget pagination pager masthead toolbar skip".split()
 )
+#: Words that may stand beside one of NAMES in a class: they say where or how large the element is, not what it is about.
+PLACES = frozenset(
+    "site page main global top bottom left right upper lower inner outer block box area wrap wrapper container section list bar item items link links button buttons text title header head body "
+    "post posts article articles entry blog story primary secondary mobile desktop fixed sticky js the of and for is in on id col column row group panel inline default".split()
+)
 #: Words of a class after these say what an element holds or lacks, not what it is.
 HOLDS = frozenset("no has with without".split())
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "aside", "heading", "item")
@@ -48,14 +54,19 @@ Block = tuple[str, float, bool, bool, bool, bool]  # text, link density, in arti
 
 
 def _names(attributes: str) -> tuple[set[str], str, bool]:
-    """Words of class and id, the role, and whether the element is hidden."""
+    """Telling words of class and id, the role, and whether the element is hidden.
+
+    A class tells by all of its words: ``cookie-notice`` and ``site-footer`` do, ``social-science`` does not.
+    """
     words: set[str] = set()
     role, hidden = "", False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             for token in value.split():
-                words.update(takewhile(lambda w: w not in HOLDS, TOKEN.findall(token)))
+                parts = list(takewhile(lambda w: w not in HOLDS, TOKEN.findall(token)))
+                if all(w in NAMES or w in PLACES for w in parts):
+                    words.update(parts)
         elif name == "role":
             role = value.strip()
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
@@ -106,6 +117,10 @@ def blocks(page: str) -> list[Block]:
             at = close.end() if close else len(page)
             if name != "textarea":
                 continue
+        if name == "button" and not ends:  # stands within a line, and its label is no text
+            close = BUTTON.search(page, at)
+            at = close.end() if close else len(page)
+            continue
         flush()
         if ends:
             link = False
