@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import seed_filters
+from pyspark.sql.window import Window
+
+from ..operators import chain_programs, chaining, seed_filters, seeds
+from ..session import materialize
 from .inputs import LINES, lines
 from .registry import query
+from .rescue import _HITS, PRUNE_K, _hits
 
 #: A chain for each supplier: its order lines by number, places and noise by part.
 SEED = {
@@ -102,3 +106,64 @@ def trimmed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pruned_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains after the repetitive prune, which goes on until nothing changes; held against a loop in plain Python in the tests."""
     return seed_filters.prune_repetitive(_seeds(spark, sf_dir), THRESHOLD, bridge=SEED_BRIDGE).select("read", "step", "read_start", "read_end", "ref_start", F.col("segment").cast("long").alias("segment"))
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of every document with what their bases weigh: less for k-mers of many loci."""
+    runs = chaining.compound_seeds(_hits(spark, sf_dir), PRUNE_K)
+    return runs.select(F.col("read_id").alias("read"), "chrom", "reverse", "diagonal", "read_start", "read_end", ((F.col("read_end") - F.col("read_start")) / F.sqrt("multiplicity")).alias("weight"))
+
+
+@query()
+def break_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best chain, the k-th break costing k times the first; held against all chains in the tests."""
+    return chain_programs.chain_by_breaks(_weighted(spark, sf_dir)).withColumn("score", F.round("score", 4))
+
+
+@query()
+def component_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's chains, component by component; held against all chains in the tests."""
+    return chain_programs.chain_components(_weighted(spark, sf_dir), scheme=chain_programs.SegmentScheme.for_k(PRUNE_K)).withColumn("score", F.round("score", 4))
+
+
+@query()
+def band_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's chains around its heaviest diagonal band."""
+    found = materialize(_weighted(spark, sf_dir), "weighted")
+    bands = seeds.bands(found, ["read", "chrom", "reverse"], 800)
+    heaviest = bands.groupBy("read").agg(F.max(F.struct("weight", "chrom", "reverse", "low", "mean", "variance")).alias("b"))
+    picked = heaviest.select("read", F.col("b.chrom").alias("band_chrom"), F.col("b.reverse").alias("band_reverse"), F.col("b.mean").alias("center"), F.col("b.variance").alias("variance"))
+    return chain_programs.chain_band(found, picked).withColumn("score", F.round("score", 4))
+
+
+#: Seeds of a read that overlap on it: neighbours by start, whatever their place; atoms are the hits, weighing less the more loci.
+_SPLITS = f"""{_HITS.replace("d.pos + " + str(PRUNE_K) + " AS read_end", "d.pos + " + str(PRUNE_K) + " AS read_end, 1 / sqrt(n_hits::DOUBLE) AS weight")}, t AS (SELECT *, CASE WHEN read_start > max(read_end) OVER (PARTITION BY read_id, chrom, reverse, diagonal ORDER BY read_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM h),
+  g AS (SELECT *, sum(fresh) OVER (PARTITION BY read_id, chrom, reverse, diagonal ORDER BY read_start ROWS UNBOUNDED PRECEDING) AS island FROM t),
+  s AS (SELECT read_id, chrom, reverse, diagonal, island, min(read_start) AS f, max(read_end) AS u FROM g GROUP BY ALL),
+  q AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY f, u, chrom, reverse, diagonal) AS i FROM s),
+  a AS (SELECT q.read_id, q.i, g.read_start AS b, g.read_end AS e, g.weight FROM g JOIN q USING (read_id, chrom, reverse, diagonal, island)),
+  p AS (SELECT l.read_id, l.i, l.f AS lf, l.u AS lu, r.f AS rf, r.u AS ru FROM q l JOIN q r ON l.read_id = r.read_id AND r.i = l.i + 1 AND r.f < l.u),
+  c AS (SELECT DISTINCT p.*, a.e AS x FROM p JOIN a ON a.read_id = p.read_id AND a.i = p.i AND a.e > p.rf UNION SELECT p.*, a.b FROM p JOIN a ON a.read_id = p.read_id AND a.i = p.i + 1 AND a.b < p.lu),
+  z AS (SELECT *, coalesce((SELECT sum(weight) FROM a WHERE a.read_id = c.read_id AND a.i = c.i AND a.e > c.x), 0) + coalesce((SELECT sum(weight) FROM a WHERE a.read_id = c.read_id AND a.i = c.i + 1 AND a.b < c.x), 0) AS cost FROM c),
+  m AS (SELECT read_id, i, lu, rf, min({{'c': round(cost, 6), 'x': x}}) AS m FROM z GROUP BY read_id, i, lu, rf)"""
+
+
+@query(
+    f"""WITH {_SPLITS} SELECT m.read_id, CAST(m.i AS BIGINT) AS pair, CAST(m.m.x AS BIGINT) AS split, m.m.c AS trimmed,
+  CAST(coalesce((SELECT max(e) FROM a WHERE a.read_id = m.read_id AND a.i = m.i AND a.e <= m.m.x), lu) AS BIGINT) AS left_end, CAST(coalesce((SELECT min(b) FROM a WHERE a.read_id = m.read_id AND a.i = m.i + 1 AND a.b >= m.m.x), rf) AS BIGINT) AS right_start FROM m"""
+)
+def overlap_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where neighbouring seeds of a document that overlap on it part best."""
+    found = _hits(spark, sf_dir)
+    diagonal = F.when(F.col("reverse"), F.col("ref_pos") + F.col("read_pos")).otherwise(F.col("ref_pos") - F.col("read_pos"))
+    place = ["read_id", "chrom", "reverse", "diagonal"]
+    hits = found.select("read_id", "chrom", "reverse", diagonal.alias("diagonal"), F.col("read_pos").alias("start"), (F.col("read_pos") + PRUNE_K).alias("end"), (1 / F.sqrt(F.col("n_hits").cast("double"))).alias("weight"))
+    w = Window.partitionBy(*place).orderBy("start")
+    fresh = (F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+    hits = hits.withColumn("fresh", F.coalesce(fresh, F.lit(0))).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = hits.groupBy(*place, "island").agg(F.min("start").alias("f"), F.max("end").alias("u"))
+    numbered = runs.withColumn("pair", F.row_number().over(Window.partitionBy("read_id").orderBy("f", "u", *place[1:])).cast("long"))
+    atoms = hits.join(numbered, [*place, "island"]).select(F.struct("read_id", "pair").alias("seed"), "start", "end", "weight")
+    pairs = numbered.select("read_id", "pair", F.struct("read_id", "pair").alias("left"), F.struct("read_id", (F.col("pair") + 1).alias("pair")).alias("right"))
+    # costs to six digits, so that sums of equal weights are equal
+    return chain_programs.split_overlaps(pairs, atoms.withColumn("weight", F.round("weight", 9)), ["read_id", "pair"]).withColumn("trimmed", F.round("trimmed", 6))
