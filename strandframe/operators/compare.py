@@ -100,3 +100,69 @@ def tile_invariance(sums: DataFrame, min_mapq: int = 20) -> DataFrame:
         .when(score > 0, "partial").when(F.col("mapq") >= min_mapq, "disagree_confident").otherwise("disagree_lowmapq")
     )
     return sums.select(F.col("read").alias("parent"), "tile", cls.alias("class"), F.round(score, 4).alias("score"))
+
+
+def matched(l: str, r: str, tolerance: int) -> Column:
+    """Whether the placements of two arrays (``chrom, reverse, rs``) match one to one in any order: each of the left, in turn, takes the first that is left and near."""
+    near = lambda x, y: (x["chrom"] == y["chrom"]) & (x["reverse"] == y["reverse"]) & (F.abs(x["rs"] - y["rs"]) <= tolerance)
+
+    def take(state: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(state["left"], lambda y: near(x, y)), F.lit(True)).cast("int")
+        rest = F.concat(F.slice(state["left"], 1, F.greatest(at - 1, F.lit(0))), F.slice(state["left"], at + 1, F.size(state["left"])))
+        return F.struct(F.when(at > 0, rest).otherwise(state["left"]).alias("left"), (state["ok"] & (at > 0)).alias("ok"))
+
+    return F.aggregate(l, F.struct(F.col(r).alias("left"), F.lit(True).alias("ok")), take, lambda s: s["ok"] & (F.size(s["left"]) == 0))
+
+
+def concordance_any_order(lhs: DataFrame, rhs: DataFrame, reads: DataFrame, read: str = "read", tolerance: int = 100) -> DataFrame:
+    """``read, category`` as ``concordance`` gives it, but the placements of a read are matched in any order.
+
+    The first of each side (least ``rank``) decides on chromosome, strand and position; with as many placements on
+    both sides they are concordant if each finds a partner of its own within ``tolerance``. A read's placements
+    are one array, which its length bounds.
+    """
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.groupBy(read).agg(F.sort_array(F.collect_list(F.struct("rank", "chrom", "reverse", "rs"))).alias(p))
+
+    both = reads.select(read).distinct().join(side(lhs, "l"), read, "left").join(side(rhs, "r"), read, "left")
+    a, b = F.col("l")[0], F.col("r")[0]
+    category = (
+        F.when(F.col("l").isNull() & F.col("r").isNull(), "both_unmapped").when(F.col("l").isNull(), "only_2_mapped").when(F.col("r").isNull(), "only_1_mapped")
+        .when(a["chrom"] != b["chrom"], "discordant_chrom").when(a["reverse"] != b["reverse"], "discordant_strand").when(F.abs(a["rs"] - b["rs"]) > tolerance, "discordant_pos")
+        .when(F.size("l") != F.size("r"), "different_count").when(matched("l", "r", tolerance), "concordant").otherwise("partial_match")
+    )
+    return both.select(read, category.alias("category"))
+
+
+def interval_measures(lhs: DataFrame, rhs: DataFrame, read: str = "read", width: int = 1000) -> DataFrame:
+    """How two sets of records cover each read: ``read, read_len``, for each side (``a_, b_``) ``n_primary, n_secondary, primary_frac, secondary_frac, mapq, chrom``, and the shares of a side's primary bases that the other's primary or secondary records place alike.
+
+    Records ``read, read_len, chrom, reverse, qs, qe, mapq, secondary, supplementary``; ranges of the read count once
+    for each chromosome and strand. A read of one side only has zeros on the other; ``chrom`` is that of its primary record
+    (the least of several), or a dot.
+    """
+    from .intervals import merge, shared_length
+
+    place = [read, "chrom", "reverse", "secondary"]
+    frac = lambda n, d: F.when(F.coalesce(d, F.lit(0)) > 0, F.coalesce(n, F.lit(0)) / d).otherwise(F.lit(0.0))
+
+    def side(df: DataFrame, p: str) -> tuple[DataFrame, DataFrame]:
+        spans = df.select(read, "chrom", "reverse", "secondary", F.col("qs").alias("start"), F.col("qe").alias("end"))
+        covered = merge(spans, place).groupBy(read).agg(*(F.sum(F.when(F.col("secondary") == s, F.col("end") - F.col("start"))).alias(f"{p}_{n}") for s, n in ((False, "primary"), (True, "secondary"))))
+        counts = df.groupBy(read).agg(
+            F.max("read_len").alias(f"{p}_len"), F.count_if(~F.col("secondary")).alias(f"{p}_n_primary"), F.count_if("secondary").alias(f"{p}_n_secondary"),
+            F.coalesce(F.max(F.when(~F.col("secondary"), F.col("mapq"))), F.lit(0)).alias(f"{p}_mapq"), F.coalesce(F.min(F.when(~F.col("secondary") & ~F.col("supplementary"), F.col("chrom"))), F.lit(".")).alias(f"{p}_chrom"),
+        )
+        return counts.join(covered, read, "left"), spans
+
+    (a, a_spans), (b, b_spans) = side(lhs, "a"), side(rhs, "b")
+    both = a.join(b, read, "full_outer")
+    pick = lambda spans, s: spans.where(F.col("secondary") == s).drop("secondary")
+    for name, x, y in (("pp", pick(a_spans, False), pick(b_spans, False)), ("ps", pick(a_spans, False), pick(b_spans, True)), ("sp", pick(b_spans, False), pick(a_spans, True))):
+        met = shared_length(x, y, [read, "chrom", "reverse"], width).groupBy(read).agg(F.sum("shared").alias(f"_{name}"))
+        both = both.join(met, read, "left")
+    length = F.coalesce("a_len", "b_len")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    sides = [x for p in "ab" for x in (zero(f"{p}_n_primary"), zero(f"{p}_n_secondary"), frac(F.col(f"{p}_primary"), length).alias(f"{p}_primary_frac"), frac(F.col(f"{p}_secondary"), length).alias(f"{p}_secondary_frac"), zero(f"{p}_mapq"), F.coalesce(f"{p}_chrom", F.lit(".")).alias(f"{p}_chrom"))]
+    shares = [frac(F.col(n), F.col(d)).alias(x) for n, d, x in (("_pp", "a_primary", "a_in_b_primary"), ("_pp", "b_primary", "b_in_a_primary"), ("_ps", "a_primary", "a_in_b_secondary"), ("_sp", "b_primary", "b_in_a_secondary"))]
+    return both.select(read, length.alias("read_len"), *sides, *shares)

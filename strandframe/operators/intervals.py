@@ -95,3 +95,27 @@ def uncovered(df: DataFrame, lengths: DataFrame, keys: list[str], length: str, s
     tail = F.when(F.col("_last") & F.col("end").isNotNull(), F.struct(F.greatest("end", F.lit(0)).alias("start"), F.col("_length").alias("end")))
     both = before.select(*keys, F.explode(F.array(F.struct(F.col("_low").alias("start"), F.col("_high").alias("end")), tail)).alias("g"))
     return both.where("g is not null and g.end > g.start").select(*keys, "g.start", "g.end")
+
+
+def touching_join(left: DataFrame, right: DataFrame, keys: list[str], width: int, gap: int = 0, how: Column | None = None) -> DataFrame:
+    """Pairs with equal ``keys`` whose intervals overlap, touch or lie within ``gap``; columns as ``range_join`` gives them.
+
+    Ends count as in [start, end]: (0, 10) meets (10, 20), and an empty interval meets what it touches. Backward
+    and null intervals meet nothing. Both sides are dealt to bins of ``width``; a pair comes in the bin of the
+    later start, so once, also where it touches at a bin's border.
+    """
+    spread = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
+    a = left.where(F.col("end") >= F.col("start")).withColumn("_bin", spread(F.col("start") - gap, F.col("end") + gap))
+    b = right.where(F.col("end") >= F.col("start")).select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).withColumn("_rbin", spread(F.col("r_start"), F.col("r_end")))
+    meet = (F.col("_bin") == F.col("_rbin")) & (F.col("r_start") <= F.col("end") + gap) & (F.col("start") <= F.col("r_end") + gap)
+    for k in keys:
+        meet = meet & (F.col(k) == F.col(f"r_{k}"))
+    once = F.col("_bin") == F.floor(F.greatest(F.col("start") - gap, F.col("r_start")) / width)
+    return a.join(b, meet & once & (how if how is not None else F.lit(True))).drop("_bin", "_rbin")
+
+
+def shared_length(left: DataFrame, right: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``*keys, shared``: the length that the unions of both sides have in common; overlapping intervals of a side count once. Keys without any are left out."""
+    a, b = (merge_binned(x.where(F.col("end") > F.col("start")), keys, width).drop("n") for x in (left, right))
+    pairs = range_join(a, b, keys, width)
+    return pairs.groupBy(*keys).agg(F.sum(F.least("end", "r_end") - F.greatest("start", "r_start")).cast("long").alias("shared"))

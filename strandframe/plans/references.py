@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chaining, reference
+from ..operators import chaining, extension, reference
 from ..session import table
 from .inputs import SEQ, sequences
 from .registry import query
@@ -88,3 +88,13 @@ def checked_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems, bases under M and the one-per-cent gate."""
     return reference.validation(_checked(spark, sf_dir)).withColumn("mismatch_rate", F.round("mismatch_rate", 9))
+
+
+@query()
+def terminal_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's longest seed, grown into both of its ends until the score drops; held against the full matrix in the tests."""
+    runs = chaining.compound_seeds(_hits(spark, sf_dir), PRUNE_K)
+    best = runs.groupBy("read_id").agg(F.max(F.struct((F.col("read_end") - F.col("read_start")).alias("n"), "chrom", "reverse", "read_start", "read_end", F.least("entry", "exit").alias("ref_start"), F.greatest("entry", "exit").alias("ref_end"))).alias("b"))
+    parts = best.select(F.col("read_id").alias("read"), F.lit(0).alias("part"), *(F.col(f"b.{c}").alias(c) for c in ("chrom", "reverse", "read_start", "read_end", "ref_start", "ref_end")))
+    reads = sequences(spark, sf_dir, "documents", "doc_id").withColumnRenamed("id", "read")
+    return extension.extend_ends(parts, reads, _passages(spark, sf_dir), x=30, width=NARROW).withColumnRenamed("read", "read_id")
