@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chaining, extension, reference
-from ..session import table
-from .inputs import SEQ, sequences
+from ..operators import chain_programs, chaining, extension, reference, segments
+from ..session import materialize, table
+from .inputs import SEQ, lines, sequences
 from .registry import query
 from .rescue import _RUNS, PRUNE_K, _hits
 
@@ -98,3 +98,25 @@ def terminal_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = best.select(F.col("read_id").alias("read"), F.lit(0).alias("part"), *(F.col(f"b.{c}").alias(c) for c in ("chrom", "reverse", "read_start", "read_end", "ref_start", "ref_end")))
     reads = sequences(spark, sf_dir, "documents", "doc_id").withColumnRenamed("id", "read")
     return extension.extend_ends(parts, reads, _passages(spark, sf_dir), x=30, width=NARROW).withColumnRenamed("read", "read_id")
+
+
+@query()
+def bridged_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best chain without detours that an alignment of the flanks explains as well."""
+    runs = chaining.compound_seeds(_hits(spark, sf_dir), PRUNE_K)
+    weighted = runs.select(F.col("read_id").alias("read"), "chrom", "reverse", "diagonal", "read_start", "read_end", ((F.col("read_end") - F.col("read_start")) / F.sqrt("multiplicity")).alias("weight"))
+    low = F.when(F.col("reverse"), F.col("diagonal") - F.col("read_end") + PRUNE_K).otherwise(F.col("diagonal") + F.col("read_start"))
+    chain = materialize(chain_programs.chain_by_breaks(weighted, scheme=chain_programs.BreakScheme(penalty=2.0)).withColumn("ref_start", low), "chains")
+    reads = sequences(spark, sf_dir, "documents", "doc_id").withColumnRenamed("id", "read")
+    found = segments.collapse_breaks(chain, reads, _passages(spark, sf_dir), width=NARROW)
+    return found.select(F.col("read").alias("read_id"), "place", "chrom", "reverse", "read_start", "read_end", "ref_start", "step", "bridge_cigar")
+
+
+@query()
+def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring segments of every order that overlap on the reference as one, the worse side of the overlap inserted."""
+    rows = lines(spark, sf_dir).selectExpr(
+        "l_orderkey AS read", "cast(l_linenumber as int) AS part", "'c' AS chrom", "l_orderkey % 2 = 0 AS reverse", "l_linenumber * 100 AS read_start", "l_linenumber * 100 + 90 AS read_end",
+        "case when l_orderkey % 2 = 0 then (10 - l_linenumber) else l_linenumber end * 60 + l_suppkey % 20 AS ref_start", "concat(10 + l_partkey % 30, '=', l_suppkey % 7 + 1, 'X', 80 - (10 + l_partkey % 30) - (l_suppkey % 7 + 1), '=10I') AS cigar",
+    )
+    return segments.merge_overlaps(rows.withColumn("ref_end", F.col("ref_start") + 80), "read", forced=30)
