@@ -144,6 +144,10 @@ def syncmer_mask(codes: np.ndarray, k: int, s: int, both: bool, hasher: str = "f
     return mask
 
 
+#: Bases of sequences that are worked on together.
+JOINED = 1 << 20
+
+
 def kmers(df: DataFrame, id_col: str, seq_col: str, k: int, s: int | None = None, both: bool = True, hasher: str = "fnv64") -> DataFrame:
     """``id_col, pos, kmer`` for each valid k-mer, or each syncmer if ``s`` is given. Positions count characters from 0.
 
@@ -152,15 +156,24 @@ def kmers(df: DataFrame, id_col: str, seq_col: str, k: int, s: int | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, seq in enumerate(batch.column(1).to_pylist()):
-                if not seq or len(seq) < k:
-                    continue
-                codes = _CODES[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+            texts = [(s or "").encode("latin-1", "replace") for s in batch.column(1).to_pylist()]
+            first = 0
+            while first < len(texts):  # sequences of a batch go together, a base that breaks k-mers between them
+                last, size = first, 0
+                while last < len(texts) and (last == first or size + len(texts[last]) < JOINED):
+                    size += len(texts[last]) + 1
+                    last += 1
+                codes = _CODES[np.frombuffer(b"-".join(texts[first:last]), np.uint8)]
                 code, good = windows(codes, k)
                 if s is not None:
                     good = good & syncmer_mask(codes, k, s, both, hasher)
                 at = np.flatnonzero(good)
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(at)), pa.array(at, pa.int64()), pa.array(code[at].astype(np.int64))], names=[id_col, "pos", "kmer"])
+                lengths = np.array([len(t) + 1 for t in texts[first:last]])
+                starts = np.cumsum(lengths) - lengths
+                of = np.searchsorted(starts, at, side="right") - 1
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of + first)), pa.array(at - starts[of], pa.int64()), pa.array(code[at].astype(np.int64))], names=[id_col, "pos", "kmer"])
+                first = last
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, seq_col).mapInArrow(run, f"`{id_col}` {kind}, pos long, kmer long")

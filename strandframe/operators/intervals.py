@@ -37,11 +37,9 @@ def gaps(df: DataFrame, keys: list[str], start: str = "start", end: str = "end")
     return islands.withColumn("_next", F.lead("start").over(w)).where("_next is not null").select(*keys, F.col("end").alias("start"), F.col("_next").alias("end"))
 
 
-def coverage(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """``*keys, covered, total, intervals``: the union's length, the sum of lengths, the number of intervals."""
-    return merge(df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end"), (F.col(end) - F.col(start)).alias("_size")), keys).groupBy(*keys).agg(
-        F.sum(F.col("end") - F.col("start")).alias("covered"), F.sum("n").alias("intervals")
-    )
+def coverage(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = 1 << 16) -> DataFrame:
+    """``*keys, covered, intervals``: the union's length and the number of intervals. Islands are made within bins of ``width`` first, so a key is many tasks'."""
+    return merge_binned(df, keys, width, start, end).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("covered"), F.sum("n").alias("intervals"))
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], width: int, gap: int = 0, how: Column | None = None) -> DataFrame:
@@ -78,10 +76,22 @@ def linkage(df: DataFrame, keys: list[str], value: str, eps: float) -> DataFrame
     return df.withColumn("_new", F.coalesce(step > eps, F.lit(False)).cast("long")).withColumn("group", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def overlapping(df: DataFrame, keys: list[str], order: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Intervals that begin before the furthest end of those before them."""
-    before = Window.partitionBy(*keys).orderBy(start, order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("reach", F.max(end).over(before)).where(F.col(start) < F.col("reach"))
+def overlapping(df: DataFrame, keys: list[str], order: str, start: str = "start", end: str = "end", width: int = 1 << 16) -> DataFrame:
+    """Intervals that begin before the furthest end of those before them: adds ``reach``, that end.
+
+    Intervals are windowed within bins of ``width`` by start; each bin's furthest end, one row a bin, is carried to
+    the bins after it, so a key with a third of all rows is many tasks'.
+    """
+    binned = df.withColumn("_bin", F.floor(F.col(start) / width))
+    ends = binned.groupBy(*keys, "_bin").agg(F.max(end).alias("_end"))
+    carried = ends.withColumn("_carried", F.max("_end").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)))
+    carried = carried.where("_carried is not null").select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bin").alias("_b"), "_carried")
+    within = Window.partitionBy(*keys, "_bin").orderBy(start, order).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("_bin").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = binned.withColumn("_reach", F.max(end).over(within)).join(carried, same, "left")
+    return rows.select(*df.columns, F.greatest("_reach", "_carried").alias("reach")).where(F.col(start) < F.col("reach"))
 
 
 def uncovered(df: DataFrame, lengths: DataFrame, keys: list[str], length: str, start: str = "start", end: str = "end") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar
-from ..functions.sequence import common_prefix_by_halves, revcomp
+from ..functions.sequence import common_prefix_by_halves, kmers, revcomp
 from ..session import prepare
 
 #: Bases of a block.
@@ -44,6 +44,17 @@ def windows(ranges: DataFrame, reference: DataFrame, keys: list[str], carry: lis
     return pieces.groupBy(*keys).agg(*(F.first(c).alias(c) for c in carry or []), joined.alias("bases"))
 
 
+def kmers_of_blocks(reference: DataFrame, k: int, s: int | None = None, width: int = WIDTH) -> DataFrame:
+    """``chrom, pos, kmer`` of a reference in blocks, as ``kmers`` gives them for whole contigs: each block is read with the k - 1 bases after it.
+
+    The bases after a block come by a join on the block before, so no contig is ever one row.
+    """
+    after = reference.select(F.col("chrom").alias("_chrom"), (F.col("block") - 1).alias("_b"), F.substring("bases", 1, k - 1).alias("_more"))
+    both = reference.join(after, (F.col("chrom") == F.col("_chrom")) & (F.col("block") == F.col("_b")), "left")
+    rows = both.select(F.struct("chrom", "block").alias("id"), F.concat("bases", F.coalesce("_more", F.lit(""))).alias("seq"))
+    return kmers(rows, "id", "seq", k, s).select("id.chrom", (F.col("id.block") * width + F.col("pos")).alias("pos"), "kmer")
+
+
 def extend_exact(seeds: DataFrame, reads: DataFrame, reference: DataFrame, read: str = "read", most: int = 500, width: int = WIDTH) -> DataFrame:
     """Adds ``left_ext, right_ext`` to ``seeds (read, chrom, reverse, read_start, read_end, ref_start, ref_end)``: bases that match on, in read direction.
 

@@ -142,3 +142,38 @@ def diagonal_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands anchored at their first seed; held against a fold in plain Python in the tests."""
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("read"), (F.col("l_partkey") * 7).alias("diagonal"), F.lit(1.0).alias("weight"))
     return seeds.bands(rows, ["read"], 800)
+
+
+_STRANDS = f"""{sql_kmers('d', 'documents', 'doc_id', K)}, {sql_kmers('b', 'benchmark', 'item_id', K)}, bn AS (SELECT *, count(*) OVER (PARTITION BY kmer) AS n FROM b),
+  i AS (SELECT kmer, '+' AS strand, id AS chrom, pos AS ref_pos, n FROM bn WHERE n <= 500 UNION ALL SELECT reverse(translate(kmer, 'ACGT', 'TGCA')), '-', id, pos, n FROM bn WHERE n <= 500)"""
+
+
+def _strands(spark: SparkSession, sf_dir: str, smer: int | None) -> DataFrame:
+    """K-mers (or syncmers) of every document joined to the passages' index on both strands; k-mers of over 500 loci are left out."""
+    index = seeds.build_index(S.kmers(sequences(spark, sf_dir, "benchmark", "item_id"), "id", "seq", K, smer), "id", 500)
+    both = seeds.both_strands(index, K).withColumn("strand", F.when(F.col("reverse"), "-").otherwise("+")).drop("reverse")
+    reads = S.kmers(sequences(spark, sf_dir, "documents", "doc_id"), "id", "seq", K, smer).select(F.col("id").alias("read_id"), F.col("pos").alias("read_pos"), "kmer")
+    return seeds.lookup(reads, both)
+
+
+@query(
+    f"""WITH {_STRANDS}, h AS (SELECT d.id AS read_id, d.pos AS read_pos, strand, kmer, chrom, ref_pos, n FROM d JOIN i USING (kmer)), ok AS (SELECT kmer FROM (SELECT DISTINCT kmer FROM h) WHERE {sql_syncmer('kmer')})
+SELECT read_id, strand, kmer, CAST(chrom AS BIGINT) AS chrom, CAST(ref_pos AS BIGINT) AS ref_pos, CAST(read_pos AS BIGINT) AS read_pos, n AS n_hits, count(*) OVER (PARTITION BY read_id, strand, kmer) AS kmer_multiplicity FROM h SEMI JOIN ok USING (kmer)"""
+)
+def seed_hits_both_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seed dump on both strands, k-mers of over 500 loci left out; places are those of the read as it is."""
+    hits = seeds.local_multiplicity(_strands(spark, sf_dir, SMER), "read_id")
+    return hits.select("read_id", "strand", S.kmer_text(F.col("kmer"), K).alias("kmer"), "chrom", "ref_pos", "read_pos", "n_hits", "kmer_multiplicity")
+
+
+@query(
+    f"""WITH {_STRANDS}, r AS (SELECT item_id AS chrom, s, least(s + 60, length(text)) AS e FROM (SELECT item_id, text, unnest(range(0, greatest(length(text), 1), 60)) AS s FROM benchmark)),
+  w AS (SELECT d.id AS read_id, strand, r.chrom, r.s, sum(1 / i.n) AS w FROM d JOIN i ON d.kmer = i.kmer AND i.n <= 10 JOIN r ON r.chrom = i.chrom AND i.ref_pos >= r.s AND i.ref_pos < r.e GROUP BY ALL)
+SELECT DISTINCT read_id FROM w WHERE w >= 2"""
+)
+def select_reads_both_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage region of 60 letters that rare k-mers of either strand weigh 2 or more in."""
+    texts = table(spark, sf_dir, "benchmark").select("item_id", F.length("text").alias("n"))
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)) - 1, F.lit(60)).cast("array<bigint>"))
+    regions = texts.select(F.col("item_id").alias("chrom"), "n", starts.alias("start")).select("chrom", "start", F.least(F.col("start") + 60, F.col("n")).cast("long").alias("end")).where("end > start")
+    return seeds.select_reads(_strands(spark, sf_dir, None), regions, "read_id", 10, 2.0)

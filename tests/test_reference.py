@@ -155,3 +155,19 @@ def test_bases_along_cigars_of_hand(spark):
         reference.require_valid(checked)
     reference.require_valid(checked.where("read in ('ok', 'del')"))
     assert reference.validation(checked.limit(0)).first().passed
+
+
+@pytest.mark.parametrize("smer", [None, 5])
+def test_kmers_of_blocks_equal_those_of_contigs(spark, contigs, smer):
+    rows = spark.createDataFrame([*contigs.items(), ("none", None)], "name string, seq string")
+    whole = sorted(tuple(r) for r in S.kmers(rows, "name", "seq", 11, smer).collect())
+    blocked = sorted(tuple(r) for r in reference.kmers_of_blocks(reference.blocks(rows, 100), 11, smer, 100).collect())
+    assert blocked == whole and len(whole) > 1000
+
+
+def test_kmers_of_many_short_sequences(spark, monkeypatch):
+    monkeypatch.setattr(S, "JOINED", 50)
+    rng = random.Random(8)
+    rows = [(i, bases(rng, rng.randrange(0, 30), "ACGTN")) for i in range(300)] + [(400, None), (401, "ACGTACGTACGTAC")]
+    want = sorted((i, p, sum("ACGT".index(c) * 4 ** (5 - j) for j, c in enumerate(s[p : p + 6]))) for i, s in rows if s for p in range(len(s) - 5) if "N" not in s[p : p + 6])
+    assert sorted(tuple(r) for r in S.kmers(spark.createDataFrame(rows, "i long, s string"), "i", "s", 6).collect()) == want
