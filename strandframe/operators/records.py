@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import cigar
+from ..functions.sequence import revcomp
+from .alignment import global_align
+from .reference import WIDTH, windows
 
 REVERSE, SUPPLEMENTARY, UNMAPPED = 0x10, 0x800, 0x4
 
@@ -26,6 +29,35 @@ def bounds(seeds: DataFrame, read: str = "read") -> DataFrame:
     return rows.select(read, "step", "chrom", "reverse", F.col("_first").alias("read_start"), F.col("_last").alias("read_end"), (F.col("ref_start") + low).alias("ref_start"))
 
 
+def apart(parts: DataFrame, read: str = "read") -> DataFrame:
+    """Parts of a read that share none of its bases: of two that overlap the later one begins where the earlier ends.
+
+    ``parts (read, part, reverse, read_start, read_end, ref_start, ref_end, ...)`` begin and end with exact matches that
+    reach beyond the overlap, as chains of seeds do, so the reference moves base by base with the read.
+    """
+    w = Window.partitionBy(read).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    over = F.greatest(F.coalesce(F.max("read_end").over(w) - F.col("read_start"), F.lit(0)), F.lit(0))
+    cut = F.least(over, F.col("read_end") - F.col("read_start"), F.col("ref_end") - F.col("ref_start"))
+    moved = {"read_start": F.col("read_start") + F.col("_cut"), "ref_start": F.col("ref_start") + F.when(F.col("reverse"), 0).otherwise(F.col("_cut")), "ref_end": F.col("ref_end") - F.when(F.col("reverse"), F.col("_cut")).otherwise(0)}
+    return parts.withColumn("_cut", cut).select(*(moved[c].alias(c) if c in moved else F.col(c) for c in parts.columns))
+
+
+def align_parts(parts: DataFrame, reads: DataFrame, blocks: DataFrame, read: str = "read", width: int = WIDTH) -> DataFrame:
+    """``parts (read, part, chrom, reverse, read_start, read_end, ref_start, ref_end, ...)`` with ``cigar, seq, read_len``.
+
+    Each part's bases (``seq``, turned round on the reverse strand) are aligned to the reference between its ends,
+    which comes from the blocks. Parts without a read or contig are left out.
+    """
+    keys = [read, "part"]
+    rows = parts.join(reads.select(read, F.col("seq").alias("_seq")), read)
+    piece = F.substring("_seq", (F.col("read_start") + 1).cast("int"), (F.col("read_end") - F.col("read_start")).cast("int"))
+    rows = rows.withColumns({"seq": F.when(F.col("reverse"), revcomp(piece)).otherwise(piece), "read_len": F.length("_seq").cast("long")})
+    asked = rows.select(*keys, "chrom", F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), "seq", "read_len")
+    aligned = windows(asked, blocks, keys, ["seq", "read_len"], width).where(F.length("bases") > 0)
+    aligned = aligned.withColumn("cigar", global_align(F.col("seq"), F.col("bases"))["cigar"]).drop("bases")
+    return parts.join(aligned, keys)
+
+
 def clipped(text: Column, left: Column, right: Column, reverse: Column) -> Column:
     """The CIGAR with hard clips for the read bases before and after the part, in the order of the reference."""
     clip = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("H"))).otherwise(F.lit(""))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sequence import revcomp_kmer
+from ..session import prepare
 
 
 def build_index(found: DataFrame, chrom: str = "chrom", most: int | None = None) -> DataFrame:
@@ -45,33 +47,65 @@ def route(index: DataFrame, middle: int, most: int) -> DataFrame:
     return index.withColumn("tier", F.when(n > most, "dropped").when((n <= middle) | F.lit(middle == 0), "direct").otherwise("deferred"))
 
 
-def bands(seeds: DataFrame, keys: list[str], width: int = 800) -> DataFrame:
-    """Diagonal bands: sorted seeds join the band while they lie within ``width`` of its first seed.
+def in_bands(seeds: DataFrame, keys: list[str], width: int = 800) -> DataFrame:
+    """Adds ``band`` to ``seeds (*keys, diagonal, ...)``: the diagonal of the first seed of its band.
 
-    Columns ``diagonal, weight``. The anchor is the band's first seed, not the one before, so this is a
-    fold over the sorted diagonals of a key; a key's distinct diagonals are aggregated first.
+    In order of diagonals a seed joins the band while it lies within ``width`` of the band's first seed. The anchor is
+    the first seed, not the one before, so bands follow one another: a key's different diagonals are sorted in
+    one task, where the next band is found by bisection, one step a band and not one a diagonal.
     """
+    prepare(seeds.sparkSession)
     kinds = ", ".join(f"`{k}` {seeds.schema[k].dataType.simpleString()}" for k in keys)
-    rows = seeds.groupBy(*keys, "diagonal").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, first, sums = None, 0.0, None
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, 0
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                key, d, w, n = tuple(row[: len(keys)]), row.diagonal, row.weight, row.n
-                if held != key or abs(d - first) >= width:
-                    if sums is not None:
-                        out.append((*held, *sums))
-                    held, first, sums = key, d, [d, d, 0.0, 0.0, 0.0, 0]
-                sums = [sums[0], d, sums[2] + w, sums[3] + w * d, sums[4] + w * d * d, sums[5] + n]
-            yield pd.DataFrame(out, columns=[*keys, "low", "high", "weight", "_wd", "_wdd", "n"])
-        if sums is not None:
-            yield pd.DataFrame([(*held, *sums)], columns=[*keys, "low", "high", "weight", "_wd", "_wdd", "n"])
-
-    folded = rows.repartition(*keys).sortWithinPartitions(*keys, "diagonal").mapInPandas(fold, f"{kinds}, low long, high long, weight double, _wd double, _wdd double, n long")
+            diagonals = batch.column("diagonal").to_numpy()
+            band = np.empty(len(diagonals), np.int64)
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            fresh = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for a, b in zip(fresh, [*fresh[1:], len(names)]):
+                at = a
+                if names[a] != held:
+                    held, first = names[a], diagonals[a]
+                while at < b:
+                    end = at + int(np.searchsorted(diagonals[at:b], first + width))
+                    band[at:end] = first
+                    at = end
+                    if at < b:
+                        first = diagonals[at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("diagonal"), pa.array(band)], names=[*keys, "diagonal", "band"])
+
+    spots = seeds.select(*keys, F.col("diagonal").cast("long").alias("diagonal")).distinct()
+    found = spots.repartition(*keys).sortWithinPartitions(*keys, "diagonal").mapInArrow(fold, f"{kinds}, diagonal long, band long")
+    same = F.col("diagonal") == F.col("_d")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    named = found.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("diagonal").alias("_d"), "band")
+    return seeds.join(named, same).select(*seeds.columns, "band")
+
+
+def bands(seeds: DataFrame, keys: list[str], width: int = 800) -> DataFrame:
+    """``*keys, low, high, n, weight, mean, variance`` of the diagonal bands of ``seeds (*keys, diagonal, weight)``; the variance is 1 at the least."""
+    w, d = F.col("weight"), F.col("diagonal").cast("double")
+    sums = in_bands(seeds, keys, width).groupBy(*keys, "band").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.count("*").alias("n"), F.sum(w).alias("weight"), F.sum(w * d).alias("_wd"), F.sum(w * d * d).alias("_wdd"))
     mean = F.col("_wd") / F.col("weight")
-    return folded.select(*keys, "low", "high", "n", "weight", mean.alias("mean"), F.greatest(F.lit(1.0), F.col("_wdd") / F.col("weight") - mean * mean).alias("variance"))
+    return sums.select(*keys, "low", "high", "n", "weight", mean.alias("mean"), F.greatest(F.lit(1.0), F.col("_wdd") / F.col("weight") - mean * mean).alias("variance"))
+
+
+def band_coverage(seeds: DataFrame, keys: list[str], lengths: DataFrame, read: str, width: int = 800, least: float | None = None) -> DataFrame:
+    """``*keys, band, low, high, n, weight, covered, coverage``: of each band the read's bases that its seeds cover, and their share of the read.
+
+    ``seeds (*keys, diagonal, weight, read_start, read_end)``, ``lengths (read, length)``; ``least`` keeps the bands that
+    cover so much.
+    """
+    from .intervals import merge
+
+    rows = in_bands(seeds, keys, width)
+    spans = merge(rows, [*keys, "band"], "read_start", "read_end", also=[F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("weight").alias("weight")])
+    sums = spans.groupBy(*keys, "band").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.sum(F.col("end") - F.col("start")).alias("covered"))
+    out = sums.join(lengths.select(read, "length"), read).withColumn("coverage", F.when(F.col("length") > 0, F.col("covered") / F.col("length")).otherwise(F.lit(0.0))).drop("length")
+    return out if least is None else out.where(F.col("coverage") >= least)
 
 
 def select_reads(hits: DataFrame, regions: DataFrame, read: str, max_hits: int = 10, least: float = 2.0, width: int = 1000) -> DataFrame:

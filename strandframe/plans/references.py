@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chain_programs, chaining, extension, reference, segments
+from ..operators import chain_programs, chaining, extension, records, reference, seeds, segments
 from ..session import materialize, table
 from .inputs import SEQ, lines, sequences
 from .registry import query
-from .rescue import _RUNS, PRUNE_K, _hits
+from .reads import CHAIN_K, _both_strands
+from .rescue import _HITS, _RUNS, PRUNE_K, _hits
 
 #: Narrow blocks, so that windows of the short passages cross their borders.
 NARROW = 64
@@ -120,3 +121,39 @@ def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when l_orderkey % 2 = 0 then (10 - l_linenumber) else l_linenumber end * 60 + l_suppkey % 20 AS ref_start", "concat(10 + l_partkey % 30, '=', l_suppkey % 7 + 1, 'X', 80 - (10 + l_partkey % 30) - (l_suppkey % 7 + 1), '=10I') AS cigar",
     )
     return segments.merge_overlaps(rows.withColumn("ref_end", F.col("ref_start") + 80), "read", forced=30)
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``records, parts`` of every document: its best explanation, parts cut apart, aligned to the passages' blocks, with flags, clips and SA tags."""
+    found = materialize(chaining.explain_reads(chaining.compound_seeds(_both_strands(spark, sf_dir, CHAIN_K), CHAIN_K)), "explained")
+    parts = records.apart(found.select("read", "part", "chrom", "reverse", "read_start", "read_end", "ref_start", "ref_end", "mapq"))
+    reads = sequences(spark, sf_dir, "documents", "doc_id").withColumnRenamed("id", "read")
+    done = materialize(records.align_parts(parts, reads, _passages(spark, sf_dir), width=NARROW), "aligned")
+    return records.emit(done.withColumnRenamed("ref_start", "start")), done
+
+
+@query()
+def aligned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every document that a passage explains: hard clips, supplementary flags and SA tags; the tests check bases and overlaps."""
+    return aligned(spark, sf_dir)[0]
+
+
+@query(
+    f"""WITH {_HITS}, v AS (SELECT read_id, chrom, reverse, diagonal, read_start, read_end FROM h),
+  lens AS (SELECT doc_id AS read_id, length({SEQ}) AS n FROM documents), w AS (SELECT read_id, chrom, reverse, list(DISTINCT diagonal ORDER BY diagonal) AS d FROM v GROUP BY ALL),
+  a AS (SELECT read_id, chrom, reverse, list_reduce(list_prepend([d[1]], [[y] FOR y IN d]), lambda p, y: CASE WHEN y[1] - p[-1] >= 800 THEN p || y ELSE p END) AS anchors FROM w),
+  bb AS (SELECT v.*, list_max([z FOR z IN anchors IF z <= diagonal]) AS band FROM v JOIN a USING (read_id, chrom, reverse)),
+  c AS (SELECT *, CASE WHEN read_start > max(read_end) OVER (PARTITION BY read_id, chrom, reverse, band ORDER BY read_start, read_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM bb),
+  e AS (SELECT *, sum(fresh) OVER (PARTITION BY read_id, chrom, reverse, band ORDER BY read_start, read_end ROWS UNBOUNDED PRECEDING) AS island FROM c),
+  f AS (SELECT read_id, chrom, reverse, band, island, min(diagonal) AS low, max(diagonal) AS high, count(*) AS n, max(read_end) - min(read_start) AS covered FROM e GROUP BY ALL)
+SELECT read_id, CAST(chrom AS BIGINT) AS chrom, reverse, CAST(band AS BIGINT) AS band, CAST(min(low) AS BIGINT) AS low, CAST(max(high) AS BIGINT) AS high, CAST(sum(f.n) AS BIGINT) AS n, CAST(sum(covered) AS BIGINT) AS covered, round(sum(covered) / max(lens.n), 6) AS coverage
+FROM f JOIN lens USING (read_id) GROUP BY read_id, chrom, reverse, band HAVING sum(covered) / max(lens.n) >= 0.01"""
+)
+def covered_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagonal bands of every document and passage that cover a hundredth of the document or more."""
+    found = _hits(spark, sf_dir)
+    diagonal = F.when(F.col("reverse"), F.col("ref_pos") + F.col("read_pos")).otherwise(F.col("ref_pos") - F.col("read_pos"))
+    hits = found.select("read_id", "chrom", "reverse", diagonal.alias("diagonal"), F.lit(1.0).alias("weight"), F.col("read_pos").alias("read_start"), (F.col("read_pos") + PRUNE_K).alias("read_end"))
+    lengths = sequences(spark, sf_dir, "documents", "doc_id").select(F.col("id").alias("read_id"), F.length("seq").alias("length"))
+    out = seeds.band_coverage(hits, ["read_id", "chrom", "reverse"], lengths, "read_id", 800, 0.01)
+    return out.select("read_id", "chrom", "reverse", "band", "low", "high", "n", "covered", F.round("coverage", 6).alias("coverage"))

@@ -171,3 +171,28 @@ def test_kmers_of_many_short_sequences(spark, monkeypatch):
     rows = [(i, bases(rng, rng.randrange(0, 30), "ACGTN")) for i in range(300)] + [(400, None), (401, "ACGTACGTACGTAC")]
     want = sorted((i, p, sum("ACGT".index(c) * 4 ** (5 - j) for j, c in enumerate(s[p : p + 6]))) for i, s in rows if s for p in range(len(s) - 5) if "N" not in s[p : p + 6])
     assert sorted(tuple(r) for r in S.kmers(spark.createDataFrame(rows, "i long, s string"), "i", "s", 6).collect()) == want
+
+
+def test_aligned_records_do_not_overlap_and_hold_their_bases(spark):
+    from strandframe.plans.inputs import sequences
+    from strandframe.plans.references import aligned
+
+    data = "/root/testdata/sf0.01"
+    records, parts = aligned(spark, data)
+    rows = sorted(tuple(r) for r in parts.select("read", "read_start", "read_end").collect())
+    assert len(rows) > 100 and all(a < b for _, a, b in rows)
+    assert all(x[0] != y[0] or x[2] <= y[1] for x, y in zip(rows, rows[1:]))
+    passages = sequences(spark, data, "benchmark", "item_id")
+    contigs = passages.select(F.col("id").alias("chrom"), F.length("seq").cast("long").alias("length"))
+    checked = reference.check_bases(parts.select("read", "part", "chrom", F.col("ref_start").alias("start"), "cigar", "seq"), contigs, reference.blocks(passages, 100, "id"), ["read", "part"], 100)
+    assert [tuple(r) for r in checked.where(F.size("problems") > 0).collect()] == []
+    got = records.join(parts.select("read", "part", "read_len"), ["read", "part"]).collect()
+    import re
+
+    for r in got:  # with its clips a record accounts for the whole read
+        ops = [(int(n), op) for n, op in re.findall(r"([0-9]+)([=XIDH])", r.cigar)]
+        assert sum(n for n, op in ops if op in "=XIH") == r.read_len
+    per = {}
+    for r in got:
+        per.setdefault(r.read, []).append(r)
+    assert all(sum(not x.flag & 0x800 for x in v) == 1 and all((x.sa or "").count(";") == len(v) - 2 for x in v if len(v) > 1) for v in per.values())
