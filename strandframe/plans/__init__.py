@@ -1,6 +1,6 @@
 """Registered queries of the library's own operators."""
 
-from . import chains, comparisons, evaluation, events, filters, intervals, pileups, reads, records, references, rescue, seeds, vectors  # noqa: F401
+from . import chains, comparisons, evaluation, events, filters, intervals, pileups, reads, records, references, reports, rescue, seeds, vectors  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
