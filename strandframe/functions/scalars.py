@@ -79,3 +79,13 @@ def collinear_weight(length: Column, collinearity: Column, multiplicity: Column)
 
 def atom_weight(multiplicity: Column) -> Column:
     return 1 / F.sqrt(multiplicity)
+
+
+def position_flip(code: Column) -> Column:
+    """The code of the same place on the other strand; codes below 0 (no place) stay."""
+    return F.when(code >= 0, code.bitwiseXOR(F.lit(1 << 32))).otherwise(code)
+
+
+def position_decode(code: Column) -> Column:
+    """``struct<target, reverse, pos>`` of a position code; null for codes below 0."""
+    return F.when(code >= 0, F.struct(F.shiftright(code, 33).alias("target"), (F.shiftright(code, 32).bitwiseAND(F.lit(1)) == 1).alias("reverse"), code.bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")))

@@ -166,3 +166,79 @@ def interval_measures(lhs: DataFrame, rhs: DataFrame, read: str = "read", width:
     sides = [x for p in "ab" for x in (zero(f"{p}_n_primary"), zero(f"{p}_n_secondary"), frac(F.col(f"{p}_primary"), length).alias(f"{p}_primary_frac"), frac(F.col(f"{p}_secondary"), length).alias(f"{p}_secondary_frac"), zero(f"{p}_mapq"), F.coalesce(f"{p}_chrom", F.lit(".")).alias(f"{p}_chrom"))]
     shares = [frac(F.col(n), F.col(d)).alias(x) for n, d, x in (("_pp", "a_primary", "a_in_b_primary"), ("_pp", "b_primary", "b_in_a_primary"), ("_ps", "a_primary", "a_in_b_secondary"), ("_sp", "b_primary", "b_in_a_secondary"))]
     return both.select(read, length.alias("read_len"), *sides, *shares)
+
+
+#: Fixed value: how far two ends may lie apart, on read and reference, to differ by clipping alone.
+CLIP = 15
+
+
+def _clip_end(longer: Column, shorter: Column, left: bool, most: int) -> Column:
+    """Whether ``shorter`` ends where ``longer`` has its first mismatch or indel from that end of the read (structs ``qs, qe, rs, re, reverse, ops``)."""
+    back = longer["reverse"]
+    low = ~back if left else back  # the read's end lies at the low end of the reference
+    q = shorter["qs"] - longer["qs"] if left else longer["qe"] - shorter["qe"]
+    r = F.when(low, shorter["rs"] - longer["rs"]).otherwise(longer["re"] - shorter["re"])
+    inward = F.filter(F.when(low, longer["ops"]).otherwise(F.reverse(longer["ops"])), lambda o: ~o["op"].isin("S", "H"))
+    start = F.struct(F.lit(0).cast("long").alias("lead"), F.lit(None).cast("long").alias("size"))
+
+    def step(s: Column, o: Column) -> Column:
+        match = s["size"].isNull() & o["op"].isin("M", "=")
+        return F.struct(F.when(match, s["lead"] + o["len"]).otherwise(s["lead"]).alias("lead"), F.when(s["size"].isNotNull() | match, s["size"]).otherwise(F.when(o["op"].isin("X", "I", "D"), o["len"]).otherwise(F.lit(-1))).alias("size"))
+
+    found = F.aggregate(inward, start, step)
+    return (q <= most) & (q == r) & F.coalesce((found["size"] > 0) & q.between(found["lead"], found["lead"] + found["size"]), F.lit(False))
+
+
+def clip_difference(a: str, b: str, most: int = CLIP) -> Column:
+    """Whether two alignments (structs ``chrom, reverse, qs, qe, rs, re, ops``) differ by where they are clipped only.
+
+    At each end that differs on the read, the longer one goes on along the same diagonal for ``most`` bases at the most,
+    and the shorter one stops at or within the first mismatch or indel that the longer one meets from there. Ends
+    that are equal on the read are not compared on the reference.
+    """
+    x, y = F.col(a), F.col(b)
+    left = F.when(x["qs"] == y["qs"], True).when(x["qs"] < y["qs"], _clip_end(x, y, True, most)).otherwise(_clip_end(y, x, True, most))
+    right = F.when(x["qe"] == y["qe"], True).when(x["qe"] > y["qe"], _clip_end(x, y, False, most)).otherwise(_clip_end(y, x, False, most))
+    return (x["chrom"] == y["chrom"]) & (x["reverse"] == y["reverse"]) & left & right
+
+
+def outer_states(lhs: DataFrame, rhs: DataFrame, read: str = "read") -> DataFrame:
+    """``read, state, lhs_n, rhs_n`` of every read of either side: lhs, rhs, agree, clip, ends or both.
+
+    Records ``read, chrom, reverse, qs, qe, rs, re, cigar``. Reads whose records are the same on both sides agree; reads of
+    one record each that differ by clipping alone, or by ends within 100 bases, are told apart from the rest. A true
+    outer join: no read of either side is lost.
+    """
+    from ..functions import cigar
+
+    fields = F.struct("chrom", "reverse", "qs", "qe", "rs", "re", cigar.parse(F.col("cigar")).alias("ops"))
+    part = F.concat_ws(":", "chrom", F.col("rs").cast("string"), F.col("re").cast("string"), F.col("reverse").cast("string"), F.col("qs").cast("string"), F.col("qe").cast("string"))
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.groupBy(read).agg(F.array_join(F.sort_array(F.collect_list(part)), ";").alias(f"_{p}"), F.count("*").alias(f"{p}_n"), F.first(fields).alias(p))
+
+    both = side(lhs, "lhs").join(side(rhs, "rhs"), read, "full_outer")
+    single = (F.col("lhs_n") == 1) & (F.col("rhs_n") == 1)
+    state = (
+        F.when(F.col("_rhs").isNull(), "lhs").when(F.col("_lhs").isNull(), "rhs").when(F.col("_lhs") == F.col("_rhs"), "agree")
+        .when(single & clip_difference("lhs", "rhs"), "clip").when(single & end_difference("lhs", "rhs"), "ends").otherwise("both")
+    )
+    return both.select(read, state.alias("state"), F.coalesce("lhs_n", F.lit(0)).alias("lhs_n"), F.coalesce("rhs_n", F.lit(0)).alias("rhs_n"))
+
+
+def curation_queue(curation: DataFrame, verdict: str = "uncurated") -> DataFrame:
+    """Reads that wait for a verdict, by name."""
+    return curation.where(F.col("verdict") == verdict).orderBy("read_name")
+
+
+def set_verdicts(curation: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``curation`` with the ``verdicts (read_name, verdict, notes)`` of people put in, as a new table.
+
+    The last of several verdicts on a read (by ``at``, if there is such a column) counts; null notes leave the notes as
+    they are. Reads that the table does not know are added without fingerprints.
+    """
+    order = F.struct(F.col("at") if "at" in verdicts.columns else F.lit(0), "verdict", F.coalesce("notes", F.lit("")))
+    last = verdicts.groupBy("read_name").agg(F.max_by(F.struct("verdict", "notes"), order).alias("_v"))
+    both = curation.join(last, "read_name", "full_outer")
+    new = {"verdict": F.coalesce("_v.verdict", "verdict"), "notes": F.coalesce("_v.notes", "notes", F.lit("")), "lhs_fingerprint": F.coalesce("lhs_fingerprint", F.lit("")), "rhs_fingerprint": F.coalesce("rhs_fingerprint", F.lit(""))}
+    return both.select(*((new[c].alias(c) if c in new else F.col(c)) for c in curation.columns))

@@ -120,3 +120,32 @@ def schedule(chains: DataFrame, read: str = "read", overlap: int = 0, gap_cost:
 def sample(rows: DataFrame, keys: list[str], n: int, by: Column) -> DataFrame:
     """``n`` rows of each key, those of least ``by`` (a hash of the row, so reruns agree); a sampling operator."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(by))).where(F.col("_r") <= n).drop("_r")
+
+
+def accepted(segments: DataFrame, lengths: DataFrame, read: str = "read", group: str = "group", least_coverage: float = 0.1, least_identity: float = 0.5, least_length: int = 50) -> DataFrame:
+    """Segments of the groups that explain a read well enough: ``segments (read, group, qs, qe, matches, ...)``, ``lengths (read, length)``.
+
+    Segments of under ``least_length`` read bases go first; a group stays if what is left covers ``least_coverage`` of the
+    read, and ``least_identity`` of the covered bases match.
+    """
+    long = segments.where(F.col("qe") - F.col("qs") >= least_length)
+    sums = long.groupBy(read, group).agg(F.sum(F.col("qe") - F.col("qs")).alias("_n"), F.sum("matches").alias("_m")).join(lengths.select(read, F.col("length").alias("_length")), read)
+    good = sums.where((F.col("_length") > 0) & (F.col("_n") / F.col("_length") >= least_coverage) & (F.col("_m") / F.col("_n") >= least_identity))
+    return long.join(good.select(read, group), [read, group], "left_semi")
+
+
+def mapq_by_divergence(first: DataFrame, others: DataFrame, read: str = "read") -> DataFrame:
+    """``read, mapq`` from 0 to 60: how much more the alternatives diverge over the bases of a read's first segment.
+
+    ``first (read, qs, qe, divergence)``, one row a read; ``others`` alike. An alternative's divergence counts by the share of it
+    that overlaps; bases that none covers count as fully divergent. Only alternatives that overlap are joined.
+    """
+    a = first.select(read, F.col("qs").alias("_s"), F.col("qe").alias("_e"), F.col("divergence").alias("_d"))
+    b = others.where("qe > qs")
+    over = F.least("_e", "qe") - F.greatest("_s", "qs")
+    met = a.join(b, read).where((F.col("qs") < F.col("_e")) & (F.col("_s") < F.col("qe")))
+    sums = met.groupBy(read).agg(F.sum(F.col("divergence") * over / (F.col("qe") - F.col("qs"))).alias("_div"), F.sum(over).alias("_cov"))
+    n = F.col("_e") - F.col("_s")
+    more = F.coalesce("_div", F.lit(0.0)) + F.greatest(n - F.coalesce("_cov", F.lit(0)), F.lit(0)) - F.col("_d")
+    quality = F.least(F.lit(60.0), F.greatest(F.lit(0.0), more * 10 / F.log(F.lit(10.0))))
+    return a.join(sums, read, "left").select(read, F.when(n > 0, F.floor(quality + 0.5)).otherwise(0).cast("int").alias("mapq"))

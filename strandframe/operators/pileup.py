@@ -9,9 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import cigar
 from ..session import prepare
+from .intervals import contains_point
 
 ALLELES = ("A", "C", "G", "T", "-")
 MAX_DEPTH, DEPTH_BINS, AF_BINS = 1000, 5, 100
@@ -131,3 +133,20 @@ def window_depth(count: DataFrame, lengths: DataFrame, window: int, min_mapq: in
     mean = lambda c: F.round(F.coalesce(F.col(c) / F.col("positions"), F.lit(0.0)), 6)
     joined = grid.join(sums, ["chrom", "start"], "left")
     return joined.select("chrom", "start", F.least(F.col("start") + window, F.col("length").cast("long")).alias("end"), F.coalesce("positions", F.lit(0)).alias("positions"), mean("a").alias("mean_depth_all"), mean("q").alias("mean_depth_q"))
+
+
+def disjoint(strata: DataFrame, width: int) -> DataFrame:
+    """``chrom, start, end, stratum``: overlapping strata (``stratum, priority, chrom, start, end``) cut into pieces, each of the stratum of least priority that covers it."""
+    held = strata.where("end > start")
+    cuts = held.select("chrom", F.explode(F.array("start", "end")).alias("start")).distinct()
+    pieces = cuts.withColumn("end", F.lead("start").over(Window.partitionBy("chrom").orderBy("start"))).where("end is not null")
+    named = contains_point(pieces.select("chrom", F.col("start").alias("at"), F.col("end").alias("upto")), held, ["chrom"], "at", width)
+    return named.groupBy("chrom", "at", "upto").agg(F.min_by("stratum", F.struct("priority", "stratum")).alias("stratum")).select("chrom", F.col("at").alias("start"), F.col("upto").alias("end"), "stratum")
+
+
+def stratified(rows: DataFrame, strata: DataFrame, width: int = 1000, other: str = "other") -> DataFrame:
+    """Positions ``chrom, pos, ...`` with the ``stratum`` of least priority that holds them, or ``other``; a position meets one piece at the most."""
+    spread = disjoint(strata, width).withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
+    spread = spread.select(F.col("chrom").alias("_chrom"), F.col("start").alias("_start"), F.col("end").alias("_end"), "stratum", "_bin")
+    meet = (F.col("chrom") == F.col("_chrom")) & (F.floor(F.col("pos") / width) == F.col("_bin")) & (F.col("pos") >= F.col("_start")) & (F.col("pos") < F.col("_end"))
+    return rows.join(spread, meet, "left").select(*rows.columns, F.coalesce("stratum", F.lit(other)).alias("stratum"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, intervals
+from ..functions import scalars
+from ..operators import compare, filters, intervals
 from ..session import table
-from .inputs import ALN, FIRST_WHERE, LHS, OTHER, OTHER_WHERE, RHS, alignments
+from .inputs import ALIGNMENT, ALN, FIRST_WHERE, LEN, LHS, LINES, OTHER, OTHER_WHERE, RHS, alignments, columns, lines
 from .registry import query
 
 
@@ -95,3 +96,59 @@ def read_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = [s.withColumns({"qs": F.expr(_SPAN), "secondary": F.col("mapq") % 5 == 0, "supplementary": (F.col("mapq") % 5 != 0) & (F.col("rank") > 1)}) for s in _sides(spark, sf_dir)]
     found = compare.interval_measures(*flagged)
     return found.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if c.endswith("_mapq") else F.col(c) for c, t in found.dtypes))
+
+
+#: One record a read; the second side stops at the first mismatch from the read's left end in some, and lies a little or far off in others.
+_MATCH = "cast(l_quantity as bigint)"
+_SKIP = f"case when l_partkey % 3 <> 0 then 0 when l_linestatus = 'F' then 6 when {_MATCH} <= 12 then {_MATCH} + 1 else 2 end"
+_FAR = "case when l_partkey % 7 = 1 then 60 when l_partkey % 11 = 1 then 500 else 0 end"
+_ONE = ALIGNMENT | {"read": "l_orderkey * 8 + l_linenumber", "cigar": f"concat(l_linenumber, 'S', {LEN}, '=', l_suppkey % 8 + 1, 'X', {LEN} + 3, '=', l_suppkey % 9 + 1, 'I', {LEN}, '=', l_partkey % 40 + 1, 'D', 5, '=', l_linenumber + 1, 'H')"}
+_TWO = _ONE | {"qs": f"{_ONE['qs']} + ({_SKIP})", "rs": f"{_ONE['rs']} + (case when l_linestatus = 'F' then 0 else {_SKIP} end) + ({_FAR})", "re": f"{_ONE['re']} - (case when l_linestatus = 'F' then {_SKIP} else 0 end) + ({_FAR})", "skip": _SKIP, "far": _FAR}
+
+
+@query(
+    f"""WITH l AS (SELECT {columns(_ONE)}, l_quantity AS n, l_suppkey, l_partkey FROM {LINES} WHERE {FIRST_WHERE}), r AS (SELECT {columns(_TWO)} FROM {LINES} WHERE {OTHER_WHERE}),
+  j AS (SELECT coalesce(l.read, r.read) AS read, l.read IS NOT NULL AS a, r.read IS NOT NULL AS b, skip, far, CASE WHEN l.reverse THEN skip BETWEEN 5 AND 5 + l_partkey % 40 + 1 ELSE skip BETWEEN CAST(n AS BIGINT) AND CAST(n AS BIGINT) + l_suppkey % 8 + 1 END AS at_mismatch FROM l FULL JOIN r ON l.read = r.read)
+SELECT read, CASE WHEN NOT b THEN 'lhs' WHEN NOT a THEN 'rhs' WHEN skip = 0 AND far = 0 THEN 'agree' WHEN far = 0 AND skip <= 15 AND at_mismatch OR skip = 0 AND far <> 0 THEN 'clip' WHEN far + skip <= 100 THEN 'ends' ELSE 'both' END AS state, CAST(a AS BIGINT) AS lhs_n, CAST(b AS BIGINT) AS rhs_n FROM j"""
+)
+def outer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sides' reads of one record each: on one side only, agreeing, clipped differently, ending differently, or apart.
+
+    Records whose read ranges are equal have no end that differs on the read, so they count as clipped alike, wherever they lie.
+    """
+    side = lambda spec, where: lines(spark, sf_dir).where(where).selectExpr(*(f"{e} AS {n}" for n, e in spec.items()))
+    return compare.outer_states(side(_ONE, FIRST_WHERE), side(_TWO, OTHER_WHERE))
+
+
+@query("WITH c AS (SELECT o_orderkey, CASE WHEN o_custkey % 13 = 0 THEN -1 ELSE (o_custkey << 33) | ((o_orderkey % 2) << 32) | (o_orderkey * 7) END AS code FROM orders) SELECT o_orderkey, code, CASE WHEN code >= 0 THEN xor(code, 4294967296) ELSE code END AS flipped, CASE WHEN code >= 0 THEN code >> 33 END AS target, CASE WHEN code >= 0 THEN (code >> 32) & 1 = 1 END AS reverse, CASE WHEN code >= 0 THEN code & 4294967295 END AS pos FROM c")
+def position_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places as one long each, flipped to the other strand and read back."""
+    code = F.when(F.col("o_custkey") % 13 == 0, F.lit(-1).cast("long")).otherwise(scalars.position_code(F.col("o_custkey"), F.col("o_orderkey") % 2 == 1, F.col("o_orderkey") * 7))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code")).withColumn("d", scalars.position_decode(F.col("code")))
+    return rows.select("o_orderkey", "code", scalars.position_flip(F.col("code")).alias("flipped"), "d.target", "d.reverse", "d.pos")
+
+
+_DIV = "CAST(l_partkey % 90 AS DOUBLE)"
+
+
+@query(
+    f"""WITH t AS (SELECT l_orderkey AS read, l_linenumber AS k, l_suppkey % 60 AS qs, l_suppkey % 60 + {LEN} AS qe, {_DIV} AS divergence FROM {LINES}), f AS (SELECT * FROM t WHERE k = 1), o AS (SELECT * FROM t WHERE k > 1 AND qe > qs),
+  m AS (SELECT f.read, sum(o.divergence * (least(f.qe, o.qe) - greatest(f.qs, o.qs)) / (o.qe - o.qs)) AS d, sum(least(f.qe, o.qe) - greatest(f.qs, o.qs)) AS c FROM f JOIN o ON f.read = o.read AND o.qs < f.qe AND f.qs < o.qe GROUP BY f.read)
+SELECT read, CAST(CASE WHEN qe > qs THEN floor(least(60.0::DOUBLE, greatest(0.0::DOUBLE, (coalesce(d, 0) + greatest(qe - qs - coalesce(c, 0), 0) - divergence) * 10 / ln(10.0::DOUBLE))) + 0.5) ELSE 0 END AS INTEGER) AS mapq FROM f LEFT JOIN m USING (read)"""
+)
+def divergence_mapq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapping quality of each order's first line as a segment, the others being its rivals."""
+    rows = lines(spark, sf_dir).selectExpr("l_orderkey AS read", "l_linenumber AS k", "l_suppkey % 60 AS qs", f"l_suppkey % 60 + {LEN} AS qe", "cast(l_partkey % 90 as double) AS divergence")
+    return filters.mapq_by_divergence(rows.where("k = 1"), rows.where("k > 1"))
+
+
+@query(
+    f"""WITH t AS (SELECT l_orderkey AS read, l_linenumber AS part, l_suppkey % 2 AS grp, l_linenumber * 60 AS qs, l_linenumber * 60 + {LEN} + 20 AS qe, ({LEN} + 20) * (l_partkey % 10) // 10 AS matches FROM {LINES}), l AS (SELECT *, o_custkey % 600 + 1 AS length FROM t JOIN orders ON o_orderkey = read WHERE qe - qs >= 50),
+  g AS (SELECT read, grp FROM l GROUP BY read, grp HAVING sum(qe - qs) / max(length) >= 0.1 AND sum(matches) / sum(qe - qs) >= 0.5)
+SELECT read, part, grp FROM l SEMI JOIN g USING (read, grp)"""
+)
+def accepted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of groups that cover a tenth of the read, half of it matching."""
+    rows = lines(spark, sf_dir).selectExpr("l_orderkey AS read", "l_linenumber AS part", "l_suppkey % 2 AS grp", "l_linenumber * 60 AS qs", f"l_linenumber * 60 + {LEN} + 20 AS qe", f"({LEN} + 20) * (l_partkey % 10) div 10 AS matches")
+    lengths = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read"), (F.col("o_custkey") % 600 + 1).alias("length"))
+    return filters.accepted(rows, lengths, "read", "grp").select("read", "part", "grp")

@@ -81,3 +81,21 @@ SELECT w.chrom, w.start, CAST(least(w.start + 250, n) AS BIGINT) AS "end", coale
 def pileup_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts, reference = _counts(spark, sf_dir)
     return pileup.window_depth(counts, reference.select("chrom", F.length("seq").alias("length")), 250)
+
+
+#: Thirteen strata on every contig, some of which overlap.
+_STRATA = "SELECT i AS priority, 'S' || i AS stratum, chrom, (i * 131) % 900 AS s, (i * 131) % 900 + 120 AS e FROM (SELECT chrom, unnest(range(13)) AS i FROM ref)"
+
+
+@query(
+    f"""WITH {CALL}, st AS ({_STRATA}), m AS (SELECT p.chrom, p.pos, min_by(stratum, priority) AS stratum FROM place p JOIN st ON st.chrom = p.chrom AND p.pos >= s AND p.pos < e GROUP BY p.chrom, p.pos)
+SELECT class, coalesce(stratum, 'other') AS stratum, count(*) AS positions, count(*) FILTER (called) AS called_positions, CAST(sum(depth) AS BIGINT) AS depth_sum, CAST(sum(ref_count) AS BIGINT) AS ref_sum, CAST(sum(depth - ref_count - del) AS BIGINT) AS mismatch_sum,
+  CAST(sum(del) AS BIGINT) AS del_sum, CAST(sum(ins) AS BIGINT) AS ins_sum, count(*) FILTER (called AND major <> ref) AS major_nonref, count(*) FILTER (minor_af >= 0.2) AS candidate_sites FROM cal LEFT JOIN m USING (chrom, pos) GROUP BY class, coalesce(stratum, 'other')"""
+)
+def pileup_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine counters by class and stratum; of strata that overlap the first counts."""
+    counts, reference = _counts(spark, sf_dir)
+    at = (F.col("i") * 131) % 900
+    numbered = reference.select("chrom", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("i"))
+    strata = numbered.select("chrom", F.col("i").alias("priority"), F.concat(F.lit("S"), F.col("i").cast("string")).alias("stratum"), at.alias("start"), (at + 120).alias("end"))
+    return pileup.totals(pileup.stratified(pileup.called(counts), strata, 100), ["class", "stratum"])
