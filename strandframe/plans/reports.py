@@ -74,13 +74,13 @@ def report_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(report.indel_metrics(rows, aligned))
 
 
-ERRORS = {"key": "l_linestatus", "end_kind": "case l_partkey % 3 when 0 then 'clip' when 1 then 'split' else 'end' end", "dist_bin": "power(2, l_suppkey % 13)", "positions": "cast(l_quantity as bigint) * 10", "mismatches": "l_partkey % 4", "ins_events": "l_partkey % 3", "del_events": "l_suppkey % 2"}
+ERRORS = {"key": "l_linestatus", "end_kind": "case l_partkey % 3 when 0 then 'clip' when 1 then 'split' else 'end' end", "dist_bin": "power(2, (l_partkey + l_suppkey) % 13)", "positions": "cast(l_quantity as bigint) * 10", "mismatches": "l_partkey % 4", "ins_events": "l_partkey % 3", "del_events": "l_suppkey % 2"}
 
 
 @query(
-    f"""WITH t AS (SELECT *, mismatches + ins_events + del_events AS bad FROM (SELECT {_columns(ERRORS)} FROM lineitem)), b AS (SELECT key, CAST(sum(bad) AS DOUBLE) / nullif(sum(positions), 0) AS base FROM t WHERE dist_bin >= 1024 GROUP BY key),
+    f"""WITH t AS (SELECT *, mismatches + ins_events + del_events AS bad FROM (SELECT {_columns(ERRORS)} FROM lineitem)), b AS (SELECT key, CAST(sum(bad) FILTER (dist_bin >= 1024) AS DOUBLE) / nullif(sum(positions) FILTER (dist_bin >= 1024), 0) AS base FROM t GROUP BY key),
   n AS (SELECT key, end_kind, CAST(sum(bad) AS DOUBLE) / nullif(sum(positions), 0) AS near FROM t WHERE dist_bin < 32 GROUP BY key, end_kind), j AS (SELECT * FROM n JOIN b USING (key))
-SELECT key, 'error_rate_interior' AS metric, 'all' AS stratum, round(base, 6) AS value FROM b UNION ALL SELECT key, 'error_rate_within32_' || end_kind, 'all', round(near, 6) FROM j UNION ALL SELECT key, 'error_excess_within32_' || end_kind, 'all', round(near / base, 6) FROM j WHERE base <> 0"""
+SELECT key, 'error_rate_interior' AS metric, 'all' AS stratum, round(base, 6) AS value FROM b WHERE base IS NOT NULL UNION ALL SELECT key, 'error_rate_within32_' || end_kind, 'all', round(near, 6) FROM j UNION ALL SELECT key, 'error_excess_within32_' || end_kind, 'all', round(near / base, 6) FROM j WHERE base <> 0"""
 )
 def report_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(report.error_metrics(_table(spark, sf_dir, "lineitem", ERRORS)))
