@@ -128,9 +128,10 @@ def kmer_vectors(df: DataFrame, id_col: str, seq_col: str, k: int = 5) -> DataFr
     return df.select(F.col(id_col).cast("long").alias(id_col), seq_col).mapInArrow(run, f"`{id_col}` long, vector array<long>")
 
 
-def top_candidates(hits: DataFrame, query: str, target: str, n_query: str, n_target: str, least: float = 0.15, most: int = 5) -> DataFrame:
-    """Targets that share ``least`` of the smaller side's seeds with a query, the best ``most`` of each query."""
-    shared = hits.groupBy(query, target).agg(F.countDistinct("kmer").alias("shared"), F.first(n_query).alias("nq"), F.first(n_target).alias("nt"))
+def top_candidates(hits: DataFrame, query: str, target: str, n_query: str, n_target: str, least: float = 0.15, most: int = 5, strand: str | None = None) -> DataFrame:
+    """Targets that share ``least`` of the smaller side's seeds with a query, the best ``most`` of each query, or of each query and ``strand``."""
+    of = [query, *([strand] if strand else [])]
+    shared = hits.groupBy(*of, target).agg(F.countDistinct("kmer").alias("shared"), F.first(n_query).alias("nq"), F.first(n_target).alias("nt"))
     score = F.col("shared") / F.least("nq", "nt")
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), target))
-    return shared.withColumn("score", score).where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= most).select(query, "rank", target, "shared", "score")
+    rank = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("score"), target))
+    return shared.withColumn("score", score).where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= most).select(*of, "rank", target, "shared", "score")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sequence as S
-from ..operators import seeds
+from ..operators import seeds, similarity
 from ..session import table
 from .inputs import SEQ, sequences
 from .registry import query
@@ -177,3 +177,17 @@ def select_reads_both_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)) - 1, F.lit(60)).cast("array<bigint>"))
     regions = texts.select(F.col("item_id").alias("chrom"), "n", starts.alias("start")).select("chrom", "start", F.least(F.col("start") + 60, F.col("n")).cast("long").alias("end")).where("end > start")
     return seeds.select_reads(_strands(spark, sf_dir, None), regions, "read_id", 10, 2.0)
+
+
+@query(
+    f"""WITH {_STRANDS}, nd AS (SELECT id, count(DISTINCT kmer) AS n FROM d GROUP BY id), nb AS (SELECT id, count(DISTINCT kmer) AS n FROM b GROUP BY id), h AS (SELECT DISTINCT d.id AS q, strand, i.chrom AS t, kmer FROM d JOIN i USING (kmer)),
+  s AS (SELECT q, strand, t, count(*) AS shared, count(*) / least(nb.n, nd.n) AS score FROM h JOIN nb ON nb.id = t JOIN nd ON nd.id = q GROUP BY q, strand, t, nb.n, nd.n), r AS (SELECT *, row_number() OVER (PARTITION BY q, strand ORDER BY score DESC, t) AS rank FROM s WHERE score >= 0.15)
+SELECT q AS doc_id, strand, rank, CAST(t AS BIGINT) AS item_id, shared, round(score, 6) AS score FROM r WHERE rank <= 5"""
+)
+def annotate_both_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that share 15 % of the k-mers of the smaller of the two with a document, the five best on each strand: a top-k report."""
+    count = lambda name, id_col, n: S.kmers(sequences(spark, sf_dir, name, id_col), "id", "seq", K).groupBy("id").agg(F.count_distinct("kmer").alias(n))
+    hits = _strands(spark, sf_dir, None).select(F.col("read_id").alias("doc_id"), "strand", F.col("chrom").alias("item_id"), "kmer")
+    n_doc, n_item = count("documents", "doc_id", "n_doc").withColumnRenamed("id", "doc_id"), count("benchmark", "item_id", "n_item").withColumnRenamed("id", "item_id")
+    found = similarity.top_candidates(hits.join(n_doc, "doc_id").join(n_item, "item_id"), "doc_id", "item_id", "n_doc", "n_item", strand="strand")
+    return found.select("doc_id", "strand", F.col("rank").cast("long").alias("rank"), "item_id", "shared", F.round("score", 6).alias("score"))

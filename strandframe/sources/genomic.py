@@ -222,7 +222,9 @@ def load_index(spark: SparkSession, path: str, k: int, s: int) -> DataFrame:
 
 
 def check_compatible(a: DataFrame, b: DataFrame) -> None:
-    """Raises unless both contig tables (``name, length``) are equal."""
-    odd = a.select("name", "length").exceptAll(b.select("name", "length")).unionAll(b.select("name", "length").exceptAll(a.select("name", "length")))
+    """Raises unless both contig tables (``name, length``) are equal, in order too if both number their contigs (``index``)."""
+    columns = ["name", "length", *(["index"] if "index" in a.columns and "index" in b.columns else [])]
+    x, y = a.select(*columns), b.select(*columns)
+    odd = x.exceptAll(y).unionAll(y.exceptAll(x))
     if not odd.isEmpty():
         raise ValueError(f"contigs differ: {[tuple(r) for r in odd.limit(3).collect()]}")
