@@ -54,7 +54,7 @@ def scored(gaps: DataFrame, reads: DataFrame, blocks: DataFrame, read: str = "re
     rows = gaps.join(reads.select(read, F.col("seq").alias("_seq")), read)
     piece = F.substring("_seq", (F.col("read_start") + 1).cast("int"), (F.col("read_end") - F.col("read_start")).cast("int"))
     asked = rows.select(*keys, "chrom", F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), (F.col("ref_end") - F.col("ref_start")).alias("_n"), F.when(F.col("reverse"), revcomp(piece)).otherwise(piece).alias("_piece"))
-    found = windows(asked, blocks, keys, ["_n", "_piece"], width).where(F.length("bases") == F.col("_n"))
+    found = windows(asked.where("_piece IS NOT NULL"), blocks, keys, ["_n", "_piece"], width).where(F.length("bases") == F.col("_n"))
     aligned = found.select(*keys, global_align(F.col("_piece"), F.col("bases"))["cigar"].alias("cigar"))
     bits = cigar.alignment_bits(cigar.parse(F.col("cigar")), config.match_bits, config.mismatch_bits, config.gap_open_bits, config.gap_extend_bits)
     return aligned.select(*keys, bits.alias("bits"), "cigar")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chain_programs, chaining, extension, records, reference, seeds, segments
+from ..operators import chain_programs, chaining, extension, gap_scores, records, reference, seeds, segments
 from ..session import materialize, table
 from .inputs import SEQ, lines, sequences
 from .registry import query
@@ -123,9 +123,38 @@ def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.merge_overlaps(rows.withColumn("ref_end", F.col("ref_start") + 80), "read", forced=30)
 
 
+#: SQL of the gaps: the seeds of a diagonal's runs, numbered, each with the nearest three before it.
+_SEED_GAPS = f"""WITH {_RUNS}, z AS (SELECT read_id, chrom, reverse, read_start, read_end, CASE WHEN reverse THEN diagonal - read_start + {PRUNE_K} ELSE diagonal + read_start END AS entry,
+    CASE WHEN reverse THEN diagonal - read_end + {PRUNE_K} ELSE diagonal + read_end END AS exit, row_number() OVER (PARTITION BY read_id ORDER BY read_end, read_start, chrom, reverse, diagonal) - 1 AS seed FROM s),
+  pairs AS (SELECT i.read_id, i.seed, j.seed AS before, i.chrom, i.reverse, j.read_end AS read_start, i.read_start AS read_end, least(j.exit, i.entry) AS ref_start, greatest(j.exit, i.entry) AS ref_end,
+    row_number() OVER (PARTITION BY i.read_id, i.seed ORDER BY j.seed DESC) AS nth FROM z i JOIN z j ON i.read_id = j.read_id AND i.chrom = j.chrom AND i.reverse = j.reverse
+      AND i.read_start - j.read_end BETWEEN 20 AND 2000 AND (CASE WHEN i.reverse THEN j.exit - i.entry ELSE i.entry - j.exit END) BETWEEN 0 AND 2000)"""
+
+
+@query(
+    f"""{_SEED_GAPS} SELECT read_id, CAST(seed AS BIGINT) AS seed, CAST(before AS BIGINT) AS before, CAST(chrom AS BIGINT) AS chrom, reverse, CAST(read_start AS BIGINT) AS read_start, CAST(read_end AS BIGINT) AS read_end,
+  CAST(ref_start AS BIGINT) AS ref_start, CAST(ref_end AS BIGINT) AS ref_end FROM pairs WHERE nth <= 3"""
+)
+def seed_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps between every document's seeds that an alignment may close: the three nearest seeds before each."""
+    return gap_scores.candidates(chaining.compound_seeds(_hits(spark, sf_dir), PRUNE_K))
+
+
+@query()
+def explained_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best explanation of every document where a gap earns the bits of its alignment; held against brute force in the tests."""
+    return _explained_with_gaps(spark, sf_dir).withColumnRenamed("read", "read_id").withColumn("score", F.round("score", 4))
+
+
+def _explained_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = materialize(chaining.compound_seeds(_both_strands(spark, sf_dir, CHAIN_K), CHAIN_K), "seeds")
+    reads = sequences(spark, sf_dir, "documents", "doc_id").withColumnRenamed("id", "read_id")
+    return chaining.explain_reads(runs, gaps=gap_scores.scored(gap_scores.candidates(runs), reads, _passages(spark, sf_dir), width=NARROW))
+
+
 def aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """``records, parts`` of every document: its best explanation, parts cut apart, aligned to the passages' blocks, with flags, clips and SA tags."""
-    found = materialize(chaining.explain_reads(chaining.compound_seeds(_both_strands(spark, sf_dir, CHAIN_K), CHAIN_K)), "explained")
+    found = materialize(_explained_with_gaps(spark, sf_dir), "explained")
     parts = records.apart(found.select("read", "part", "chrom", "reverse", "read_start", "read_end", "ref_start", "ref_end", "mapq"))
     reads = sequences(spark, sf_dir, "documents", "doc_id").withColumnRenamed("id", "read")
     done = materialize(records.align_parts(parts, reads, _passages(spark, sf_dir), width=NARROW), "aligned")
