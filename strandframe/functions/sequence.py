@@ -90,6 +90,11 @@ for _c, _v in zip(b"ACGTUacgtu", (0, 1, 2, 3, 3) * 2):
     _CODES[_c] = _v
 
 
+def codes_of(text: str) -> np.ndarray:
+    """The base code of each character, 4 or more where it is no base."""
+    return _CODES[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+
+
 def windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all k-base windows (invalid bases as 0), and which of them hold valid bases only."""
     n = len(codes) - k + 1

@@ -9,8 +9,9 @@ from ..functions import cigar, registered, scalars
 from ..functions import sequence as S
 from ..operators import records
 from ..session import prepare, table
-from .inputs import LINES, SEQ, lines
+from .inputs import ALN, LINES, SEQ, alignments, lines
 from .registry import query
+from .seeds import sql_kmers
 
 #: CIGARs of six shapes, neighbouring kinds and empty operations among them.
 SHAPED = """concat(case l_linenumber % 6 when 0 then '4S3S' when 1 then '' when 2 then '7H' when 3 then '0M' when 4 then '2I' else '1X2X' end, l_suppkey % 30 + 1, '=',
@@ -178,3 +179,29 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     registered.register(spark)
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{SEQ} AS seq")
     return spark.sql("SELECT doc_id, md5(sf_revcomp(seq)) AS rc_md5, sf_size_band(doc_id) AS band, sf_overlap(doc_id % 30, doc_id, 20L, 70L) AS shared FROM {docs}", docs=docs)
+
+
+@query(
+    f"""WITH {sql_kmers('d', 'documents', 'doc_id', 12)} SELECT id AS doc_id, count(*) AS kmers, count(DISTINCT kmer) AS different, CAST(min(pos) AS BIGINT) AS first, CAST(max(pos) AS BIGINT) AS last FROM d GROUP BY id"""
+)
+def sql_kmers_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-mers of every document by the table function, called from SQL text."""
+    prepare(spark)
+    registered.register(spark)
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{SEQ} AS seq")
+    return spark.sql("SELECT doc_id, count(*) AS kmers, count(DISTINCT kmer) AS different, min(pos) AS first, max(pos) AS last FROM {docs} d, LATERAL sf_kmers(d.seq, 12) GROUP BY doc_id", docs=docs)
+
+
+_SUM = "coalesce(list_sum([CAST(x AS BIGINT) FOR x IN regexp_extract_all(cigar, '([0-9]+)[{}]', 1)]), 0)"
+
+
+@query(
+    f"""WITH {ALN} SELECT read, rank, CAST({_SUM.format('MISHX=')} AS BIGINT) AS bases, CAST({_SUM.format('MDN=X')} AS BIGINT) AS span, CAST({_SUM.format('XID')} AS BIGINT) AS edits,
+  round({_SUM.format('=')} / nullif({_SUM.format('=XID')}, 0), 6) AS identity FROM aln"""
+)
+def sql_cigar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every record's CIGAR string by the functions that SQL text can call."""
+    prepare(spark)
+    registered.register(spark)
+    aln = alignments(spark, sf_dir).select("read", "rank", "cigar")
+    return spark.sql("SELECT read, rank, sf_query_length(cigar) AS bases, sf_ref_span(cigar) AS span, sf_edit_distance(cigar) AS edits, round(sf_identity(cigar), 6) AS identity FROM {aln}", aln=aln)
