@@ -62,6 +62,65 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], width: int, g
     return a.join(b, same & near & once & (how if how is not None else F.lit(True))).drop("_bin", "_rbin")
 
 
+def sums_at(rows: DataFrame, marks: DataFrame, keys: list[str], places: dict[str, Column], values: list[str], width: int = 1 << 16) -> DataFrame:
+    """Adds to ``rows`` a struct for each of ``places``, a position: ``below_<v>`` and ``at_<v>``, the sums of the ``values`` of the key's ``marks (*keys, pos, *values)`` before it and on it.
+
+    Marks and places are summed by position first, then within bins of ``width``; each bin's sums, one row a bin, are carried
+    to the bins after it. No row meets another, so the work goes with the rows and not with the pairs that they form. Rows
+    with a null key or place get a null struct.
+    """
+    here = rows.select(*keys, F.explode(F.array(*(p.cast("long") for p in places.values()))).alias("pos")).distinct()
+    asked = here.select(*keys, "pos", *(F.lit(0).cast(marks.schema[v].dataType).alias(v) for v in values), F.lit(True).alias("_asked"))
+    spots = marks.select(*keys, F.col("pos").cast("long").alias("pos"), *values, F.lit(False).alias("_asked")).unionByName(asked).dropna(subset=[*keys, "pos"])
+    spots = spots.groupBy(*keys, "pos").agg(*(F.sum(v).alias(v) for v in values), F.max("_asked").alias("_asked")).withColumn("_bin", F.floor(F.col("pos") / width))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spots.groupBy(*keys, "_bin").agg(*(F.sum(v).alias(f"_{v}") for v in values)).select(*keys, "_bin", *(F.sum(f"_{v}").over(before).alias(f"_{v}") for v in values))
+    within = Window.partitionBy(*keys, "_bin").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    below = spots.select("*", *(F.sum(v).over(within).alias(f"_in_{v}") for v in values)).where("_asked").join(carried, [*keys, "_bin"])
+    zero = F.lit(0)
+    found = F.struct(*((F.coalesce(f"_in_{v}", zero) + F.coalesce(f"_{v}", zero)).alias(f"below_{v}") for v in values), *(F.col(v).alias(f"at_{v}") for v in values))
+    sums = below.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("pos").alias("_pos"), found.alias("_found"))
+    for name, place in places.items():
+        same = place.cast("long") == F.col("_pos")
+        for i, k in enumerate(keys):
+            same = same & (F.col(k) == F.col(f"_k{i}"))
+        rows = rows.join(sums, same, "left").select(*rows.columns, F.col("_found").alias(name))
+    return rows
+
+
+def _ends(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Marks of both ends of intervals: ``*keys, pos, starts, ends``."""
+    side = lambda at, s, e: df.select(*keys, F.col(at).alias("pos"), F.lit(s).cast("long").alias("starts"), F.lit(e).cast("long").alias("ends"))
+    return side("start", 1, 0).unionByName(side("end", 0, 1))
+
+
+def overlap_sums(left: DataFrame, right: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``left`` with ``hits, bases``: how many of the ``right`` intervals of equal ``keys`` overlap each of its intervals, and by how many bases in all. What none overlaps is left out.
+
+    The pairs of ``range_join`` counted without making them: those that start before an interval's end, less those that end
+    by its start; bases are the difference of the running depth's sums. An empty interval meets those that hold it inside,
+    by no bases; backward left and empty right intervals meet nothing.
+    """
+    marks = _ends(right.where(F.col("end") > F.col("start")), keys)
+    marks = marks.withColumn("depth", F.col("starts") - F.col("ends")).withColumn("reach", F.col("depth") * F.col("pos"))
+    found = sums_at(left.where(F.col("end") >= F.col("start")), marks, keys, {"_s": F.col("start"), "_e": F.col("end")}, ["starts", "ends", "depth", "reach"], width)
+    hits = F.col("_e.below_starts") - F.col("_s.below_ends") - F.col("_s.at_ends")
+    upto = lambda at, place: F.col(at) * F.col(f"{place}.below_depth") - F.col(f"{place}.below_reach")
+    return found.select(*left.columns, hits.alias("hits"), (upto("end", "_e") - upto("start", "_s")).cast("long").alias("bases")).where("hits > 0")
+
+
+def touching_sums(left: DataFrame, right: DataFrame, keys: list[str], width: int, gap: int = 0) -> DataFrame:
+    """``left`` with ``hits, touching``: the pairs of ``touching_join`` counted without making them, and those of them where one interval ends just where the other starts. What none meets is left out."""
+    held = right.where(F.col("end") >= F.col("start"))
+    marks = _ends(held, keys).withColumn("points", F.lit(0).cast("long"))
+    points = held.where(F.col("end") == F.col("start")).select(*keys, F.col("start").alias("pos"), F.lit(0).cast("long").alias("starts"), F.lit(0).cast("long").alias("ends"), F.lit(1).cast("long").alias("points"))
+    places = {"_low": F.col("start") - gap, "_high": F.col("end") + gap, "_s": F.col("start"), "_e": F.col("end")}
+    found = sums_at(left.where(F.col("end") >= F.col("start")), marks.unionByName(points), keys, places, ["starts", "ends", "points"], width)
+    hits = F.col("_high.below_starts") + F.col("_high.at_starts") - F.col("_low.below_ends")
+    twice = F.when(F.col("start") == F.col("end"), F.col("_s.at_points")).otherwise(0)  # an empty interval on an empty one touches at both ends
+    return found.select(*left.columns, hits.alias("hits"), (F.col("_e.at_starts") + F.col("_s.at_ends") - twice).alias("touching")).where("hits > 0")
+
+
 def contains_point(points: DataFrame, regions: DataFrame, keys: list[str], pos: str, width: int) -> DataFrame:
     """Points joined to the half-open regions that hold them."""
     spread = regions.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))

@@ -60,8 +60,8 @@ SELECT id, count(*) AS hits, CAST(sum(least(e, re) - greatest(s, rs)) AS BIGINT)
 def range_join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("p_partkey") * 31) % 10000
     regions = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("chr"), F.col("p_partkey") % 5).alias("chrom"), at.alias("start"), (at + F.col("p_size")).alias("end"))
-    pairs = intervals.range_join(regions, _where(alignments(spark, sf_dir)), ["chrom"], 500)
-    return pairs.groupBy("id").agg(F.count("*").alias("hits"), F.sum(F.least("end", "r_end") - F.greatest("start", "r_start")).cast("long").alias("bases"))
+    met = intervals.overlap_sums(regions, _where(alignments(spark, sf_dir)), ["chrom"], 500)
+    return met.groupBy("id").agg(F.sum("hits").alias("hits"), F.sum("bases").alias("bases"))
 
 
 @query(
