@@ -25,8 +25,8 @@ def touching_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("p_partkey") * 31) % 10000
     regions = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("chr"), F.col("p_partkey") % 5).alias("chrom"), at.alias("start"), (at + F.col("p_size") % 20).alias("end"))
     records = alignments(spark, sf_dir).select("chrom", F.col("rs").alias("start"), F.col("re").alias("end"))
-    pairs = intervals.touching_join(regions, records, ["chrom"], 500, 5)
-    return pairs.groupBy("id").agg(F.count("*").alias("hits"), F.count_if((F.col("r_start") == F.col("end")) | (F.col("r_end") == F.col("start"))).alias("touching"))
+    met = intervals.touching_sums(regions, records, ["chrom"], 500, 5)
+    return met.groupBy("id").agg(F.sum("hits").alias("hits"), F.sum("touching").alias("touching"))
 
 
 def sql_islands(name: str, source: str, keys: str, start: str, end: str) -> str:
