@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import prepare
+
 
 def named(rows: DataFrame, names: DataFrame, key: str = "read") -> DataFrame:
     """Rows whose name is listed in the column ``key`` of ``names``; all of them if none is listed."""
@@ -79,42 +82,80 @@ def runs_of(rows: DataFrame, keys: list[str], order: list[str], value: str) -> D
     return rows.withColumn("_c", changed.cast("long")).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
 
 
+def best_schedules(start: np.ndarray, end: np.ndarray, weight: np.ndarray, overlap: int = 0, gap_cost: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """``best_schedule`` of many reads of equally many chains, a read a row: the scores, and the chains kept, in order, after as many -1 as chains are left out."""
+    reads, n = start.shape
+    row = np.arange(reads)
+    order = np.lexsort((-start, end), axis=-1)
+    start, end, weight = (np.take_along_axis(x, order, axis=1) for x in (start, end, weight))
+    value, came = weight.astype(np.float64), np.full((reads, n), -1)
+    for rank in range(1, n):
+        s = start[:, rank, None]
+        joined = np.where(end[:, :rank] <= s + overlap, value[:, :rank] + weight[:, rank, None] - gap_cost * np.maximum(0, s - end[:, :rank]), -np.inf)
+        at = np.argmax(joined, axis=1)
+        better = joined[row, at] > value[:, rank]
+        came[better, rank] = at[better]
+        value[better, rank] = joined[row, at][better]
+    at = np.argmax(value, axis=1)
+    top, picked = value[row, at], np.full((reads, n), -1)
+    for place in range(n - 1, -1, -1):
+        live = at >= 0
+        picked[live, place] = order[row, at][live]
+        at = np.where(live, came[row, at], -1)
+    return top, picked
+
+
 def best_schedule(start: np.ndarray, end: np.ndarray, weight: np.ndarray, overlap: int = 0, gap_cost: float = 0.0) -> tuple[float, list[int]]:
     """The chains that go together best: each begins ``overlap`` bases before the last one's end at the earliest; a gap costs by the base."""
-    order = np.lexsort((-start, end))
-    value, came = np.zeros(len(order)), np.full(len(order), -1)
-    for rank, i in enumerate(order):
-        value[rank] = weight[i]
-        before = order[:rank]
-        joined = np.where(end[before] <= start[i] + overlap, value[:rank] + weight[i] - gap_cost * np.maximum(0, start[i] - end[before]), -np.inf)
-        if rank and joined.max() > value[rank]:
-            came[rank] = int(np.argmax(joined))
-            value[rank] = joined[came[rank]]
-    if not len(order):
+    if not len(start):
         return 0.0, []
-    at = int(np.argmax(value))
-    top, picked = float(value[at]), []
-    while at >= 0:
-        picked.append(int(order[at]))
-        at = int(came[at])
-    return top, picked[::-1]
+    top, picked = best_schedules(start[None], end[None], weight[None], overlap, gap_cost)
+    return float(top[0]), picked[picked >= 0].tolist()
 
 
 def schedule(chains: DataFrame, read: str = "read", overlap: int = 0, gap_cost: float = 0.0) -> DataFrame:
     """``read, chain, place, score``: the chains of each read that are kept, in order; ``chains (read, chain, start, end, score)``.
 
-    A read's chains are one task's, which its length and the seeds' limits bound.
+    Reads are dealt out and sorted, and those of a batch with equally many chains go through together. A read's
+    chains are one task's, which its length and the seeds' limits bound.
     """
+    prepare(chains.sparkSession)
     kind = chains.schema[read].dataType.simpleString()
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            rows = rows.sort_values("chain")
-            top, picked = best_schedule(*(rows[c].to_numpy() for c in ("start", "end", "score")), overlap, gap_cost)
-            yield pd.DataFrame({"read": rows[read].iloc[0], "chain": rows["chain"].to_numpy()[picked], "place": range(len(picked)), "score": top})
-
-    rows = chains.select(read, F.col("chain").cast("long").alias("chain"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("score").cast("double").alias("score"))
-    return rows.groupBy(read).applyInPandas(lambda g: next(solve(iter([g]))), f"read {kind}, chain long, place int, score double")
+    def first_rows(reads: pa.Array) -> np.ndarray:
+        a, b = reads[1:], reads[:-1]
+        new = pc.or_kleene(pc.xor(pc.is_null(a), pc.is_null(b)), pc.fill_null(pc.not_equal(a, b), False))
+        return np.concatenate([[0], np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1])
+
+    def solve(rows: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff([*first, rows.num_rows])
+        columns = [rows.column(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "score")]
+        kept, places, scores = [], [], []
+        for n in np.unique(sizes):
+            at = first[sizes == n][:, None] + np.arange(n)
+            top, picked = best_schedules(*(c[at] for c in columns), overlap, gap_cost)
+            held = picked >= 0
+            kept.append(np.take_along_axis(at, np.where(held, picked, 0), axis=1)[held])
+            places.append((np.cumsum(held, axis=1) - 1)[held])
+            scores.append(np.broadcast_to(top[:, None], held.shape)[held])
+        taken = pa.array(np.concatenate(kept))
+        return pa.RecordBatch.from_arrays([rows.column("read").take(taken), rows.column("chain").take(taken), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(scores))], names=["read", "chain", "place", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last read, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.concat_batches([*held, batch])
+            first = first_rows(whole.column("read"))
+            if first[-1]:
+                yield solve(whole.slice(0, first[-1]), first[:-1])
+            held = [whole.slice(first[-1])]
+        if held:
+            yield solve(held[0], np.zeros(1, np.int64))
+
+    rows = chains.select(F.col(read).alias("read"), F.col("chain").cast("long").alias("chain"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("score").cast("double").alias("score"))
+    return rows.repartition("read").sortWithinPartitions("read", "chain", "start", "end", "score").mapInArrow(run, f"read {kind}, chain long, place int, score double")
 
 
 def sample(rows: DataFrame, keys: list[str], n: int, by: Column) -> DataFrame:
