@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,56 +18,94 @@ from .reference import WIDTH, windows
 EXTENDED = T.StructType([T.StructField("score", T.LongType()), T.StructField("query", T.LongType()), T.StructField("target", T.LongType()), T.StructField("cigar", T.StringType())])
 #: Fixed value: how far the score may fall below the best before an extension ends.
 X_DROP = 400
-_NONE = -(1 << 40)
+_NONE = -(1 << 29)
 
 
 def extend(query: str, target: str, x: int = X_DROP, match: int = 1, mismatch: int = 1, open_: int = 6, extend_: int = 2) -> tuple[int, int, int, str]:
     """``score, query bases, target bases, CIGAR`` of the best alignment that begins at both starts.
 
     A gap of n costs ``open_ + extend_ * (n - 1)``. Cells whose score is more than ``x`` below the best so far are
-    left, and the program ends when an anti-diagonal has none left. An anti-diagonal holds its live cells only, one
-    byte of each is kept for the way back, so memory goes with the band. Of equal ends the nearest counts.
+    left, and the program ends when an anti-diagonal has none left. Of equal ends the nearest counts.
+    """
+    return extend_all([query], [target], x, match, mismatch, open_, extend_)[0]
+
+
+def _flat(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of all texts, and where each starts and how long it is."""
+    lengths = np.array([len(s) for s in texts], np.int64)
+    return np.frombuffer(("".join(texts) + "\0").encode("utf-32-le"), np.uint32), np.cumsum(lengths) - lengths, lengths
+
+
+def extend_all(queries: Sequence[str], targets: Sequence[str], x: int = X_DROP, match: int = 1, mismatch: int = 1, open_: int = 6, extend_: int = 2) -> list[tuple[int, int, int, str]]:
+    """``extend`` of many pairs, one anti-diagonal of all of them at a time.
+
+    An anti-diagonal holds the rows from each pair's first to its last live cell, and pairs without any are left out.
+    One byte of each cell is kept for the way back, so memory goes with the bands.
     """
-    n, m = len(query), len(target)
-    q, t = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (query, target))
-    best, end = 0, (0, 0)
-    # rows i of the last two anti-diagonals: first row, score, best ending in a query gap (up), in a target gap (left)
-    before, last = (0, np.zeros(0, np.int64)), (0, np.zeros(1, np.int64), np.full(1, _NONE), np.full(1, _NONE))
-    ways: list[tuple[int, np.ndarray]] = [(0, np.zeros(1, np.uint8))]
-
-    def at(low: int, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        inside = (rows >= low) & (rows < low + len(values))
-        return np.where(inside, values[np.clip(rows - low, 0, max(len(values) - 1, 0))] if len(values) else _NONE, _NONE)
-
-    for d in range(1, n + m + 1):
-        low, high = max(last[0], d - m), min(last[0] + len(last[1]), n, d)
-        if low > high:
+    (q, q0, n_all), (t, t0, m_all) = _flat(queries), _flat(targets)
+    count = len(n_all)
+    best, end = np.zeros(count, np.int32), np.zeros((count, 2), np.int64)
+    ids, n, m, qs, ts = np.arange(count), n_all, m_all, q0, t0
+    # of the last two anti-diagonals: the row of the first column; score, best ending in a query gap (up), in a target gap (left)
+    none = lambda: np.full((count, 1), _NONE, np.int32)
+    base, score, up, left = np.zeros(count, np.int64), np.zeros((count, 1), np.int32), none(), none()
+    before_base, before = base, none()
+    first, last = base, base  # live rows
+    where = ids
+    ways: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(base, np.zeros((count, 1), np.uint8), where)]
+
+    def at(low: np.ndarray, rows: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+        spot, width = rows - low[:, None], values[0].shape[1]
+        outside, spot = (spot < 0) | (spot >= width), np.clip(spot, 0, width - 1)
+        found = [np.take_along_axis(v, spot, axis=1) for v in values]
+        for f in found:
+            f[outside] = _NONE
+        return found
+
+    d = 0
+    while True:
+        d += 1
+        low, high = np.maximum(first, d - m), np.minimum(np.minimum(last + 1, n), d)
+        go = low <= high
+        if not go.all():
+            ids, n, m, qs, ts, base, score, up, left, before_base, before, low, high = (v[go] for v in (ids, n, m, qs, ts, base, score, up, left, before_base, before, low, high))
+            where = np.full(count, -1)  # shared by the anti-diagonals of the same pairs
+            where[ids] = np.arange(len(ids))
+        if not len(ids):
             break
-        rows = np.arange(low, high + 1)
-        above, beside = at(last[0], last[1], rows - 1), at(last[0], last[1], rows)
-        up = np.maximum(above - open_, at(last[0], last[2], rows - 1) - extend_)
-        left = np.maximum(beside - open_, at(last[0], last[3], rows) - extend_)
+        rows = low[:, None] + np.arange(int((high - low).max()) + 1)
+        above, above_up = at(base, rows - 1, score, up)
+        beside, beside_left = at(base, rows, score, left)
+        (corner,) = at(before_base, rows - 1, before)
+        up, left = np.maximum(above - open_, above_up - extend_), np.maximum(beside - open_, beside_left - extend_)
         inner = (rows > 0) & (rows < d)
-        same = q[np.clip(rows - 1, 0, max(n - 1, 0))] == t[np.clip(d - rows - 1, 0, max(m - 1, 0))] if n and m else np.zeros(len(rows), bool)
-        diagonal = np.where(inner, at(before[0], before[1], rows - 1) + np.where(same, match, -mismatch), _NONE)
-        score = np.maximum(diagonal, np.maximum(up, left))
+        same = q[qs[:, None] + np.clip(rows - 1, 0, np.maximum(n - 1, 0)[:, None])] == t[ts[:, None] + np.clip(d - rows - 1, 0, np.maximum(m - 1, 0)[:, None])]
+        diagonal = np.where(inner, corner + np.where(same, np.int32(match), np.int32(-mismatch)), np.int32(_NONE))
+        before_base, before = base, score
+        base, score = low, np.maximum(diagonal, np.maximum(up, left))
         way = (diagonal == score).astype(np.uint8) | (up == score).astype(np.uint8) << 1 | (up == above - open_).astype(np.uint8) << 2 | (left == beside - open_).astype(np.uint8) << 3
-        live = np.flatnonzero(score >= best - x)
-        kept = slice(live[0], live[-1] + 1) if len(live) else slice(0, 0)
-        dead = score < best - x
-        score[dead], up[dead], left[dead] = _NONE, _NONE, _NONE
-        ways.append((int(rows[kept.start]) if len(live) else 0, way[kept]))
-        before, last = last[:2], (int(rows[kept.start]) if len(live) else 0, score[kept], up[kept], left[kept])
-        if len(live):
-            top = int(np.argmax(last[1]))
-            if last[1][top] > best:
-                best, end = int(last[1][top]), (last[0] + top, d - last[0] - top)
-        elif not len(before[1]):
-            break
-    runs, i, j, state = [], *end, "H"
+        live = (score >= (best[ids] - x)[:, None]) & (rows <= high[:, None])
+        for v in (score, up, left):
+            v[~live] = _NONE
+        ways.append((low.astype(np.int32), way, where))
+        top = np.argmax(score, axis=1)
+        value = score[np.arange(len(ids)), top]
+        better = value > best[ids]  # a cell that is dead is never above the best
+        best[ids[better]] = value[better]
+        end[ids[better], 0], end[ids[better], 1] = (low + top)[better], (d - low - top)[better]
+        first, last = low + np.argmax(live, axis=1), low + live.shape[1] - 1 - np.argmax(live[:, ::-1], axis=1)
+        ended = ~live.any(axis=1)
+        first[ended], last[ended] = d + 2, -1
+    return [(int(best[k]), int(end[k, 0]), int(end[k, 1]), _way_back(k, *end[k].tolist(), ways, q[q0[k]:], t[t0[k]:])) for k in range(count)]
+
+
+def _way_back(k: int, i: int, j: int, ways: list[tuple[np.ndarray, np.ndarray, np.ndarray]], q: np.ndarray, t: np.ndarray) -> str:
+    """CIGAR of pair ``k`` from its best cell back to the starts."""
+    runs, state = [], "H"
     while i or j:
-        low, way = ways[i + j]
-        bits = int(way[i - low])
+        low, way, where = ways[i + j]
+        row = where[k]
+        bits = int(way[row, i - low[row]])
         if state == "H":
             state = "H" if bits & 1 else "I" if bits & 2 else "D"
             if bits & 1:
@@ -80,15 +120,30 @@ def extend(query: str, target: str, x: int = X_DROP, match: int = 1, mismatch: i
             runs[-1][0] += 1
         else:
             runs.append([1, op])
-    return best, end[0], end[1], "".join(f"{k}{op}" for k, op in reversed(runs))
+    return "".join(f"{k}{op}" for k, op in reversed(runs))
+
+
+#: Pairs, and anti-diagonals of all pairs, that go through the program together.
+TOGETHER, STEPS = 512, 1 << 18
 
 
 def xdrop(query: Column, target: Column, x: int = X_DROP) -> Column:
-    """``struct<score, query, target, cigar>`` of ``extend``; null where either is null."""
+    """``struct<score, query, target, cigar>`` of ``extend``; null where either is null. Pairs of a batch that are alike in length go together."""
 
     @F.pandas_udf(EXTENDED)
     def run(q: pd.Series, t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None,) * 4 if a is None or b is None else extend(a, b, x) for a, b in zip(q, t)], columns=EXTENDED.names)
+        out: list[tuple] = [(None,) * 4] * len(q)
+        steps = [0 if a is None or b is None else min(2 * min(len(a), len(b)) + x, len(a) + len(b)) for a, b in zip(q, t)]
+        left = sorted((k for k, (a, b) in enumerate(zip(q, t)) if a is not None and b is not None), key=steps.__getitem__)
+        while left:
+            taken, size = 0, 0
+            while taken < min(len(left), TOGETHER) and (not taken or size + steps[left[taken]] <= STEPS):
+                size += steps[left[taken]]
+                taken += 1
+            group, left = left[:taken], left[taken:]
+            for k, found in zip(group, extend_all([q[k] for k in group], [t[k] for k in group], x)):
+                out[k] = found
+        return pd.DataFrame(out, columns=EXTENDED.names)
 
     return run(query, target)
 

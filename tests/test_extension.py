@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandframe.operators import extension, reference
 
@@ -91,3 +92,20 @@ def test_ends_of_reads_grow(spark, reverse):
     r = got["r"]
     assert (r.read_start, r.read_end, r.ref_start, r.ref_end, r.left_cigar, r.right_cigar) == (0, 300, 300, 600, "100=", "150=")
     assert (got["lost"].read_start, got["lost"].left_cigar) == (5, "") and (got["none"].read_end, got["none"].right_cigar) == (20, "")
+
+
+@pytest.mark.parametrize("x", [1, 5, 30, 400])
+def test_pairs_extended_together_are_as_alone(spark, x):
+    rng = random.Random(x)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    pairs = [("", ""), ("", "A"), ("A", ""), ("é\U0001f600A", "é\U0001f600C")]
+    for n in (1, 3, 20, 60, 200) * 8:
+        a = word(n)
+        cut = rng.randrange(n)
+        pairs += [(a, a[:cut] + word(rng.randrange(4)) + a[cut:]), (a, a[:cut] + a[cut + 3:]), (a, word(50)), (word(n // 2), a)]
+    alone = [extension.extend(*p, x) for p in pairs]
+    assert extension.extend_all(*zip(*pairs), x) == alone
+    rows = spark.createDataFrame([*enumerate(pairs), (-1, (None, "A")), (-2, ("A", None))], "i long, p struct<q: string, t: string>").coalesce(1)
+    got = {r.i: r.e and tuple(r.e) for r in rows.select("i", extension.xdrop(F.col("p.q"), F.col("p.t"), x).alias("e")).collect()}
+    assert got.pop(-1) in (None, (None,) * 4) and got.pop(-2) in (None, (None,) * 4)
+    assert got == dict(enumerate(alone))
