@@ -195,20 +195,14 @@ class BandScheme(SegmentScheme):
 def components(s: Seeds, scheme: SegmentScheme) -> list[np.ndarray]:
     """Seeds (sorted by read_start) that reach each other, in read order; components under the scheme's span are left out."""
     n = len(s["read_start"])
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return int(i)
-
+    of = np.arange(n)  # the first seed of each seed's component
     for i in range(n):
         later = np.arange(i + 1, n)
-        for j in later[scheme.reachable(s, i, later)]:
-            a, b = find(i), find(int(j))
-            root[max(a, b)] = min(a, b)
-    of = np.array([find(i) for i in range(n)], np.int64)
+        met = of[later[scheme.reachable(s, i, later)]]
+        if (met != of[i]).any():  # all that meet here become one at once
+            joined = np.arange(n)
+            joined[met] = joined[of[i]] = min(of[i], met.min())
+            of = joined[of]
     groups = [np.flatnonzero(of == r) for r in np.unique(of)]
     return [g for g in groups if s["read_end"][g[-1]] - s["read_start"][g[0]] >= scheme.least_span]
 
@@ -260,21 +254,22 @@ def by_read(rows: DataFrame, read: str, columns: dict[str, str], order: list[str
     names = ["read", *(f.split()[0] for f in schema.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[Seeds] = []
+        name = key = None
 
         def finish() -> list[tuple]:
-            whole = pd.concat(held)
-            key = whole["_read"].iloc[0]
-            key = None if pd.isna(key) else key
-            return [(key, *row) for row in solve(key, {c: whole[c].to_numpy() for c in columns})]
+            return [(key, *row) for row in solve(key, {c: np.concatenate([h[c] for h in held]) for c in columns})]
 
         for batch in batches:
             out: list[tuple] = []
-            for key, part in batch.groupby("_key", sort=False):
-                if held and held[0]["_key"].iloc[0] != key:
+            keys, reads, whole = batch["_key"].to_numpy(), batch["_read"].to_numpy(), {c: batch[c].to_numpy() for c in columns}
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)] if len(keys) else []
+            for first, end in zip(cuts, cuts[1:]):
+                if held and name != keys[first]:
                     out += finish()
                     held.clear()
-                held.append(part)
+                name, key = keys[first], None if pd.isna(reads[first]) else reads[first]
+                held.append({c: v[first:end] for c, v in whole.items()})
             yield pd.DataFrame(out, columns=names)
         if held:
             yield pd.DataFrame(finish(), columns=names)

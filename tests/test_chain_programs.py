@@ -186,3 +186,33 @@ def test_split_point_of_hand(spark):
             want[n] = (p, cost[p], max((x[1] for x in l if x[1] <= p), default=end), min((x[0] for x in r if x[0] >= p), default=start))
     got = cp.split_overlaps(spark.createDataFrame(pairs, "n long, left string, right string"), spark.createDataFrame(atoms, "seed string, start long, end long, weight double"), ["n"])
     assert {r.n: (r.split, r.trimmed, r.left_end, r.right_start) for r in got.collect()} == want
+
+
+def test_components_take_a_step_a_seed_and_not_a_pair():
+    import sys
+
+    n, calls = 600, 0
+    start = np.arange(n)
+    s = {"read_start": start, "read_end": start + 12, "chrom": np.zeros(n, int), "reverse": np.zeros(n, bool), "diagonal": np.zeros(n, int), "weight": np.ones(n)}
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        found = cp.components(s, cp.BandScheme())
+    finally:
+        sys.setprofile(None)
+    assert [len(g) for g in found] == [n] and calls < 10 * n  # 179,700 pairs reach each other
+
+
+def test_reads_that_batches_cut_are_solved_whole(spark):
+    rows = spark.createDataFrame([(r, i) for r in [None, 3, 10, 7] for i in range(5)], "read long, v long").coalesce(1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = cp.by_read(rows, "read", {"v": "long"}, ["v"], lambda read, s: [(int(s["v"].sum()), len(s["v"]))], "total long, n long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(((r.read, r.total, r.n) for r in got), key=str) == [(10, 10, 5), (3, 10, 5), (7, 10, 5), (None, 10, 5)]
