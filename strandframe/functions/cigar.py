@@ -6,7 +6,9 @@ import re
 from collections.abc import Callable
 from itertools import groupby, takewhile
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -20,6 +22,43 @@ def parse(cigar: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(F.substring(p, -1, 1).alias("op"), F.regexp_extract(p, "^[0-9]+", 0).cast("long").alias("len")))
 
 
+_KINDS = np.isin(np.arange(256), np.frombuffer(b"MIDNSHP=X", np.uint8))
+
+
+def runs(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, operation (its byte) and length of every operation of a batch of CIGAR strings, as ``parse`` finds them."""
+    texts = strings.fill_null("").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    b = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    at = np.flatnonzero((b < 48) | (b > 57))
+    row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(at, bounds)))
+    width = at - np.maximum(np.concatenate(([-1], at[:-1]))[: len(at)] + 1, bounds[row])
+    known = (width > 0) & _KINDS[b[at]]
+    at, row, width = at[known], row[known], width[known]
+    length = np.zeros(len(at), np.int64)
+    for d in range(int(width.max(initial=0))):
+        has = width > d
+        digit = b[at[has] - 1 - d].astype(np.int64) - 48
+        if d >= 18 and digit.any():
+            raise OverflowError("a CIGAR operation of 10^18 bases or more")
+        length[has] += digit * 10 ** min(d, 18)
+    return row, b[at], length
+
+
+def among(op: np.ndarray, kinds: str) -> np.ndarray:
+    """Which of the operations of ``runs`` are of these kinds."""
+    return np.isin(op, np.frombuffer(kinds.encode(), np.uint8))
+
+
+def before(row: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sum of ``n`` over the earlier operations of the same row."""
+    sums = np.cumsum(n) - n
+    first = np.concatenate(([True], row[1:] != row[:-1]))[: len(row)]
+    return sums - np.maximum.accumulate(np.where(first, sums, 0)) if len(row) else sums
+
+
 def total(ops: Column, kinds: str) -> Column:
     """Bases over the operations of these kinds."""
     chosen = F.filter(ops, lambda o: F.lit(kinds).contains(o["op"]))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import cigar
 from ..functions.scalars import size_band
+from ..session import prepare
 from .compare import invariance
 from .intervals import merge
 from .stats import mad_outliers
@@ -93,37 +99,181 @@ def error_by_distance(records: DataFrame, near: int = 50) -> DataFrame:
     return exposed.unionByName(found).groupBy("end_kind", "bin").agg(*(total(w) for w in ("positions", "mismatches", "ins_events", "del_events")))
 
 
+#: Steps of a read in a tile; records are dealt out and walked by tile, so a long or hot read is many tasks'.
+TILE = 1 << 17
+_NULL = np.iinfo(np.int64).min
+_OWN = ("read", "_tile", "_side", "rank", "chrom", "reverse", "rs", "read_len", "cigar")
+
+
+def _dealt(records: DataFrame, span: int, order: list[str]) -> DataFrame:
+    """``records`` with ``_part, _tile``, a row for each tile of ``span`` bases of the forward read that a record may touch, dealt out and sorted by read and tile.
+
+    Bases before the first belong to it. The CIGAR is parsed only where its numbers or the read's length may reach beyond the first tile.
+    """
+    prepare(records.sparkSession)
+    ops = cigar.parse(F.col("cigar"))
+    clip = F.get(ops, F.lit(0))
+    start, end = F.when(clip["op"].isin("S", "H"), clip["len"]).otherwise(0), cigar.query_length(ops)
+    turned = F.coalesce("reverse", F.lit(False))
+    tile = lambda at: F.greatest(F.floor(at / span), F.lit(0))
+    first, last = tile(F.when(turned, F.col("read_len") - end).otherwise(start)), tile(F.when(turned, F.col("read_len") - start).otherwise(end))
+    short = (F.length("cigar") <= 2 * span // 100_000) & ~F.col("cigar").rlike("[0-9]{6}") & (F.coalesce("read_len", F.lit(0)) <= span)
+    zero = F.array(F.lit(0).cast("long"))
+    tiles = F.when(short, zero).otherwise(F.coalesce(F.sequence(first, F.greatest(first, last)), zero))
+    return records.select("*", F.posexplode(tiles).alias("_part", "_tile")).repartition("read", "_tile").sortWithinPartitions("read", "_tile", *order)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False)
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Numbers in the order of the column's values, null first."""
+    coded = column.dictionary_encode(null_encoding="mask")
+    values = coded.dictionary.to_numpy(zero_copy_only=False)
+    ranks = np.empty(len(values) + 1, np.int64)
+    ranks[np.argsort(values)], ranks[-1] = np.arange(len(values)), -1
+    return ranks[coded.indices.fill_null(len(values)).to_numpy(zero_copy_only=False)]
+
+
+def _groups(table: pa.RecordBatch) -> np.ndarray:
+    """Numbers of the runs of equal read and tile in a sorted batch."""
+    read = table["read"].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    tile = _numbers(table["_tile"])
+    return np.cumsum(np.concatenate(([False], (read[1:] != read[:-1]) | (tile[1:] != tile[:-1]))))[: len(read)]
+
+
+def _stacked(held: pa.RecordBatch | None, batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch if held is None else pa.concat_batches([held, batch])
+
+
+def _walked(strings: pa.Array) -> tuple[np.ndarray, ...]:
+    """Row, operation, length, and the places on read and reference where it begins, as ``steps`` has them."""
+    row, op, n = cigar.runs(strings)
+    hard = np.where(np.concatenate(([True], row[1:] != row[:-1]))[: len(row)] & cigar.among(op, "H"), n, 0)
+    lead = np.bincount(row, hard, len(strings)).astype(np.int64)[row]
+    q = cigar.before(row, np.where(cigar.among(op, cigar.QUERY), n, 0)) + np.where(cigar.among(op, "H"), 0, lead)
+    return row, op, n, q, cigar.before(row, np.where(cigar.among(op, cigar.REFERENCE), n, 0))
+
+
+def _placements(table: pa.RecordBatch, group: np.ndarray, step: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Record, t and pos of the record that counts at each t of a group's sides, and the number of that group and side; in the order of group, t and side."""
+    row, op, n, q, r = _walked(table["cigar"])
+    back, length, rs = _codes(table["reverse"].cast(pa.int8())), _numbers(table["read_len"]), _numbers(table["rs"])
+    turned = table["reverse"].fill_null(False).to_numpy(zero_copy_only=False)
+    use = cigar.among(op, cigar.ALIGNED) & ~(turned[row] & (length[row] == _NULL))
+    row, n, q, r = row[use], n[use], q[use], r[use]
+    f0 = np.where(turned[row], length[row] - q - n, q)
+    first = -(-f0 // step) * step
+    count = np.maximum(-(-(f0 + n - first) // step), 0)
+    of = np.repeat(np.arange(len(row)), count)
+    t = first[of] + step * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+    inside = np.maximum(t // span, 0) == _numbers(table["_tile"])[row[of]]
+    of, t = of[inside], t[inside]
+    rec = row[of]
+    pos = np.where(rs[rec] == _NULL, _NULL, rs[rec] + r[of] + np.where(turned[rec], length[rec] - 1 - t, t) - q[of])
+    side = group * 2 + _numbers(table["_side"])
+    slot = t // step - (t.min(initial=0) // step)
+    # records come by rank, so the first of a place is the one that counts, unless ranks are equal
+    order = np.lexsort((side[rec], slot, group[rec])) if slot.max(initial=0) >= 1 << 40 else np.argsort((group[rec] * (slot.max(initial=0) + 1) + slot) * 2 + (side[rec] & 1), kind="stable")
+    same = lambda o: (side[rec[o]][1:] == side[rec[o]][:-1]) & (t[o][1:] == t[o][:-1])
+    rank = _numbers(table["rank"])
+    again = same(order)
+    if (again & (rank[rec[order]][1:] == rank[rec[order]][:-1])).any():
+        order = np.lexsort((pos, back[rec], _codes(table["chrom"])[rec], rank[rec], side[rec], t, group[rec]))
+        again = same(order)
+    order = order[np.concatenate(([True], ~again))[: len(order)]]
+    return rec[order], t[order], pos[order], side[rec[order]]
+
+
 def lifted(records: DataFrame, step: int = 25, flip: bool = False) -> DataFrame:
     """``read, t, chrom, reverse, pos``: where the CIGAR strings place every ``step``-th base of the forward read; of several records the one of least ``rank`` counts.
 
     With ``flip`` the records belong to the reverse complement of the read, and positions and strands
-    are given for the read itself. A position has one row, so a hot read is spread.
+    are given for the read itself. Records, not positions, are exchanged; a task holds a batch and, of the
+    tile that goes on in the next, the records that count somewhere.
     """
-    turned = F.col("reverse") != F.lit(flip)
-    s = steps(records, ["read", "rank", "chrom", "rs", "read_len", "reverse"]).where(F.col("op").isin("M", "=", "X"))
-    s = s.withColumn("reverse", turned).withColumn("f0", _forward(F.col("reverse"), F.col("q"), F.col("len")))
-    first = F.ceil(F.col("f0") / step) * step
-    s = s.withColumn("_t", first).where(F.col("_t") < F.col("f0") + F.col("len"))
-    s = s.withColumn("t", F.explode(F.sequence(F.col("_t"), F.col("f0") + F.col("len") - 1, F.lit(step).cast("long"))))
-    on = F.when(F.col("reverse"), F.col("read_len") - 1 - F.col("t")).otherwise(F.col("t"))
-    place = F.struct("chrom", "reverse", (F.col("rs") + F.col("r") + on - F.col("q")).alias("pos"))
-    best = s.groupBy("read", "t").agg(F.min(F.struct("rank", place.alias("place"))).alias("b"))
-    return best.select("read", "t", "b.place.chrom", "b.place.reverse", "b.place.pos")
+    span = step * TILE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shown(table: pa.RecordBatch, rec: np.ndarray, t: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+            at = pa.array(rec)
+            return pa.record_batch([table["read"].take(at), pa.array(t), table["chrom"].take(at), table["reverse"].take(at), pa.array(pos, mask=pos == _NULL)], ["read", "t", "chrom", "reverse", "pos"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = _stacked(held, batch)
+            group = _groups(table)
+            rec, t, pos, _ = _placements(table, group, step, span)
+            done = np.searchsorted(group, group[-1])
+            yield shown(table, *(v[rec < done] for v in (rec, t, pos)))
+            held = table.take(pa.array(np.union1d(rec[rec >= done], [done])))
+        if held is not None:
+            yield shown(held, *_placements(held, _groups(held), step, span)[:3])
 
+    rows = _sided(records, 0, flip)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("read", "chrom")}
+    return _dealt(rows, span, ["rank"]).select(*_OWN).mapInArrow(run, f"read {kinds['read']}, t long, chrom {kinds['chrom']}, reverse boolean, pos long")
 
-def map_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``read, agree, either, n_orig, n_var`` of two maps made by ``lifted``; n_*: the positions that each places."""
-    side = lambda m, p: m.select("read", "t", F.struct("chrom", "reverse", "pos").alias(p))
-    both = side(a, "a").join(side(b, "b"), ["read", "t"], "full_outer")
-    return both.groupBy("read").agg(F.count_if(F.col("a") == F.col("b")).alias("agree"), F.count("*").alias("either"), F.count("a").alias("n_orig"), F.count("b").alias("n_var"))
+
+def _sided(records: DataFrame, side: int, flip: bool) -> DataFrame:
+    rows = records.withColumns({"_side": F.lit(side), "reverse": F.col("reverse") != F.lit(flip)})
+    return rows.select(*(c for c in _OWN if c != "_tile"))
 
 
 def flipped_invariance(records: DataFrame, variants: DataFrame, step: int = 25) -> DataFrame:
-    """``read, class, score``: reads against the records of their reverse complements, by ``lifted`` positions; a read placed by neither has no row."""
-    placed = map_agreement(lifted(records, step), lifted(variants, step, flip=True)).drop("n_orig", "n_var")
-    count = lambda rows, name: rows.where("cigar is not null and cigar not in ('', '*')").groupBy("read").agg(F.count("*").alias(name))
-    sums = placed.join(count(records, "n_orig"), "read", "full_outer").join(count(variants, "n_var"), "read", "full_outer")
-    return invariance(sums.fillna(0, ["agree", "either", "n_orig", "n_var"]), F.lit(1))
+    """``read, class, score``: reads against the records of their reverse complements, by ``lifted`` positions; a read placed by neither has no row.
+
+    Both sides are dealt out and walked together, a tile of a read leaves a task as one row of counts.
+    """
+    span = step * TILE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def walk(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
+            group = _groups(table)
+            rec, t, pos, side = _placements(table, group, step, span)
+            chrom, back = _codes(table["chrom"]), _codes(table["reverse"].cast(pa.int8()))
+            pair = (side[1:] == side[:-1] + 1) & (side[1:] & 1 == 1) & (t[1:] == t[:-1])
+            a, b = rec[:-1][pair], rec[1:][pair]
+            equal = (chrom[a] == chrom[b]) & (back[a] == back[b]) & (pos[:-1][pair] == pos[1:][pair])
+            groups = int(group[-1]) + 1
+            count = lambda at: np.bincount(at, minlength=groups)
+            records_, sides = _numbers(table["_n"]), _numbers(table["_side"])
+            sums = [count(group[a[equal]]), count(group[rec]) - count(group[a]), *(np.bincount(group, np.where(sides == k, records_, 0), groups).astype(np.int64) for k in (0, 1))]
+            first = np.searchsorted(group, np.arange(groups))
+            return group, rec, pa.record_batch([table["read"].take(pa.array(first)), *(pa.array(v, pa.int64()) for v in sums)], names)
+
+        def counted(table: pa.RecordBatch, n: np.ndarray) -> pa.RecordBatch:
+            return table.set_column(table.num_columns - 1, table.schema.field("_n"), pa.array(n))
+
+        names = ["read", "agree", "either", "n_orig", "n_var"]
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            aligned = ~pc.is_in(batch["cigar"], pa.array([None, "", "*"], batch["cigar"].type)).to_numpy(zero_copy_only=False)
+            table = _stacked(held, counted(batch, _numbers(batch["_n"]) * aligned))
+            group, rec, sums = walk(table)
+            yield sums.slice(0, sums.num_rows - 1)
+            # of the last tile: the records that count somewhere and one of each side, which takes over the number of records
+            done = int(np.searchsorted(group, group[-1]))
+            sides = _numbers(table["_side"])[done:]
+            keep = np.union1d(rec[rec >= done], done + np.unique(sides, return_index=True)[1])
+            n = np.zeros(table.num_rows, np.int64)
+            for k in np.unique(sides):
+                n[done + int(np.argmax(sides == k))] = sums[3 + int(k)][-1].as_py()
+            held = counted(table, n).take(pa.array(keep))
+        if held is not None:
+            yield walk(held)[2]
+
+    both = _sided(records, 0, False).unionByName(_sided(variants, 1, True))
+    rows = _dealt(both, span, ["_side", "rank"])
+    kind = both.schema["read"].dataType.simpleString()
+    walked = rows.select(*_OWN, (F.col("_part") == 0).cast("long").alias("_n")).mapInArrow(run, f"read {kind}, agree long, either long, n_orig long, n_var long")
+    sums = walked.groupBy("read").agg(*(F.sum(c).alias(c) for c in ("agree", "either", "n_orig", "n_var")))
+    return invariance(sums.where("n_orig + n_var > 0"), F.lit(1))
 
 
 def base_agreement(lhs: DataFrame, rhs: DataFrame, tolerance: float = 50.0) -> DataFrame:

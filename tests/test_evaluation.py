@@ -1,6 +1,9 @@
 """Hand-made cases of the measures along CIGAR strings."""
 
+import re
+
 from strandframe.operators import evaluation
+from strandframe.plans.inputs import lines
 
 SCHEMA = "read string, rank long, chrom string, reverse boolean, read_len long, rs long, re long, qs long, qe long, cigar string"
 
@@ -31,3 +34,43 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     for found in (evaluation.outlier_windows(none), evaluation.error_by_distance(none), evaluation.flipped_invariance(none, none), evaluation.base_agreement(none, none), evaluation.box_jaccard(none, none)):
         assert found.count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_hashed_and_keep_their_side_of_f(spark, tmp_path):
+    rows_ = [(1, 1, 5, 6, 7.0, "A"), (1, 1, 4, 8, 2.0, "F"), (2, 1, 1, 1, 1.0, "O"), (2, 1, 1, 1, 1.0, "F"), (3, 1, 1, 1, 1.0, None), (4, 1, 1, 1, 1.0, "B")]
+    spark.createDataFrame(rows_, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = lines(spark, str(tmp_path))
+    assert "SortAggregate" not in plan(found)
+    assert rows(found.selectExpr("l_orderkey", "l_suppkey", "l_partkey", "l_quantity", "l_linestatus = 'F'", "l_linestatus <> 'F'"), "l_orderkey") == [(1, 5, 8, 7.0, True, False), (2, 1, 1, 1.0, False, True), (3, 1, 1, 1.0, None, None), (4, 1, 1, 1.0, False, True)]
+
+
+def test_positions_are_not_exchanged_and_tiles_and_batches_do_not_show(spark, monkeypatch):
+    some = [("a", 3 - k % 4, f"c{k % 3}", k % 5 == 0, 900, 1000 * k, 0, 0, 0, f"{k * 7}S{100 + k}=3I20X4D{200}M{900 - 323 - 8 * k}H") for k in range(60)] + [("b", None, None, None, None, None, 0, 0, 0, "10=x5y7=")]
+    one = spark.createDataFrame(some, SCHEMA)
+    assert "SortAggregate" not in plan(evaluation.lifted(one))
+    best = {}
+    for read, rank, chrom, reverse, length, rs, _, _, _, text in some:
+        q = r = 0
+        for n, op in re.findall(r"(\d+)([MIDNSHP=X])", text):
+            n = int(n)
+            for i in range(n if op in "M=X" else 0):
+                t = length - 1 - q - i if reverse else q + i
+                place = ((rank is not None, rank), (chrom is not None, chrom), (reverse is not None, reverse), (rs is not None, None if rs is None else rs + r + i))
+                if t % 25 == 0 and ((read, t) not in best or place < best[read, t]):
+                    best[read, t] = place
+            q, r = q + n * (op in "MIS=X"), r + n * (op in "MDN=X")
+    wanted = sorted((read, t, *(p[1] for p in place[1:])) for (read, t), place in best.items())
+    other = one.selectExpr("read", "rank", "chrom", "not reverse AS reverse", "read_len", "rs + rank % 2 AS rs", "re", "qs", "qe", "cigar").where("rank > 0 or rank is null")
+    assert rows(evaluation.lifted(one), "read", "t") == wanted
+    whole = rows(evaluation.flipped_invariance(one, other), "read")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    monkeypatch.setattr(evaluation, "TILE", 4)
+    try:
+        assert rows(evaluation.lifted(one), "read", "t") == wanted
+        assert rows(evaluation.flipped_invariance(one, other), "read") == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
