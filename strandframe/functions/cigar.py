@@ -19,7 +19,7 @@ QUERY, REFERENCE, ALIGNED = "MIS=X", "MDN=X", "M=X"
 def parse(cigar: Column) -> Column:
     """``array<struct<op, len>>`` of a CIGAR string; ``*`` and the empty string have no operations."""
     pairs = F.regexp_extract_all(cigar, F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1))
-    return F.transform(pairs, lambda p: F.struct(F.substring(p, -1, 1).alias("op"), F.regexp_extract(p, "^[0-9]+", 0).cast("long").alias("len")))
+    return F.transform(pairs, lambda p: F.struct(F.substring(p, -1, 1).alias("op"), p.substr(F.lit(1), F.length(p) - 1).cast("long").alias("len")))
 
 
 _KINDS = np.isin(np.arange(256), np.frombuffer(b"MIDNSHP=X", np.uint8))

@@ -24,7 +24,7 @@ def steps(records: DataFrame, kept: list[str]) -> DataFrame:
 
     Rows come out of an array of the record itself: no shuffle. Null and empty CIGAR strings give no rows.
     """
-    ops = cigar.parse(F.col("cigar"))
+    records, ops = records.select(*kept, cigar.parse(F.col("cigar")).alias("_ops")), F.col("_ops")  # parsed once
     first = F.get(ops, F.lit(0))
     hard = F.when(first["op"] == "H", first["len"]).otherwise(F.lit(0))
     rows = records.select(*kept, hard.alias("_hard"), F.explode(cigar.placed(ops)).alias("_s"))
@@ -68,9 +68,10 @@ def error_by_distance(records: DataFrame, near: int = 50) -> DataFrame:
     ``records (read, read_len, reverse, cigar)`` holds the primary and supplementary ones; the ranges of
     a read are gathered in an array of it, so its records bound that.
     """
-    span = cigar.query_range(cigar.parse(F.col("cigar")), F.col("reverse"))
-    rows = records.where("cigar is not null and cigar not in ('', '*')").withColumn("_own", span)
-    rows = rows.withColumn("_others", F.collect_set("_own").over(Window.partitionBy("read")))
+    # the string is tested beside its parsed form: a filter would be pushed below and have the string made anew for each test
+    span = F.when(~F.col("cigar").isin("", "*"), cigar.query_range(F.col("_ops"), F.col("reverse")))
+    rows = records.select("read", "read_len", "reverse", "cigar", cigar.parse(F.col("cigar")).alias("_ops")).withColumn("_own", span).drop("_ops")
+    rows = rows.withColumn("_others", F.collect_set("_own").over(Window.partitionBy("read"))).where("_own is not null")
     lead = F.when(F.col("reverse"), F.col("read_len") - F.col("_own.end")).otherwise(F.col("_own.start"))
     trail = F.when(F.col("reverse"), F.col("_own.start")).otherwise(F.col("read_len") - F.col("_own.end"))
 
@@ -328,7 +329,7 @@ def alignment_report(records: DataFrame, key: str, stratum: str) -> DataFrame:
 
     ``records (qs, qe, mapq, primary, cigar)`` leaves the secondary ones out. A rate without a denominator is null.
     """
-    ops = cigar.parse(F.col("cigar"))
+    records, ops = records.withColumn("_ops", cigar.parse(F.col("cigar"))), F.col("_ops")  # parsed once
     parts = {
         "n": F.lit(1), "q": F.col("qe") - F.col("qs"), "m": cigar.total(ops, "="), "x": cigar.total(ops, "X"), "ib": cigar.total(ops, "I"), "db": cigar.total(ops, "D"),
         "ie": cigar.events(ops, "I"), "de": cigar.events(ops, "D"), "p": F.col("primary").cast("int"), "p0": (F.col("primary") & (F.col("mapq") == 0)).cast("int"), "p20": (F.col("primary") & (F.col("mapq") >= 20)).cast("int"),

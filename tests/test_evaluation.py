@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from strandframe.operators import evaluation
 from strandframe.plans.inputs import lines
 
@@ -74,3 +76,9 @@ def test_positions_are_not_exchanged_and_tiles_and_batches_do_not_show(spark, mo
         assert rows(evaluation.flipped_invariance(one, other), "read") == whole
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+
+
+def test_strings_are_parsed_once(spark):
+    one = spark.createDataFrame([("a", 1, "c", False, 40, 0, 37, 0, 40, "8=2X10=1D5=5I10=")], SCHEMA).withColumns({"mapq": F.lit(20), "primary": F.lit(True)})
+    for found, times in ((evaluation.identity_windows(one, 10), 1), (evaluation.alignment_report(one, "chrom", "read"), 1), (evaluation.error_by_distance(one), 3)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == times
