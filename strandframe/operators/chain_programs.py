@@ -48,10 +48,10 @@ class Gaps:
         over = np.maximum(-raw, 0)
         same = (s["chrom"][j] == s["chrom"][i]) & (s["reverse"][j] == s["reverse"][i])
         length = s["read_end"] - s["read_start"]
-        density = s["weight"] / np.maximum(length, 1)
+        thin, thin_i = (s["weight"][x] / np.maximum(length[x], 1) for x in (j, i))
         shift = np.where(s["reverse"][i], -1, 1) * (s["diagonal"][i] - s["diagonal"][j])
         ok = np.where(same, over < length[i], over < np.minimum(length[i], length[j]))
-        return cls(np.maximum(raw, 0), shift, same, over * np.minimum(density[j], density[i]), ok)
+        return cls(np.maximum(raw, 0), shift, same, over * np.minimum(thin, thin_i), ok)
 
 
 @dataclass(frozen=True)
@@ -91,37 +91,77 @@ def by_breaks(s: Seeds, scheme: BreakScheme = BreakScheme(), most: int = 8) -> C
     A layer for each number of breaks: a step without a break stays in its layer, a break moves one on. For
     each seed all earlier seeds and layers are scored at once. Of equal steps the latest earlier seed counts.
     """
-    n = len(s["read_start"])
-    if not n:
-        return None
-    score = np.full((most + 1, n), -np.inf)
-    came = np.full((most + 1, n, 2), -1)  # seed, layer
-    kinds = np.zeros((most + 1, n), np.int8)
+    return by_breaks_all([s], scheme, most)[0]
+
+
+#: Seeds of all reads, padding included, that go through the program of breaks together.
+TOGETHER = 1 << 13
+
+
+def by_breaks_all(reads: list[Seeds], scheme: BreakScheme = BreakScheme(), most: int = 8) -> list[Chain | None]:
+    """``by_breaks`` of many reads: those alike in number of seeds go together, a seed of each at a time."""
+    out: list[Chain | None] = [None] * len(reads)
+    sizes = [len(s["read_start"]) for s in reads]
+    left = sorted((k for k, n in enumerate(sizes) if n), key=sizes.__getitem__)
+    while left:
+        taken = 1
+        while taken < len(left) and (taken + 1) * sizes[left[taken]] <= TOGETHER:
+            taken += 1
+        group, left = left[:taken], left[taken:]
+        for k, chain in zip(group, _by_breaks_together([reads[k] for k in group], scheme, most)):
+            out[k] = chain
+    return out
+
+
+def _by_breaks_together(reads: list[Seeds], scheme: BreakScheme, most: int) -> list[Chain]:
+    """The program over reads as columns, the shorter ones filled up with seeds that no chain ends in."""
+    sizes = np.array([len(r["read_start"]) for r in reads])
+    n, count = int(sizes.max()), len(reads)
+    s: Seeds = {}
+    for c in COLUMNS:
+        s[c] = np.zeros((n, count), np.result_type(*(r[c] for r in reads)))
+        for g, r in enumerate(reads):
+            s[c][: sizes[g], g] = r[c]
+    score = np.full((most + 1, n, count), -np.inf)
+    came = np.full((most + 1, n, count, 2), -1, np.int32)  # seed, layer
+    kinds = np.zeros((most + 1, n, count), np.int8)
     score[0] = s["weight"]
     layers = np.arange(most + 1)
+    top = 0  # the last layer that any chain has reached
     for i in range(1, n):
-        cost, kind, ok = scheme.steps(s, np.arange(i), i)
-        past = score[:, :i]
+        first = int(np.searchsorted(sizes, i, side="right"))  # reads are sorted by size; those that have a seed i
+        part = {c: v[: i + 1, first:] for c, v in s.items()}
+        cost, kind, ok = scheme.steps(part, np.arange(i), i)
+        top = min(top + 1, most)
+        past = score[: top + 1, :i, first:]
         broken = np.full_like(past, -np.inf)
         broken[1:] = past[:-1]
-        source = np.repeat(layers[:, None] - 1, i, axis=1)
-        more = past[most] > broken[most]  # the last layer is also entered from itself
-        broken[most, more], source[most, more] = past[most, more], most
         breaks = kind == BREAK
-        total = np.where(breaks, broken - (layers * scheme.penalty)[:, None], past) - cost + s["weight"][i]
+        if top == most:  # the last layer is also entered from itself
+            again = past[most] > broken[most]
+            broken[most][again] = past[most][again]
+        total = np.where(breaks, broken - (layers[: top + 1] * scheme.penalty)[:, None, None], past) - cost + part["weight"][i]
         total[:, ~ok] = -np.inf
-        at = i - 1 - np.argmax(total[:, ::-1], axis=1)
-        best = total[layers, at]
-        better = best > score[:, i]
-        score[better, i] = best[better]
-        came[better, i, 0] = at[better]
-        came[better, i, 1] = np.where(breaks[at], source[layers, at], layers)[better]
-        kinds[better, i] = kind[at[better]]
+        layer, read = np.nonzero(total.max(axis=1) > score[: top + 1, i, first:])
+        if not len(layer):
+            continue
+        ways = total[layer, :, read]
+        at = i - 1 - np.argmax(ways[:, ::-1], axis=1)
+        g = read + first
+        score[layer, i, g] = ways[np.arange(len(at)), at]
+        by = kind[at, read]
+        before = layer - 1
+        if top == most:
+            before = np.where((layer == most) & again[at, read], most, before)
+        came[layer, i, g, 0], came[layer, i, g, 1], kinds[layer, i, g] = at, np.where(by == BREAK, before, layer), by
+    return [_chain_back(score[:, :m, g], came[:, :, g], kinds[:, :, g]) for g, m in enumerate(sizes)]
+
+
+def _chain_back(score: np.ndarray, came: np.ndarray, kinds: np.ndarray) -> Chain:
+    """A read's chain from its best end; of equal ends the latest seed and layer."""
     flat = score.T.ravel()
-    end = len(flat) - 1 - int(np.argmax(flat[::-1]))
-    i, layer = divmod(end, most + 1)
-    chain, steps = [], []
-    top = float(score[layer, i])
+    i, layer = divmod(len(flat) - 1 - int(np.argmax(flat[::-1])), len(score))
+    chain, steps, top = [], [], float(score[layer, i])
     while True:
         chain.append(i)
         before, from_layer = came[layer, i]
@@ -250,15 +290,42 @@ def by_read(rows: DataFrame, read: str, columns: dict[str, str], order: list[str
 
     A task holds one read's rows beside a batch.
     """
+    return by_reads(rows, read, columns, order, lambda keys, reads: [solve(k, s) for k, s in zip(keys, reads)], schema, 0)
+
+
+#: Rows of whole reads that are solved together.
+GATHERED = 1 << 16
+
+
+def by_reads(rows: DataFrame, read: str, columns: dict[str, str], order: list[str], solve: Callable[[list, list[Seeds]], list[list[tuple]]], schema: str, gathered: int = GATHERED) -> DataFrame:
+    """``by_read`` where ``solve(reads, their columns)`` takes many reads and gives each one's tuples.
+
+    A task holds a batch, one read's rows and ``gathered`` rows of others.
+    """
     prepare(rows.sparkSession)
     names = ["read", *(f.split()[0] for f in schema.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[Seeds] = []
+        keys_of: list = []
+        ready: list[Seeds] = []
+        size = 0
         name = key = None
 
-        def finish() -> list[tuple]:
-            return [(key, *row) for row in solve(key, {c: np.concatenate([h[c] for h in held]) for c in columns})]
+        def finish(last: bool = False) -> list[tuple]:
+            nonlocal size
+            if held:
+                keys_of.append(key)
+                ready.append({c: np.concatenate([h[c] for h in held]) for c in columns})
+                size += len(next(iter(ready[-1].values())))
+                held.clear()
+            if not ready or not last and size < gathered:
+                return []
+            out = [(k, *row) for k, found in zip(keys_of, solve(keys_of, ready)) for row in found]
+            keys_of.clear()
+            ready.clear()
+            size = 0
+            return out
 
         for batch in batches:
             out: list[tuple] = []
@@ -267,12 +334,10 @@ def by_read(rows: DataFrame, read: str, columns: dict[str, str], order: list[str
             for first, end in zip(cuts, cuts[1:]):
                 if held and name != keys[first]:
                     out += finish()
-                    held.clear()
                 name, key = keys[first], None if pd.isna(reads[first]) else reads[first]
                 held.append({c: v[first:end] for c, v in whole.items()})
             yield pd.DataFrame(out, columns=names)
-        if held:
-            yield pd.DataFrame(finish(), columns=names)
+        yield pd.DataFrame(finish(True), columns=names)
 
     key = F.coalesce(F.concat(F.lit("r"), F.col(read).cast("string")), F.lit("")).alias("_key")  # null reads are one read
     dealt = rows.select(key, F.col(read).alias("_read"), *(F.col(c).cast(t).alias(c) for c, t in columns.items())).repartition("_key").sortWithinPartitions("_key", *order)
@@ -292,7 +357,7 @@ def _rows(s: Seeds, chains: list[Chain]) -> list[tuple]:
 
 def chain_by_breaks(seeds: DataFrame, read: str = "read", scheme: BreakScheme = BreakScheme(), most: int = 8) -> DataFrame:
     """Each read's best chain by count of breaks: ``read, chain`` (0) ``, place`` (from 0), the seed's columns, ``step`` to it (null for the first), ``score``."""
-    return by_read(seeds, read, COLUMNS, ORDER, lambda _, s: _rows(s, [c for c in [by_breaks(s, scheme, most)] if c]), _ROW)
+    return by_reads(seeds, read, COLUMNS, ORDER, lambda _, reads: [_rows(s, [c] if c else []) for s, c in zip(reads, by_breaks_all(reads, scheme, most))], _ROW)
 
 
 def chain_components(seeds: DataFrame, read: str = "read", scheme: SegmentScheme = SegmentScheme()) -> DataFrame:

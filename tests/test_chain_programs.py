@@ -71,6 +71,16 @@ def test_break_chains_equal_all_chains(most):
     assert cp.by_breaks({c: np.array([]) for c in cp.COLUMNS}) is None
 
 
+def test_break_chains_of_many_reads_share_their_steps(monkeypatch):
+    rng, scheme, steps = random.Random(9), cp.BreakScheme(), [0]
+    reads = [seeds(rng, rng.randrange(0, 12))[0] if k % 7 else {c: np.array([]) for c in cp.COLUMNS} for k in range(300)]
+    alone = [cp.by_breaks(s, scheme) for s in reads]
+    taken = cp.BreakScheme.steps
+    monkeypatch.setattr(cp.BreakScheme, "steps", lambda *a: (steps.__setitem__(0, steps[0] + 1), taken(*a))[1])
+    assert cp.by_breaks_all(reads, scheme) == alone
+    assert steps[0] < 20  # one for each rank of a seed, not for each seed
+
+
 def test_the_second_break_costs_twice(spark):
     rows = [(0, False, 0, 0, 50, 50.0), (1, False, 0, 50, 70, 15.0), (0, False, 0, 70, 120, 50.0)]
     s = {c: np.array([r[i] for r in rows]) for i, c in enumerate(cp.COLUMNS)}
