@@ -188,8 +188,8 @@ def sql_kmers_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-mers of every document by the table function, called from SQL text."""
     prepare(spark)
     registered.register(spark)
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{SEQ} AS seq")
-    return spark.sql("SELECT doc_id, count(*) AS kmers, count(DISTINCT kmer) AS different, min(pos) AS first, max(pos) AS last FROM {docs} d, LATERAL sf_kmers(d.seq, 12) GROUP BY doc_id", docs=docs)
+    docs = S.by_id(table(spark, sf_dir, "documents").selectExpr("doc_id", f"{SEQ} AS seq"), "doc_id")
+    return S.kmer_totals(spark.sql("SELECT doc_id, pos, kmer FROM {docs} d, LATERAL sf_kmers(d.seq, 12)", docs=docs), "doc_id")
 
 
 _SUM = "coalesce(list_sum([CAST(x AS BIGINT) FOR x IN regexp_extract_all(cigar, '([0-9]+)[{}]', 1)]), 0)"
