@@ -138,8 +138,10 @@ SELECT q AS doc_id, rank, CAST(t AS BIGINT) AS item_id, shared, round(score, 6)
 def library_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that share at least 15 % of the k-mers of the smaller of the two with a document, the five best of each: a top-k report."""
     lib = S.kmers(sequences(spark, sf_dir, "benchmark", "item_id"), "id", "seq", K).select(F.col("id").alias("item_id"), "kmer").distinct()
-    reads = S.kmers(sequences(spark, sf_dir, "documents", "doc_id"), "id", "seq", K).select(F.col("id").alias("doc_id"), "kmer").distinct()
-    n_item, n_doc = (x.groupBy(c).agg(F.count("*").alias(n)) for x, c, n in ((lib, "item_id", "n_item"), (reads, "doc_id", "n_doc")))
+    docs = sequences(spark, sf_dir, "documents", "doc_id")
+    reads = S.kmers(docs, "id", "seq", K).select(F.col("id").alias("doc_id"), "kmer")
+    n_item = lib.groupBy("item_id").agg(F.count("*").alias("n_item"))
+    n_doc = S.different_kmers(docs, "id", "seq", K).select(F.col("id").alias("doc_id"), F.col("different").alias("n_doc"))
     hits = reads.join(lib, "kmer").join(n_item, "item_id").join(n_doc, "doc_id")
     return similarity.top_candidates(hits, "doc_id", "item_id", "n_doc", "n_item").select("doc_id", F.col("rank").cast("long").alias("rank"), "item_id", "shared", F.round("score", 6).alias("score"))
 
