@@ -160,10 +160,13 @@ def overlap_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = found.select("read_id", "chrom", "reverse", diagonal.alias("diagonal"), F.col("read_pos").alias("start"), (F.col("read_pos") + PRUNE_K).alias("end"), (1 / F.sqrt(F.col("n_hits").cast("double"))).alias("weight"))
     w = Window.partitionBy(*place).orderBy("start")
     fresh = (F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
-    hits = hits.withColumn("fresh", F.coalesce(fresh, F.lit(0))).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    hits = materialize(hits.withColumn("fresh", F.coalesce(fresh, F.lit(0))).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))), "islands")
     runs = hits.groupBy(*place, "island").agg(F.min("start").alias("f"), F.max("end").alias("u"))
-    numbered = runs.withColumn("pair", F.row_number().over(Window.partitionBy("read_id").orderBy("f", "u", *place[1:])).cast("long"))
-    atoms = hits.join(numbered, [*place, "island"]).select(F.struct("read_id", "pair").alias("seed"), "start", "end", "weight")
+    numbered = materialize(runs.withColumn("pair", F.row_number().over(Window.partitionBy("read_id").orderBy("f", "u", *place[1:])).cast("long")), "numbered")
+    # only seeds that overlap a neighbour are split, so only their hits are
+    w = Window.partitionBy("read_id").orderBy("pair")
+    met = (F.lead("f").over(w) < F.col("u")) | (F.col("f") < F.lag("u").over(w))
+    atoms = hits.join(numbered.withColumn("met", met).where("met"), [*place, "island"]).select(F.struct("read_id", "pair").alias("seed"), "start", "end", "weight")
     pairs = numbered.select("read_id", "pair", F.struct("read_id", "pair").alias("left"), F.struct("read_id", (F.col("pair") + 1).alias("pair")).alias("right"))
     # costs to six digits, so that sums of equal weights are equal
-    return chain_programs.split_overlaps(pairs, atoms.withColumn("weight", F.round("weight", 9)), ["read_id", "pair"]).withColumn("trimmed", F.round("trimmed", 6))
+    return chain_programs.split_overlaps(pairs, materialize(atoms.withColumn("weight", F.round("weight", 9)), "atoms"), ["read_id", "pair"]).withColumn("trimmed", F.round("trimmed", 6))

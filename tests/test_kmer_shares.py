@@ -31,3 +31,16 @@ def test_totals_exchange_no_kmer(spark, tmp_path, name):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     key = lambda r: tuple((x is not None, x) for x in r)
     assert sorted(map(tuple, df.collect()), key=key) == sorted(db.execute(SQL[name]).fetchall(), key=key)
+
+
+def test_overlap_splits_look_seeds_up_once(spark, tmp_path):
+    passage = "the lazy dog jumped over a fox and so on and on it went "
+    spark.createDataFrame([(1, passage[:40] + passage[30:]), (2, passage * 2), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = QUERIES["overlap_splits"](spark, str(tmp_path))
+    assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()  # seeds are read back, not looked up for each use
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = (sorted(map(tuple, x)) for x in (df.collect(), db.execute(SQL["overlap_splits"]).fetchall()))
+    assert got and len(got) == len(want) and all(a == pytest.approx(b, abs=2e-6) for a, b in zip(got, want))
