@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import similarity
 from ..session import materialize, table
-from .inputs import SEQ, sequences
+from .inputs import SEQ
 from .registry import query
 
 PAIRS = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
@@ -34,9 +34,9 @@ def embedding_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a, b, round(d / (x.z * y.z), 5) AS cosine FROM j JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE d / (x.z * y.z) >= 0.985"""
 )
 def kmer_vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = similarity.kmer_vectors(sequences(spark, sf_dir, "documents", "doc_id"), "id", "seq", 4)
-    grouped = vectors.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
-    return similarity.cosine_pairs(materialize(grouped, "vectors"), "id", "vector", "source", 0.985).select("a", "b", F.round("cosine", 5).alias("cosine"))
+    documents = table(spark, sf_dir, "documents").where("source IS NOT NULL").selectExpr("doc_id AS id", f"{SEQ} AS seq", "source")
+    vectors = materialize(similarity.kmer_vectors(documents, "id", "seq", 4, ["source"]), "vectors")
+    return similarity.cosine_pairs(vectors, "id", "vector", "source", 0.985).select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

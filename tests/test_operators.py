@@ -97,3 +97,14 @@ def test_invariance_classes(spark):
     df = spark.createDataFrame([("a", 0, 0, 0, 0), ("b", 0, 5, 1, 0), ("c", 5, 5, 1, 1), ("d", 4, 5, 1, 1), ("e", 0, 9, 1, 1)], "read string, agree long, either long, n_orig long, n_var long")
     got = {r.read: r["class"] for r in compare.invariance(df, F.lit(1)).collect()}
     assert got == {"a": "both_unmapped", "b": "orig_only", "c": "identical", "d": "partial", "e": "disjoint"}
+
+
+def test_vectors_are_exchanged_as_narrow_as_they_came(spark):
+    texts = ["ACGT" * 9, "ACGT" * 8 + "ACGA", "TTTT" * 100, None, "AC"]
+    made = spark.createDataFrame([(i, t, "s" if i < 3 else None) for i, t in enumerate(texts)], "id long, seq string, source string")
+    vectors = similarity.kmer_vectors(made, "id", "seq", 2, ["source"])
+    assert vectors.schema["vector"].dataType.simpleString() == "array<smallint>" and vectors.columns == ["id", "source", "vector"]
+    short = similarity.cosine_pairs(vectors, "id", "vector", "source", 0.9)
+    wide = similarity.cosine_pairs(vectors.withColumn("vector", F.col("vector").cast("array<double>")), "id", "vector", "source", 0.9)
+    assert rows(short) == rows(wide) and [r[:2] for r in rows(short)] == [(0, 1)]
+    assert "array<double>" not in short._jdf.queryExecution().optimizedPlan().toString()
