@@ -8,8 +8,9 @@ segment, which the read's length bounds, and adds a boolean column; a null weigh
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,8 +163,158 @@ def until_stable(seeds: DataFrame, find: Filter, read: str = "read", bridge: int
     return out
 
 
+#: Rows of whole reads that are pruned together.
+GATHERED = 1 << 16
+_PRUNED = ("chrom", "reverse", "diagonal", "read_start", "read_end", "ref_start", "weight", "_share")
+
+
+def _segments(r: dict[str, np.ndarray], bridge: int) -> np.ndarray:
+    """Numbers of the segments of sorted reads, as ``chained`` breaks them, going on from read to read."""
+    step = ~r["no_diagonal"][1:] & ~r["no_diagonal"][:-1] & (np.abs(np.diff(r["diagonal"])) > bridge)
+    fresh = step | (np.diff(r["chrom"]) != 0) | (np.diff(r["reverse"]) != 0) | (np.diff(r["read"]) != 0)
+    return np.cumsum(np.concatenate(([False], fresh))[: len(r["read"])])
+
+
+def _beside(r: dict[str, np.ndarray], segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps of the diagonal to the seed before and behind, and which seeds have both in their segment."""
+    met = np.concatenate(([False], (np.diff(segment) == 0) & ~r["no_diagonal"][1:] & ~r["no_diagonal"][:-1], [False]))[: len(segment) + 1]
+    by = np.concatenate(([0], np.diff(r["diagonal"]), [0]))[: len(segment) + 1]
+    return -by[:-1], by[1:], met[:-1] & met[1:]
+
+
+def _at_ends(r: dict[str, np.ndarray], segment: np.ndarray, threshold: int) -> np.ndarray:
+    """The flags of ``terminal``; segments of one size are summed together."""
+    flag = np.zeros(len(segment), bool)
+    first, size = np.unique(segment, return_index=True, return_counts=True)[1:]
+    for n in np.unique(size[size >= 3]):
+        at = first[size == n][:, None] + np.arange(n)
+        d, gone, w = r["diagonal"][at], r["no_diagonal"][at], r["weight"][at]
+        order = np.lexsort((d, ~gone), axis=1)  # steps are in order already
+        w, none = (np.take_along_axis(x, order, 1) for x in (w, r["no_weight"][at]))
+        upto = np.cumsum(np.where(none, 0.0, w), axis=1)
+        half = ((upto * 2 >= upto[:, -1:]) | np.isnan(upto)) & (np.cumsum(~none, axis=1) > 0) & ~np.take_along_axis(gone, order, 1)
+        median = np.take_along_axis(np.take_along_axis(d, order, 1), half.argmax(axis=1)[:, None], 1)
+        sound = (np.abs(d - median) <= threshold) | gone | ~half.any(axis=1)[:, None]
+        flag[at] = (np.cumsum(sound, axis=1) == 0) | (np.cumsum(sound[:, ::-1], axis=1)[:, ::-1] == 0)
+    return flag
+
+
+def _trim(r: dict[str, np.ndarray], segment: np.ndarray) -> None:
+    """``trimmed`` in place. A cut changes no border that a later pair is asked by, so only pairs that overlap are cut: the first of each run of them together, then the second."""
+    start, end, low, back = r["read_start"], r["read_end"], r["ref_start"], r["reverse"] == 1
+
+    def over(j: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return np.where(back[j], low[i] + end[i] - start[i] - low[j], low[j] + end[j] - start[j] - low[i])
+
+    def cut(j: np.ndarray, i: np.ndarray, n: np.ndarray) -> None:
+        a = np.maximum(0, np.minimum(n, end[j] - start[j]))
+        end[j] -= a
+        low[j] += np.where(back[j], a, 0)
+        b = np.maximum(0, np.minimum(n - a, end[i] - start[i]))
+        start[i] += b
+        low[i] += np.where(back[i], 0, b)
+
+    i = np.arange(1, len(start))
+    one = segment[1:] == segment[:-1]
+    pairs = i[(np.diff(r["read"]) == 0) & ((end[:-1] > start[1:]) | one & (over(i - 1, i) > 0))]
+    if not len(pairs):
+        return
+    fresh = np.concatenate(([True], np.diff(pairs) != 1))
+    level = np.arange(len(pairs)) - np.maximum.accumulate(np.where(fresh, np.arange(len(pairs)), 0))
+    order = np.argsort(level, kind="stable")
+    for i in np.split(pairs[order], np.cumsum(np.bincount(level))[:-1]):
+        cut(i - 1, i, end[i - 1] - start[i])
+        i = i[one[i - 1]]
+        cut(i - 1, i, over(i - 1, i))
+
+
+def _pruned(r: dict[str, np.ndarray], threshold: int, bridge: int) -> dict[str, np.ndarray]:
+    """``r``, whole reads in order, after the repetitive prune: seeds that stay (``row``), cut, with their ``segment``."""
+
+    def drop(flag: np.ndarray) -> np.ndarray:
+        """Flagged seeds go and the reads that lost some are cut anew; the numbers of those reads."""
+        nonlocal r
+        changed = np.unique(r["read"][flag])
+        lost = np.isin(r["read"], changed)
+        if (r["no_place"] & lost & ~flag).any():
+            raise ValueError("a seed without a place on read and reference cannot be cut")
+        r = {k: v[~flag] for k, v in r.items()}
+        part = np.flatnonzero(lost[~flag])
+        cut = {k: v[part] for k, v in r.items()}
+        _trim(cut, _segments(cut, bridge))
+        for k in ("read_start", "read_end", "ref_start"):
+            r[k][part] = cut[k]
+        return changed
+
+    def until_none(find: Callable[[dict[str, np.ndarray]], np.ndarray]) -> None:
+        going = np.arange(len(r["read"]))
+        while len(going):
+            flag = np.zeros(len(r["read"]), bool)
+            flag[going] = find({k: v[going] for k, v in r.items()})
+            changed = drop(flag) if flag.any() else []
+            going = np.flatnonzero(np.isin(r["read"], changed))
+
+    def light(part: dict[str, np.ndarray]) -> np.ndarray:
+        before, after, both = _beside(part, _segments(part, bridge))
+        return both & part["light"] & (np.maximum(np.abs(before), np.abs(after)) > threshold)
+
+    def straying(part: dict[str, np.ndarray]) -> np.ndarray:
+        before, after, both = _beside(part, _segments(part, bridge))
+        return both & (np.abs(before) > threshold) & (np.abs(after) > threshold) & (np.sign(before) != np.sign(after))
+
+    until_none(light)
+    until_none(straying)
+    flag = _at_ends(r, _segments(r, bridge), threshold)
+    if flag.any():
+        drop(flag)
+    segment = _segments(r, bridge)
+    first = np.concatenate(([True], np.diff(r["read"]) != 0))[: len(segment)]
+    r["segment"] = segment - np.maximum.accumulate(np.where(first, segment, 0)) if len(segment) else segment
+    return r
+
+
 def prune_repetitive(seeds: DataFrame, threshold: int, read: str = "read", bridge: int = BRIDGE) -> DataFrame:
-    """Frequent seeds until stable, then excursions until stable, then one pass over the ends of segments."""
-    rows = until_stable(seeds, lambda s: frequent(s, threshold, read), read, bridge)
-    rows = until_stable(rows, lambda s: excursion(s, threshold, read), read, bridge)
-    return drop_flagged(rows, lambda s: terminal(s, threshold, read), read, bridge).drop("changed")
+    """Frequent seeds until stable, then excursions until stable, then one pass over the ends of segments.
+
+    The rows of ``until_stable`` and ``drop_flagged`` with these filters. Reads are dealt out by key and come sorted,
+    so all rounds of a read are made where it is; a task holds a batch, one read's seeds and ``GATHERED`` rows of others.
+    """
+    prepare(seeds.sparkSession)
+    names = [c for c in seeds.columns if c != "segment"]
+    share = F.col("weight") / F.col("frequency")
+    rows = seeds.select(*names, share.cast("double").alias("_share"))
+
+    def prune(table: pa.RecordBatch) -> pa.RecordBatch:
+        none = {c: table[c].is_null().to_numpy(zero_copy_only=False) for c in _PRUNED}
+        r = {c: table[c].cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False) for c in ("diagonal", "read_start", "read_end", "ref_start")}
+        r |= {n: table[c].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for n, c in (("read", read), ("chrom", "chrom"))}
+        r["reverse"] = table["reverse"].cast(pa.int8()).fill_null(-1).to_numpy(zero_copy_only=False)
+        r["weight"] = table["weight"].cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
+        r["light"] = (table["_share"].fill_null(0).to_numpy(zero_copy_only=False) < LEAST_WEIGHT) & ~none["_share"]
+        r |= {"no_diagonal": none["diagonal"], "no_weight": none["weight"], "no_place": none["read_start"] | none["read_end"] | none["ref_start"], "row": np.arange(table.num_rows)}
+        r = _pruned(r, threshold, bridge)
+        at = pa.array(r["row"])
+        columns = [table[c].take(at) for c in names]
+        for c in ("read_start", "read_end", "ref_start"):
+            columns[names.index(c)] = pa.array(r[c], mask=none[c][r["row"]]).cast(table[c].type)
+        return pa.record_batch([*columns, pa.array(r["segment"].astype(np.int64))], [*names, "segment"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, wanted = [], 0, GATHERED
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < wanted:
+                continue
+            table = pa.concat_batches(held)
+            key = table[read].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            done = int(np.argmax(key == key[-1]))  # the last read may go on
+            if done:
+                yield prune(table.slice(0, done))
+            held, size = [table.slice(done)], table.num_rows - done
+            wanted = max(GATHERED, 2 * size)
+        if size:
+            yield prune(pa.concat_batches(held))
+
+    schema = ", ".join(f"`{c}` {seeds.schema[c].dataType.simpleString()}" for c in names)
+    return rows.repartition(read).sortWithinPartitions(read, "step").mapInArrow(run, f"{schema}, segment long")

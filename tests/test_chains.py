@@ -203,3 +203,31 @@ def test_prune_until_stable_equals_a_loop(spark):
         here = sorted(tuple(r[c] for c in columns) for r in got.where(F.col("read").eqNullSafe(F.lit(name))).collect())
         assert here == sorted(tuple(r[c] for c in columns) for r in plain_prune(rows, 25, 100)), name
     assert seed_filters.prune_repetitive(frame(spark, []), 25).count() == 0
+
+
+def test_prune_in_one_pass_equals_rounds_by_windows(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for name in range(12):
+        at = 0
+        for step in range(rng.randrange(1, 50)):
+            at += rng.randrange(5, 40)
+            row = seed(step, at, rng.randrange(8, 60), rng.choice([0, 0, 0, 0, 1, None]), 0, rng.random() < 0.1, float(rng.randrange(1, 200)), rng.randrange(1, 6))
+            rows.append(row | {"read": str(name), "diagonal": rng.choice([0, 0, 0, 30, -30, 80, 400]), "ref_start": at + rng.randrange(-30, 30)})
+            if rng.random() < 0.1:
+                rows[-1] |= {rng.choice(["diagonal", "weight", "frequency"]): None}
+    made = frame(spark, rows).withColumn("more", F.concat("read", F.lit("x")))
+    light, stray, ends = (lambda s: seed_filters.frequent(s, 25), lambda s: seed_filters.excursion(s, 25), lambda s: seed_filters.terminal(s, 25))
+    rounds = seed_filters.until_stable(seed_filters.until_stable(made, light, bridge=100), stray, bridge=100)
+    rounds = seed_filters.drop_flagged(rounds, ends, bridge=100).drop("changed")
+    key = lambda df: sorted(tuple(r) for r in df.select("read", "step", "read_start", "read_end", "ref_start", "segment", "more").collect())
+    wanted = key(rounds)
+    assert 0 < len(wanted) < len(rows)
+    monkeypatch.setattr(seed_filters, "GATHERED", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = seed_filters.prune_repetitive(made, 25, bridge=100)
+        assert found.columns == rounds.columns and key(found) == wanted
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
