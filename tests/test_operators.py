@@ -108,3 +108,36 @@ def test_vectors_are_exchanged_as_narrow_as_they_came(spark):
     wide = similarity.cosine_pairs(vectors.withColumn("vector", F.col("vector").cast("array<double>")), "id", "vector", "source", 0.9)
     assert rows(short) == rows(wide) and [r[:2] for r in rows(short)] == [(0, 1)]
     assert "array<double>" not in short._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bands_come_from_one_sorted_pass(spark, monkeypatch):
+    rng = random.Random(8)
+    data = []
+    for _ in range(400):
+        start = rng.randrange(200)
+        data.append((rng.choice(["a", "b", None]), rng.random() < 0.5, rng.choice([rng.randrange(-60, 60), 7, 1 << 40]), rng.choice([1.0, 2.0, None]), start, start + rng.randrange(1, 12)))
+    df = spark.createDataFrame(data, "read string, reverse boolean, diagonal long, weight double, read_start long, read_end long")
+    bands = {}
+    for row in sorted(data, key=lambda r: ((r[0] is not None, r[0]), r[1], r[2])):
+        of = bands.setdefault(row[:2], [])
+        if not of or row[2] >= of[-1][0][2] + 20:
+            of.append([])
+        of[-1].append(row)
+    bands = {(*key, band[0][2]): band for key, of in bands.items() for band in of}
+    places = lambda band: len({p for r in band for p in range(r[4], r[5])})
+    total = lambda band: sum(r[3] for r in band if r[3]) if any(r[3] for r in band) else None
+    wanted = {key: (band[0][2], band[-1][2], len(band), total(band), places(band), places(band) / 200) for key, band in bands.items() if key[0] and places(band) >= 10}
+    lengths = spark.createDataFrame([("a", 200), ("b", 200)], "read string, length int")
+    monkeypatch.setattr(seeds, "GATHERED", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = seeds.in_bands(df, ["read", "reverse"], 20)
+        assert sorted(str(tuple(r)) for r in found.collect()) == sorted(str((*r, key[2])) for key, band in bands.items() for r in band)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Aggregate" not in plan
+        covered = seeds.band_coverage(df, ["read", "reverse"], lengths, "read", 20, 0.05)
+        assert {tuple(r[:3]): tuple(r[3:]) for r in covered.collect()} == wanted
+        assert "Window" not in covered._jdf.queryExecution().optimizedPlan().toString()
+        assert seeds.in_bands(df.limit(0), ["read"], 20).count() == 0 == seeds.band_coverage(df.limit(0), ["read", "reverse"], lengths, "read", 20).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
